@@ -1,7 +1,403 @@
-"""Queries of the layout engine and their SQL."""
+"""Queries of the layout engine over the test tables, with the same in DuckDB's SQL.
+
+Texts of `documents` stand for pages: a line is a line, 45 of them a page, set in a fixed pitch. As they hold hardly any
+markers, numbers or hyphens, `marked` lines get them by (doc_id + line) modulo 12, alike in both.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import chrome, grid, lines, passes
+from ..sources import typeset as T
+from . import markdown
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "document_markdown"
+
+CASE = (
+    "CASE (doc_id + line) % 12 WHEN 0 THEN concat('- ', t) WHEN 1 THEN concat('12) ', t) WHEN 2 THEN concat('2.1.3 ', t) WHEN 3 THEN concat('Figure 4: ', t) WHEN 4 THEN concat('[17] ', t) WHEN 5 THEN concat('# ', t) "
+    "WHEN 6 THEN concat('Page ', cast(page + 1 as {s})) WHEN 7 THEN concat('**', t, '`x` ``y') WHEN 8 THEN concat('A.2 ', t) WHEN 9 THEN concat('Key: ', t) WHEN 10 THEN concat('iv) ', t) ELSE t END"
+)
+U, L = X.UPPER, X.LOWER
+LINES = "l AS (SELECT doc_id, line, line // 45 AS page, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))"
+MARKED = f"{LINES}, m AS (SELECT doc_id, line, page, {CASE.format(s='varchar')} AS t FROM l)"
+SIZE = "CASE WHEN line = 0 THEN 16.0 WHEN (doc_id + line) % 7 = 0 THEN 9.5 ELSE 10.0 END::DOUBLE"
+# a short run of each line is set, so that the SQL stays small
+GLYPHS = f"""{LINES}, g AS (SELECT doc_id, page, line, seq, t[seq + 1] AS ch, 72.0::DOUBLE + 5 * seq AS x, 750.0::DOUBLE - 15 * (line % 45) AS y, 72.0::DOUBLE + 5 * seq AS "left", 76.5::DOUBLE + 5 * seq AS "right",
+    748.0::DOUBLE - 15 * (line % 45) AS bottom, 758.0::DOUBLE - 15 * (line % 45) AS top, {SIZE} AS size, (doc_id + line) % 5 = 0 AS bold, t[seq + 1] = ' ' AS space FROM (SELECT *, unnest(range(length(t))) AS seq FROM l))"""
+SIG = f"regexp_replace(translate(replace(t, ' ', ''), '{U}', '{L}'), '#?[0-9]+', '#', 'g')"
+
+
+def docs(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+
+
+def plain(spark, d):
+    return T.text_lines(docs(spark, d).select("doc_id", "text"))
+
+
+def marked(spark, d):
+    return plain(spark, d).select("doc_id", "line", "page", F.expr(CASE.format(s="string")).alias("t"))
+
+
+def glyphs(spark, d):
+    return T.typeset(plain(spark, d))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {MARKED} SELECT doc_id, line, {SIG} AS sig, translate(replace(t, ' ', ''), '{U}', '{L}') AS stamp_sig, {SIG} || '|' AS block_sig FROM m")
+def line_signatures(spark, d):
+    t = F.col("t")
+    return marked(spark, d).select("doc_id", "line", X.segment_signature(t).alias("sig"), X.segment_signature(t, False).alias("stamp_sig"), X.block_signature(F.array(t)).alias("block_sig"))
+
+
+@query(f"WITH {MARKED}, s AS (SELECT *, {SIG} AS sig FROM m), r AS (SELECT doc_id, sig, count(DISTINCT page) AS pages FROM s WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 2) SELECT doc_id, sig, pages FROM r")
+def repeated_lines(spark, d):
+    return chrome.repeated(marked(spark, d), [], 2)
+
+
+@query(f"WITH {MARKED}, s AS (SELECT *, {SIG} AS sig FROM m), r AS (SELECT doc_id, sig FROM s WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 2) SELECT doc_id, line, page, t FROM s ANTI JOIN r USING (doc_id, sig)")
+def chrome_strip(spark, d):
+    return chrome.strip_repeated(marked(spark, d), [], 2).select("doc_id", "line", "page", "t")
+
+
+@query(f"WITH {MARKED} SELECT doc_id, line, t FROM m WHERE NOT ({SIG} IN ('#', '#/#', '[#]', 'page#', 'page#of#', '-#-') AND doc_id IN (SELECT doc_id FROM m WHERE page >= 1))")
+def page_number_strip(spark, d):
+    return chrome.strip_page_numbers(marked(spark, d)).select("doc_id", "line", "t")
+
+
+@query(
+    f"""WITH {MARKED}, k AS (SELECT *, CASE WHEN regexp_matches(t, '^[{X.BULLETS}{X.DASHES[1:]}-] ') THEN 'bullet' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)] +') THEN 'ordered' WHEN regexp_matches(t, '^([A-Za-z]|[ivxlcdmIVXLCDM]{{1,6}})[)] ') THEN 'lettered' ELSE '' END AS marker FROM m)
+    SELECT doc_id, line, marker, regexp_replace(t, '^(?:[{X.BULLETS}{X.DASHES[1:]}-] +|[0-9]{{1,3}}[.)] +)', '') AS content FROM k WHERE marker <> ''"""
+)
+def list_items(spark, d):
+    t = F.col("t")
+    return marked(spark, d).select("doc_id", "line", X.list_marker(t).alias("marker"), X.strip_marker(t).alias("content")).where("marker <> ''")
+
+
+@query(
+    f"""WITH {MARKED}, k AS (SELECT *, regexp_extract(t, '^ *([0-9]+(?:[.][0-9]+)*)', 1) AS num, length(regexp_extract(t, '^( *[0-9]+(?:[.][0-9]+)*)', 1)) AS n FROM m)
+    SELECT doc_id, line, CASE WHEN num <> '' AND substring(t, n + 1, 1) IN (' ', '.', '') THEN len(string_split(num, '.')) ELSE 0 END::BIGINT AS depth, regexp_extract(t, '^ *((?:[A-Z][.])?[0-9]+(?:[.][0-9]+)*)[.]? +[^ ]', 1) AS path FROM k"""
+)
+def section_numbers(spark, d):
+    t = F.col("t")
+    return marked(spark, d).select("doc_id", "line", X.heading_depth(t).cast("long").alias("depth"), X.section_path(t).alias("path"))
+
+
+@query(
+    f"""WITH {MARKED}, k AS (SELECT *, regexp_extract(t, '^ *([A-Za-z0-9 ()/_.-]{{1,40}}):(?: |$)', 1) AS label FROM m)
+    SELECT doc_id, line, trim(regexp_replace(translate(t, '{U}', '{L}'), '[^a-z0-9]+', ' ', 'g')) AS key, CASE WHEN regexp_matches(label, '[A-Za-z]') THEN trim(label) ELSE '' END AS label,
+    regexp_matches(t, '^ *[[][0-9]+[]]') AS citation, regexp_matches(t, '^ *(Figure|Fig[.]|Table) *[0-9]') AS caption FROM k"""
+)
+def line_predicates(spark, d):
+    t = F.col("t")
+    return marked(spark, d).select("doc_id", "line", X.heading_key(t).alias("key"), X.metadata_label(t).alias("label"), X.is_citation_lead(t).alias("citation"), X.is_caption(t).alias("caption"))
+
+
+ESC = r"regexp_replace({t}, '([\\`*_\[<|~$])', '\\\1', 'g')"
+START = r"regexp_replace(regexp_replace(regexp_replace({t}, '^([>+-])', '\\\1'), '^(#+)( |$)', '\\\1\2'), '^([0-9]{{1,9}})([.)])( |$)', '\1\\\2\3')"
+
+
+@query(f"WITH {MARKED} SELECT doc_id, line, {START.format(t=ESC.format(t='t'))} AS md FROM m")
+def md_escape(spark, d):
+    return marked(spark, d).select("doc_id", "line", X.escape_line_start(X.escape_inline(F.col("t"))).alias("md"))
+
+
+@query(
+    f"""WITH {MARKED}, k AS (SELECT *, repeat('`', coalesce(list_max(list_transform(regexp_extract_all(t, '(`+)', 1), lambda x: length(x))), 0)::INTEGER + 1) AS mark, CASE WHEN regexp_matches(t, '^[` ]|[` ]$') THEN ' ' ELSE '' END AS pad FROM m)
+    SELECT doc_id, line, mark || pad || t || pad || mark AS md FROM k"""
+)
+def code_spans(spark, d):
+    return marked(spark, d).select("doc_id", "line", X.code_span(F.col("t")).alias("md"))
+
+
+@query(
+    "SELECT n.n_regionkey::BIGINT AS region, '| ' || concat_ws(' | ', 'nation', 'region') || ' |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(trim(n_name), '_', chr(92) || '_') || ' | ' || trim(r_name) || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation n JOIN region r ON n_regionkey = r_regionkey GROUP BY 1"
+)
+def gfm_tables(spark, d):
+    j = docs(spark, d, "nation").join(docs(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = j.select(F.col("n_regionkey").cast("long").alias("region"), "n_nationkey", X.gfm_row([X.gfm_cell(F.col("n_name")), X.gfm_cell(F.col("r_name"))]).alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "row"))), lambda x: x["row"]), "\n")
+    return rows.groupBy("region").agg(F.concat(X.gfm_row([F.lit("nation"), F.lit("region")]), F.lit("\n| --- | --- |\n"), body).alias("md"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'A "' || lang || chr(92) END AS title, source, n_chars // 2000 + 1 AS pages FROM documents), q AS (SELECT doc_id, source, pages, title, replace(replace(title, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') AS esc FROM d)
+    SELECT doc_id, '---' || chr(10) || CASE WHEN title <> '' THEN 'title: "' || esc || '"' || chr(10) ELSE '' END || 'source: "' || source || '"' || chr(10) || 'pages: ' || pages || chr(10) || '---' || chr(10) AS front FROM q"""
+)
+def front_matter(spark, d):
+    x = docs(spark, d)
+    title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit('A "'), "lang", F.lit("\\")))
+    return markdown.front_matter(x.select("doc_id", title.alias("title"), F.lit("").alias("author"), "source", (F.floor(F.col("n_chars") / 2000) + 1).alias("pages")))
+
+
+KIND = "CASE WHEN depth > 0 THEN 'heading' WHEN marker <> '' THEN 'list' WHEN regexp_matches(t, '^ *(Figure|Fig[.]|Table) *[0-9]') THEN 'caption' ELSE 'paragraph' END"
+
+
+@query(
+    f"""WITH {MARKED}, a AS (SELECT *, regexp_extract(t, '^ *([0-9]+(?:[.][0-9]+)*)', 1) AS num, length(regexp_extract(t, '^( *[0-9]+(?:[.][0-9]+)*)', 1)) AS n,
+    CASE WHEN regexp_matches(t, '^[{X.BULLETS}{X.DASHES[1:]}-] ') THEN 'bullet' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)] +') THEN 'ordered' WHEN regexp_matches(t, '^([A-Za-z]|[ivxlcdmIVXLCDM]{{1,6}})[)] ') THEN 'lettered' ELSE '' END AS marker FROM m WHERE trim(t) <> ''),
+    b AS (SELECT *, CASE WHEN num <> '' AND substring(t, n + 1, 1) IN (' ', '.', '') THEN len(string_split(num, '.')) ELSE 0 END AS depth FROM a), c AS (SELECT *, {KIND} AS kind, trim(regexp_replace(t, '^(?:[{X.BULLETS}{X.DASHES[1:]}-] +|[0-9]{{1,3}}[.)] +)', '')) AS content FROM b),
+    e AS (SELECT doc_id, line, kind, CASE kind WHEN 'heading' THEN repeat('#', least(depth, 6)::INTEGER) || ' ' || {ESC.format(t="trim(t)")} WHEN 'list' THEN (CASE WHEN marker = 'ordered' THEN regexp_extract(t, '^([0-9]{{1,3}})', 1) || '. ' ELSE '- ' END) || {START.format(t=ESC.format(t="content"))} ELSE {START.format(t=ESC.format(t="trim(t)"))} END AS part FROM c),
+    f AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM e WHERE part <> '')
+    SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN kind = 'list' AND before = 'list' THEN chr(10) ELSE chr(10) || chr(10) END || part, '' ORDER BY line) || chr(10) AS markdown, count(*) AS blocks FROM f GROUP BY doc_id"""
+)
+def document_markdown(spark, d):
+    return markdown.to_markdown(marked(spark, d))
+
+
+WORDS = f"list_slice(w, 2, len(w) - 1)"
+VOCAB = f"v AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS word FROM (SELECT doc_id, regexp_extract_all(translate(t, '{U}', '{L}'), '([a-z]+)', 1) AS w FROM {{src}}) WHERE len(w) > 2)"
+
+
+@query(f"WITH {LINES}, {VOCAB.format(src='l')} SELECT doc_id, word FROM v")
+def doc_vocabulary(spark, d):
+    return markdown.vocabulary(plain(spark, d))
+
+
+HYPHENED = "CASE WHEN (doc_id + line) % 3 = 0 THEN concat(regexp_extract(t, '^(.*[a-z])[^a-zA-Z]*$', 1), '-') WHEN (doc_id + line) % 3 = 1 THEN regexp_extract(t, '([a-z].*)$', 1) ELSE t END"
+
+
+@query(
+    f"""WITH {LINES}, h AS (SELECT doc_id, line, {HYPHENED} AS t FROM l), {VOCAB.format(src='l')}, p AS (SELECT doc_id, line, t, lead(t) OVER (PARTITION BY doc_id ORDER BY line) AS below FROM h),
+    q AS (SELECT doc_id, line, regexp_extract(translate(t, '{U}', '{L}'), '([a-z]+)-$', 1) AS a, regexp_extract(below, '^([a-z]+)', 1) AS b FROM p WHERE regexp_matches(t, '[a-zA-Z]-$') AND regexp_matches(below, '^[a-z]'))
+    SELECT doc_id, line, a || b AS joined, NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = a || b) AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = a) AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = b) AND length(a) >= 4 AND length(b) >= 4 AS kept FROM q"""
+)
+def hyphen_joins(spark, d):
+    x = plain(spark, d)
+    return markdown.hyphen_joins(x.withColumn("t", F.expr(HYPHENED)), markdown.vocabulary(x))
+
+
+URL = "CASE WHEN line % 2 = 0 THEN concat('see http://example.org/a', substring('/.x-', 1 + cast(line % 4 as {i}), 1)) ELSE t END"
+
+
+@query(
+    f"""WITH {LINES}, h AS (SELECT doc_id, line, {URL.format(i='bigint')} AS t FROM l), p AS (SELECT doc_id, line, regexp_extract(t, '([^ ]*)$', 1) AS last, lead(t) OVER (PARTITION BY doc_id ORDER BY line) AS below FROM h)
+    SELECT doc_id, line FROM p WHERE regexp_matches(last, '^(www[.]|[A-Za-z]{{1,8}}://)') AND regexp_matches(last, '[/._=&?-]$') AND NOT regexp_matches(below, '^(www[.]|[A-Za-z]{{1,8}}://)') AND NOT regexp_matches(below, '^[A-Z][a-z]* ') AND below <> ''"""
+)
+def url_wraps(spark, d):
+    from pyspark.sql import Window
+
+    x = plain(spark, d).withColumn("t", F.expr(URL.format(i="int"))).withColumn("below", F.lead("t").over(Window.partitionBy("doc_id").orderBy("line")))
+    return x.where(X.url_wraps(F.col("t"), F.col("below"))).select("doc_id", "line")
+
+
+@query(
+    f"""WITH {LINES}, b AS (SELECT doc_id, line AS ord, line AS page, CASE WHEN (doc_id + line) % 3 = 0 THEN lower(t[1:1]) || t[2:] WHEN (doc_id + line) % 3 = 2 THEN regexp_replace(t, '[.]$', '') ELSE t END AS text FROM l),
+    p AS (SELECT *, lag(text) OVER w AS pt, lag(page) OVER w AS pp FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord)), c AS (SELECT *, sum(CASE WHEN coalesce(page = pp + 1 AND NOT regexp_matches(pt, '[.!?:;’”"'')\\]]$') AND (regexp_matches(pt, '-$') OR regexp_matches(text, '^[a-z]')), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS chain FROM p)
+    SELECT doc_id, min(ord) AS ord, max(page) AS page, count(*) AS parts, string_agg(text, ' ' ORDER BY ord) AS text FROM c GROUP BY doc_id, chain"""
+)
+def merge_pages(spark, d):
+    text = F.expr("CASE WHEN (doc_id + line) % 3 = 0 THEN concat(lower(substring(t, 1, 1)), substring(t, 2)) WHEN (doc_id + line) % 3 = 2 THEN regexp_replace(t, '[.]$', '') ELSE t END")
+    return passes.merge_pages(plain(spark, d).select("doc_id", F.col("line").alias("ord"), F.col("line").alias("page"), text.alias("text")))
+
+
+@query(
+    f"WITH {LINES}, b AS (SELECT *, (doc_id + line) % 4 = 1 AS note FROM l) SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY note, line) AS ord, CASE WHEN note THEN max(page) OVER (PARTITION BY doc_id) ELSE page END AS page FROM b"
+)
+def relocate_footnotes(spark, d):
+    b = plain(spark, d).select("doc_id", "line", F.col("line").alias("ord"), "page", ((F.col("doc_id") + F.col("line")) % 4 == 1).alias("note"))
+    return passes.relocate_footnotes(b).select("doc_id", "line", "ord", "page")
+
+
+@query(f'WITH {GLYPHS} SELECT doc_id, line, count(*) AS glyphs, sum(seq)::BIGINT AS seqs, min(x) AS x0, max("right") AS x1, min(bottom) AS bottom, max(top) AS top, sum(space::INT)::BIGINT AS spaces FROM g GROUP BY ALL')
+def typeset_glyphs(spark, d):
+    return glyphs(spark, d).groupBy("doc_id", "line").agg(F.count("*").alias("glyphs"), F.sum("seq").alias("seqs"), F.min("x").alias("x0"), F.max("right").alias("x1"), F.min("bottom").alias("bottom"), F.max("top").alias("top"), F.sum(F.col("space").cast("int")).alias("spaces"))
+
+
+BODY = "body AS (SELECT doc_id, coalesce(first(s ORDER BY n DESC, s) FILTER (s IS NOT NULL), 11.0) AS body_size FROM (SELECT doc_id, CASE WHEN NOT space THEN round(size * 4) / 4 END AS s, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)"
+
+
+@query(f"WITH {GLYPHS}, {BODY} SELECT doc_id, body_size::DOUBLE AS body_size FROM body")
+def body_size(spark, d):
+    return lines.body_size(glyphs(spark, d))
+
+
+@query(
+    f"""WITH {GLYPHS}, o AS (SELECT doc_id, page, line, count(*) AS glyphs, greatest(median(size), 1.0) AS size, max(size) AS largest, min("left") AS x0, max("right") AS x1, median(y) AS baseline FROM g WHERE NOT space GROUP BY ALL)
+    SELECT doc_id, page, line, glyphs, size, x0, x1, CASE WHEN largest > 1.8 * size THEN size ELSE largest END AS size_max, baseline FROM o"""
+)
+def line_stats(spark, d):
+    return lines.line_stats(glyphs(spark, d))
+
+
+# glyphs set again with gaps: after every fourth letter 3 points, after every thirtieth 20
+GAPPED = '"left" + 3 * (seq // 4) + 20 * (seq // 30)'
+
+
+def _gapped(spark, d):
+    shift = 3 * F.floor(F.col("seq") / 4) + 20 * F.floor(F.col("seq") / 30)
+    return glyphs(spark, d).withColumn("left", F.col("left") + shift).withColumn("right", F.col("right") + shift)
+
+
+GAPS = f"""{GLYPHS}, gg AS (SELECT * REPLACE ({GAPPED} AS "left", "right" + 3 * (seq // 4) + 20 * (seq // 30) AS "right") FROM g), gap AS (SELECT *, "left" - lag("right") OVER w AS gap, seq - lag(seq) OVER w > 1 AS spaced FROM gg WHERE NOT space WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY "left", seq))"""
+
+
+@query(
+    f"""WITH {GAPS}, s AS (SELECT *, lag(gap) OVER w AS below, row_number() OVER w AS rank, count(*) OVER (PARTITION BY doc_id, page, line) AS n FROM gap WHERE gap IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY gap)),
+    j AS (SELECT *, CASE WHEN below <= 6.0 AND gap > below THEN gap - below END AS jump, (gap + below) / 2 AS mid FROM s),
+    b AS (SELECT doc_id, page, line, max(n) AS n, first(jump ORDER BY coalesce(jump, -1) DESC, rank) AS jump, first(mid ORDER BY coalesce(jump, -1) DESC, rank) AS mid FROM j GROUP BY ALL)
+    SELECT doc_id, page, line, least(greatest(CASE WHEN n >= 3 AND jump >= 0.11 * 10.0::DOUBLE THEN mid ELSE 0.28 * 10.0::DOUBLE END, 0.18 * 10.0::DOUBLE), 0.9 * 10.0::DOUBLE)::DOUBLE AS word_gap FROM b"""
+)
+def word_gap(spark, d):
+    return lines.word_gap(lines.gaps(_gapped(spark, d)), 10.0)
+
+
+@query(
+    f"""WITH {GAPS}, s AS (SELECT *, coalesce(gap > greatest(1.4 * size, 10.0), false) AS wide FROM gap), r AS (SELECT *, sum(wide::INT) OVER (PARTITION BY doc_id, page, line ORDER BY "left", seq ROWS UNBOUNDED PRECEDING) AS segment, CASE WHEN coalesce(spaced, false) AND NOT wide THEN ' ' ELSE '' END || ch AS piece FROM s)
+    SELECT doc_id, page, line, segment::BIGINT AS segment, min("left") AS first, max("right") AS last, string_agg(piece, '' ORDER BY "left", seq) AS text FROM r GROUP BY ALL"""
+)
+def line_segments(spark, d):
+    return lines.segments(lines.gaps(_gapped(spark, d)))
+
+
+@query(f"""WITH {GLYPHS}, s AS (SELECT * REPLACE (seq % 9 < 3 AS bold) FROM g WHERE NOT space), n AS (SELECT *, coalesce(bold <> lag(bold) OVER w, true) AS new FROM s WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY "left", seq)),
+    r AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, page, line ORDER BY "left", seq ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT doc_id, page, line, run::BIGINT AS run, first(bold) AS bold, count(*) AS glyphs FROM r GROUP BY ALL""")
+def style_runs(spark, d):
+    return lines.style_runs(lines.gaps(glyphs(spark, d).withColumn("bold", F.col("seq") % 9 < 3)))
+
+
+SPANS = "sp AS (SELECT doc_id, page, (line * 37 % 400)::DOUBLE AS lo, (line * 37 % 400 + length(t) % 60 + 1)::DOUBLE AS hi FROM l)"
+
+
+def _spans(spark, d):
+    lo = F.col("line") * 37 % 400
+    return plain(spark, d).select("doc_id", "page", lo.cast("double").alias("lo"), (lo + F.length("t") % 60 + 1).cast("double").alias("hi"))
+
+
+@query(f"WITH {LINES}, {SPANS}, r AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, page ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp) SELECT doc_id, page, (lo + reach) / 2 AS cut FROM r WHERE lo - reach > 14")
+def gap_cuts(spark, d):
+    return lines.gap_cuts(_spans(spark, d), ["doc_id", "page"], 14.0)
+
+
+@query(
+    f"""WITH {LINES}, {SPANS}, e AS (SELECT doc_id, page, lo AS z, 1 AS d FROM sp UNION ALL SELECT doc_id, page, hi, -1 FROM sp), s AS (SELECT doc_id, page, z, sum(d) AS d, count(*) FILTER (d > 0) AS opens FROM e GROUP BY ALL),
+    r AS (SELECT doc_id, page, z, sum(d) OVER w AS cover, sum(opens) OVER w AS begun, sum(opens) OVER (PARTITION BY doc_id, page) AS n, lead(z) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY doc_id, page ORDER BY z)),
+    i AS (SELECT *, cover <= 1 AS low, sum((cover > 1)::INT) OVER (PARTITION BY doc_id, page ORDER BY z) AS isle FROM r WHERE nxt IS NOT NULL),
+    o AS (SELECT doc_id, page, isle, min(z) AS lo, max(nxt) AS hi, min(n) AS n, max(begun) AS begun, max(cover) AS cover FROM i WHERE low GROUP BY ALL)
+    SELECT doc_id, page, (lo + hi) / 2 AS cut FROM o WHERE hi - lo >= 14 AND n >= 4 AND begun - cover >= greatest(3.0, n / 25) AND n - begun >= greatest(3.0, n / 25)"""
+)
+def coverage_cuts(spark, d):
+    return lines.coverage_cuts(_spans(spark, d), ["doc_id", "page"], 1, 14.0)
+
+
+@query(f'WITH {GLYPHS}, o AS (SELECT doc_id, page, line, min(bottom) AS low, max(top) AS high, min("left") AS x0, max(y) AS y FROM g GROUP BY ALL) SELECT doc_id, page, line, CASE WHEN low > 0.88 * 792 THEN 1 WHEN high < 0.12 * 792 THEN 2 ELSE 0 END AS band, round(x0 / 4)::BIGINT AS qx, round(y / 4)::BIGINT AS qy FROM o')
+def bands(spark, d):
+    return chrome.bands(glyphs(spark, d))
+
+
+TIERS = f"b AS (SELECT doc_id, page, line AS ord, t AS text, {SIZE} + CASE WHEN line % 11 = 3 THEN 4 ELSE 0 END AS size FROM l)"
+
+
+@query(
+    f"""WITH {LINES}, {TIERS}, r AS (SELECT *, round(size * 2) / 2 AS tier, 10.0 AS body FROM b), tot AS (SELECT doc_id, sum(length(text)) AS total FROM r GROUP BY 1),
+    k AS (SELECT doc_id, tier, sum(length(text)) AS chars FROM r WHERE tier >= 1.12 * body AND length(text) <= 220 GROUP BY ALL)
+    SELECT doc_id, tier, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY tier DESC), 6)::BIGINT AS level FROM k JOIN tot USING (doc_id) WHERE chars <= 0.3 * total"""
+)
+def heading_tiers(spark, d):
+    x = plain(spark, d)
+    size = T.line_size() + F.when(F.col("line") % 11 == 3, 4.0).otherwise(0.0)
+    b = x.select("doc_id", "page", F.col("line").alias("ord"), F.col("t").alias("text"), size.alias("size"))
+    return passes.heading_tiers(b, x.select("doc_id", F.lit(10.0).alias("body_size")).distinct())
+
+
+@query(
+    f"""WITH {MARKED} SELECT doc_id, line, regexp_matches(t, '[.,;:!?]$') OR regexp_matches(t, '^ *[[][0-9]+[]]') OR regexp_matches(t, '^ *(Figure|Fig[.]|Table) *[0-9]') OR count(*) OVER (PARTITION BY doc_id, trim(regexp_replace(translate(t, '{U}', '{L}'), '[^a-z0-9]+', ' ', 'g'))) >= 3 AS veto FROM m"""
+)
+def heading_vetoes(spark, d):
+    return passes.vetoed(marked(spark, d).withColumn("text", F.col("t"))).select("doc_id", "line", "veto")
+
+
+IMAGES = "im AS (SELECT doc_id, img_no, img_no % 2 AS page, 700.0::DOUBLE - 170 * img_no AS y_mid FROM (SELECT doc_id, unnest(range(doc_id % 4)) AS img_no FROM documents))"
+
+
+@query(
+    f"""WITH {LINES}, b AS (SELECT doc_id, page AS bp, line AS ord, 758.0::DOUBLE - 15 * (line % 45) AS y_top FROM l), {IMAGES}, j AS (SELECT im.*, bp, ord, y_top FROM im LEFT JOIN b ON im.doc_id = b.doc_id AND bp >= page)
+    SELECT doc_id, img_no, coalesce(first(ord ORDER BY y_top DESC, ord) FILTER (bp = page AND y_top < y_mid), min(ord) FILTER (bp > page)) AS ord FROM j GROUP BY doc_id, img_no"""
+)
+def image_placement(spark, d):
+    b = plain(spark, d).select("doc_id", "page", F.col("line").alias("ord"), (F.lit(758.0) - (F.col("line") % 45) * 15.0).alias("y_top"))
+    im = docs(spark, d).select("doc_id", F.explode(F.expr("filter(sequence(0L, doc_id % 4), i -> i < doc_id % 4)")).alias("img_no"))
+    im = im.select("doc_id", "img_no", (F.col("img_no") % 2).alias("page"), (F.lit(700.0) - F.col("img_no") * 170.0).alias("y_mid"))
+    return passes.place_images(b, im)
+
+
+@query(
+    f"""WITH {LINES}, im AS (SELECT doc_id, page, line AS obj, md5(t[1:3]) AS pixels FROM l WHERE line % 3 = 0), f AS (SELECT *, first_value(page) OVER w AS fp, first_value(obj) OVER w AS fo FROM im WINDOW w AS (PARTITION BY doc_id, pixels ORDER BY page, obj))
+    SELECT doc_id, page, obj, dense_rank() OVER (PARTITION BY doc_id ORDER BY fp, fo)::BIGINT AS number, 'image_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY fp, fo) || '.png' AS path FROM f"""
+)
+def image_dedupe(spark, d):
+    im = plain(spark, d).where("line % 3 = 0").select("doc_id", "page", F.col("line").alias("obj"), F.md5(F.substring("t", 1, 3)).alias("pixels"))
+    return passes.dedupe_images(im).select("doc_id", "page", "obj", "number", "path")
+
+
+@query(
+    f"""WITH {LINES}, r AS (SELECT doc_id, page, (line * 29 % 200)::DOUBLE / 2 AS pos, (line * 53 % 300)::DOUBLE AS lo, (line * 53 % 300 + length(t) % 40)::DOUBLE AS hi FROM l),
+    c AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, page ORDER BY pos, lo ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id, page ORDER BY pos, lo) > 2.5, true) AS new FROM r)),
+    p AS (SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY doc_id, page, cluster ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3.5, true) AS apart FROM c),
+    q AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, page, cluster ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS piece FROM p), a AS (SELECT doc_id, page, cluster, avg(pos) AS mid FROM q GROUP BY ALL)
+    SELECT doc_id, page, cluster::BIGINT AS cluster, round(mid, 6) AS "at", min(lo) AS lo, max(hi) AS hi FROM q JOIN a USING (doc_id, page, cluster) GROUP BY doc_id, page, cluster, mid, piece"""
+)
+def grid_lines(spark, d):
+    lo = F.col("line") * 53 % 300
+    r = plain(spark, d).select("doc_id", "page", ((F.col("line") * 29 % 200).cast("double") / 2).alias("pos"), lo.cast("double").alias("lo"), (lo + F.length("t") % 40).cast("double").alias("hi"))
+    return grid.grid_lines(r, ["doc_id", "page"]).withColumn("at", F.round("at", 6))
+
+
+CELLS = "SELECT r.range AS \"row\", c.range AS col, 72.0 + 100 * c.range AS x0, 172.0 + 100 * c.range AS x1, 600.0 - 50 * r.range AS y0, 650.0 - 50 * r.range AS y1 FROM range(3) r, range(3) c"
+
+
+@query(
+    f"""WITH {GLYPHS}, cells AS ({CELLS}), j AS (SELECT doc_id, page, line, seq, c.row, c.col FROM g JOIN cells c ON ("left" + "right") / 2 >= x0 AND ("left" + "right") / 2 < x1 AND (bottom + top) / 2 >= y0 AND (bottom + top) / 2 < y1)
+    SELECT doc_id, page, "row", col, count(*) AS glyphs FROM j GROUP BY ALL"""
+)
+def glyph_cells(spark, d):
+    c = spark.range(9).select((F.floor(F.col("id") / 3)).alias("row"), (F.col("id") % 3).alias("col"))
+    c = c.select("row", "col", (72.0 + F.col("col") * 100).alias("c_x0"), (172.0 + F.col("col") * 100).alias("c_x1"), (600.0 - F.col("row") * 50).alias("c_y0"), (650.0 - F.col("row") * 50).alias("c_y1"), F.lit(1).alias("grid"))
+    g = glyphs(spark, d).withColumn("grid", F.lit(1))
+    inside = ((F.col("left") + F.col("right")) / 2 >= F.col("c_x0")) & ((F.col("left") + F.col("right")) / 2 < F.col("c_x1")) & ((F.col("bottom") + F.col("top")) / 2 >= F.col("c_y0")) & ((F.col("bottom") + F.col("top")) / 2 < F.col("c_y1"))
+    return g.join(F.broadcast(c), "grid").where(inside).groupBy("doc_id", "page", "row", "col").agg(F.count("*").alias("glyphs"))
+
+
+SPEC = "CASE doc_id % 4 WHEN 0 THEN '1-3,7' WHEN 1 THEN '2' WHEN 2 THEN '5-4,9' ELSE 'x,4-6' END"
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT {SPEC} AS spec FROM documents), p AS (SELECT spec, trim(unnest(string_split(spec, ','))) AS part FROM s), q AS (SELECT spec, regexp_extract(part, '^([0-9]{{1,8}})', 1) AS a0, regexp_extract(part, '([0-9]{{1,8}})$', 1) AS b0 FROM p WHERE regexp_matches(part, '^[0-9]{{1,8}}(-[0-9]{{1,8}})?$'))
+    SELECT DISTINCT spec, unnest(range(a - 1, b)) AS page FROM (SELECT spec, try_cast(a0 AS BIGINT) AS a, try_cast(b0 AS BIGINT) AS b FROM q) WHERE a >= 1 AND b >= a"""
+)
+def page_spec(spark, d):
+    return T.page_spec(docs(spark, d).select(F.expr(SPEC).alias("spec")).distinct())
+
+
+@query(f"""WITH {LINES}, {VOCAB.format(src='l')} SELECT doc_id, line, page, t FROM l WHERE page IN (0, 2)""")
+def page_filter(spark, d):
+    return T.select_pages(plain(spark, d), T.page_spec(spark.createDataFrame([("1,3",)], "spec string"))).select("doc_id", "line", "page", "t")
+
+
+@query(
+    f"""WITH {GLYPHS}, h AS (SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE size END AS size) FROM g), o AS (SELECT *, count(*) OVER w >= 20 AND count(*) FILTER (top - bottom > 1.8 * size) OVER w * 2 > count(*) OVER w AS ocr FROM h WINDOW w AS (PARTITION BY doc_id, page))
+    SELECT doc_id, page, ocr, CASE WHEN ocr THEN top - bottom ELSE size END::DOUBLE AS size, count(*) AS glyphs FROM o GROUP BY ALL"""
+)
+def ocr_repair(spark, d):
+    g = glyphs(spark, d).withColumn("size", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(F.col("size")))
+    return lines.repair_ocr(g).groupBy("doc_id", "page", "ocr", "size").agg(F.count("*").alias("glyphs"))
+
+
+@query(f"""WITH {GLYPHS}, em AS (SELECT doc_id, page, median(size) AS em FROM g WHERE NOT space GROUP BY ALL), y AS (SELECT DISTINCT doc_id, page, y FROM g WHERE NOT space), s AS (SELECT doc_id, page, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS step FROM y)
+    SELECT doc_id, page, count(*) FILTER (step IS NULL OR step > 0.5 * em) AS lines FROM s JOIN em USING (doc_id, page) GROUP BY ALL""")
+def line_estimate(spark, d):
+    return lines.line_estimate(glyphs(spark, d))
