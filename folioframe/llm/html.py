@@ -259,6 +259,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", F.when(host != "", host))
     first = rows.where("host is not null and page_id is not null and html is not null").groupBy("host").agg(F.min("page_id").alias("page_id"))
     # several rows of one page_id: the least html
+    first = materialize(first, "html-first")  # else pages would be dealt by host alone, as its aggregate is
     models = materialize(rows.join(first, ["host", "page_id"], "left_semi").groupBy("host").agg(F.min("html").alias("model")), "html-models")
 
     def vote(batches):
