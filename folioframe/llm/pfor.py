@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, chunks, delete_path, materialize, scratch_path
-from .tokens import ChunkTokenizer
+from .tokens import shared_tokenizer
 
 BLOCK, PERCENTILE = 128, 90
 HEAD = np.dtype([("magic", "S4"), ("shard", "<u4"), ("seq", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4"), ("bytes", "<u8")])
@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     def encode(batches):
         from pyspark import TaskContext
 
-        tok, shard, seq = ChunkTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        tok, shard, seq = shared_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         names, counts, ids, held = [], [], [], 0
         for batch in batches:
             texts, doc_ids = batch.column(1), batch.column(0).to_pylist()

@@ -9,6 +9,7 @@ are ordinary text, as the tokenizers' guide sets it.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +119,9 @@ class ChunkTokenizer:
         keep[np.cumsum(counts + 1) - 1] = False
         out[keep] = ids
         return out, counts + 1
+
+
+@lru_cache(1)
+def shared_tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks of a worker process, so that they share what has been encoded; its cache is bounded."""
+    return ChunkTokenizer(path)
