@@ -41,6 +41,7 @@ class ChunkTokenizer:
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
+        self.drops_space = self._ids_of("a b") == self._ids_of(" a\t\n b ") and self._ids_of(" ") == []
         self.ids, self.first, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int64)
         self.cache = WordCache(self._compute, self._clear, most)
 
@@ -48,6 +49,9 @@ class ChunkTokenizer:
         for x in (self.ids, self.first, self.count):
             x.reset()
 
+    def _ids_of(self, text: str) -> list[int]:
+        return self.t.encode(text, add_special_tokens=False).ids
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -64,8 +68,26 @@ class ChunkTokenizer:
         cut = re.split(r"(?<=\S) (?=\S)", text)
         return np.array([i for x in self._encode([cut[0], *(" " + x for x in cut[1:])]) for i in x], np.int32)
 
+    def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for a vocabulary that drops white space: words between white space, each by itself."""
+        words, codes, per_text = split_words(texts)
+        short = np.array([len(w) <= LONGEST_CACHED for w in words], bool)
+        rows = np.zeros(len(words), np.int64)
+        rows[short] = self.cache.rows([w for w in words if len(w) <= LONGEST_CACHED])
+        extra = self._encode([w for w in words if len(w) > LONGEST_CACHED]) if not short.all() else []
+        firsts, counts = self.first.a[rows], self.count.a[rows]
+        lens = np.fromiter(map(len, extra), np.int64, len(extra))
+        firsts[~short], counts[~short] = self.ids.n + np.cumsum(lens) - lens, lens
+        store = np.concatenate([self.ids.a[: self.ids.n], np.array([i for x in extra for i in x], np.int32)]) if extra else self.ids.a[: self.ids.n]
+        each = counts[codes]
+        before = np.concatenate([[0], np.cumsum(each)])
+        out = store[np.repeat(firsts[codes] - before[:-1], each) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
+        return out, np.diff(before[np.concatenate([[0], np.cumsum(per_text)])])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text (null: none)."""
+        if self.drops_space:
+            return self._encode_words(texts)
         texts = pc.fill_null(texts, "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
         apart = {int(i): self._odd(texts[int(i)].as_py()) for i in odd}
