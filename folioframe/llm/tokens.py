@@ -21,9 +21,9 @@ from .common import Growing, WordCache, split_words
 LONGEST_CACHED = 64
 
 
-#: White space, and a space that has other white space or an end of the text beside it.
+#: White space, and a space or line feed that has other white space or an end of the text beside it.
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-ODD = rf"{WHITE} | {WHITE}|^ | $"
+ODD = rf"{WHITE}[ \n]|[ \n]{WHITE}|^[ \n]|[ \n]$|\x00"
 
 
 def tokenizer_file(name: str) -> str:
@@ -94,7 +94,8 @@ class ChunkTokenizer:
         if apart:
             plain = pc.invert(pc.match_substring_regex(texts, ODD))
             texts = pc.if_else(plain, texts, "")
-        words, codes, per_text = split_words(texts, space_only=True)
+        # a line feed between two words begins a pre-token of its own, so what follows it can be cut off with it
+        words, codes, per_text = split_words(pc.replace_substring(texts, "\n", " \x00"), space_only=True)
         starts = np.cumsum(per_text) - per_text
         heads = codes[starts]  # a text's first word has no space before it
         used = np.ones(len(codes), bool)
@@ -102,7 +103,7 @@ class ChunkTokenizer:
         n, head_words = len(words), np.unique(heads)
         inner = np.zeros(n, bool)
         inner[codes[used]] = True
-        keys = [" " + words[i] for i in np.flatnonzero(inner)] + [words[i] for i in head_words]
+        keys = ["\n" + words[i][1:] if words[i][:1] == "\x00" else " " + words[i] for i in np.flatnonzero(inner)] + [words[i] for i in head_words]
         long = {k for k in keys if len(k) > LONGEST_CACHED}
         rows = np.zeros(len(keys), np.int64)
         short = np.array([k not in long for k in keys], bool) if long else np.ones(len(keys), bool)
