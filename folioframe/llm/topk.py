@@ -77,12 +77,17 @@ def search(best: Best, query_ids, queries, query_dist, ids, rows, row_dist) -> N
     width = max(queries.shape[1], rows.shape[1])
     queries, rows = fit_width(queries, width), fit_width(rows, width)
     q2, r2 = (queries * queries).sum(1), (rows * rows).sum(1)
+    # single precision is enough for a lower bound, less what its rounding may have added
+    near_q, near_r = query_dist.astype(np.float32), np.ascontiguousarray(row_dist.T.astype(np.float32))
+    slack = np.float32(1e-6) * (near_q.max(initial=0) + near_r.max(initial=0))
     wide_r, wide_q = np.abs(rows).max(1, initial=0) > WIDE, np.abs(queries).max(1, initial=0) > WIDE
     for a in range(0, len(queries), TILE):
         b = min(a + TILE, len(queries))
-        low = np.zeros((b - a, len(rows)))
+        low, apart = np.zeros((b - a, len(rows)), np.float32), np.empty((b - a, len(rows)), np.float32)
         for p in range(query_dist.shape[1]):
-            np.maximum(low, np.abs(query_dist[a:b, p, None] - row_dist[None, :, p]), out=low)
+            np.subtract(near_q[a:b, p, None], near_r[p], out=apart)
+            np.maximum(low, np.abs(apart, out=apart), out=low)
+        low = np.maximum(low - slack, 0).astype(np.float64)
         scale = q2[a:b, None] + r2[None]
         bound = (scale - low * low) / 2 + 1e-7 * scale + 1e-6
         bound[:, wide_r] = np.inf
