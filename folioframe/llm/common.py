@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Characters handled at a time inside a worker, which bounds its memory; a single longer text is still taken whole.
 CHUNK_CHARS = 4_000_000
@@ -42,6 +42,25 @@ def extended(df: DataFrame, *names: str) -> StructType:
     return StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
 
 
+def carried(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with the columns `used` as strings (null where absent) and every other one under a name that cannot
+    clash, and what gives the frame's own columns back. A column that is a string already is carried once."""
+    picked, back, found = [], [], set()
+    for i, f in enumerate(df.schema.fields):
+        col = F.col(f"`{f.name.replace('`', '``')}`")
+        once = f.name in used and isinstance(f.dataType, StringType)
+        name = f.name if once else f"_own{i}"
+        picked.append(col.alias(name))
+        back.append((name, f.name))
+        if once:
+            found.add(f.name)
+        elif f.name in used:
+            picked.append(col.cast("string").alias(f.name))
+            found.add(f.name)
+    picked += [F.lit(None).cast("string").alias(u) for u in used if u not in found]
+    return df.select(*picked), lambda out: out.select(*[F.col(a).alias(b) for a, b in back])
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

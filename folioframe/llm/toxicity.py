@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import chunks, crc_mod, extended, segment_sums
+from .common import carried, chunks, crc_mod, extended, segment_sums
 from .labelled import labelled
 
 #: Order of the models, orders counted over both classes, and counts of the lower order added to each context.
@@ -105,5 +105,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below the threshold, with their columns. Learns from every label."""
-    own = docs.select(F.struct("*").alias("_doc"), F.col("text").cast("string").alias("text"))
-    return ToxicityClassifier().fit(docs, labels).score(own).where(F.col("score") < THRESHOLD).select("_doc.*")
+    own, back = carried(docs, "text")
+    return back(ToxicityClassifier().fit(docs, labels).score(own).where(F.col("score") < THRESHOLD))
