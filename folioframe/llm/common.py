@@ -14,6 +14,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Characters handled at a time inside a worker, which bounds its memory; a single longer text is still taken whole.
 CHUNK_CHARS = 4_000_000
+#: The same for the language models, which hold several numbers for each word of a chunk.
+MODEL_CHUNK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Growing, WordCache, chunks, materialize, split_words
+from .common import MODEL_CHUNK_CHARS, Growing, WordCache, chunks, materialize, split_words
 
 BOS, EOS = "\x02", "\x03"
 #: N-grams and contexts up to which the model is broadcast: some 12 bytes each.
 MOST_BROADCAST = 6_000_000
 #: Words held by a counting task before they go out.
 WORDS_HELD = 300_000
+#: Words whose scores a scoring task keeps: some 200 bytes each.
+WORDS_CACHED = 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(1), MODEL_CHUNK_CHARS):
                 classes = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
                 for cls in np.unique(classes):
                     words, codes, _ = split_words(batch.column(1).slice(a, b - a).filter(pa.array(classes == cls)))
@@ -216,7 +218,7 @@ class CachedScorer:
     def __init__(self, packed):
         self.scorer = Scorer(packed)
         self.table = Growing(np.float32, len(self.scorer.classes) + 1)
-        self.cache = WordCache(self._compute, self.table.reset)
+        self.cache = WordCache(self._compute, self.table.reset, WORDS_CACHED)
 
     def _compute(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import carried, chunks, crc_mod, extended, segment_sums
+from .common import MODEL_CHUNK_CHARS, carried, chunks, crc_mod, extended, segment_sums
 from .labelled import labelled
 
 #: Order of the models, orders counted over both classes, and counts of the lower order added to each context.
@@ -40,7 +40,7 @@ def features(docs: DataFrame, model: kn.Model, most: int | None = None) -> DataF
         def run(batches):
             scorer = kn.CachedScorer(packed.value)
             for b in batches:
-                for i, j in chunks(b.column(place)):
+                for i, j in chunks(b.column(place), MODEL_CHUNK_CHARS):
                     part = b.slice(i, j - i)
                     yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, _features(scorer, part.column(place)))], [*part.schema.names, "ratio", "evidence", "words"])
 
