@@ -63,3 +63,22 @@ def dedupe_images(images: DataFrame) -> DataFrame:
     rows = images.withColumn("_first", first)
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_first"))
     return rows.withColumn("number", number.cast("long")).withColumn("path", F.concat(F.lit("image_"), F.col("number").cast("string"), F.lit(".png"))).drop("_first")
+
+
+def merge_references(blocks: DataFrame) -> DataFrame:
+    """A reference's entry that begins with [n] takes the blocks after it while its last one ends no sentence, the next
+    is no entry, lies on the entry's page or the page after, and is within 15 % of its size.
+    doc_id, ord and page (the entry's), parts, text."""
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    lead = F.coalesce(is_citation_lead(F.col("text")), F.lit(False))
+    rows = blocks.select("doc_id", "ord", "page", "size", "text", lead.alias("lead"), F.lag("text").over(w).alias("before"))
+    rows = rows.withColumn("entry", F.sum(F.col("lead").cast("int")).over(w))
+    head = Window.partitionBy("doc_id", "entry").orderBy("ord")
+    first = F.first(F.struct("page", "size")).over(head)
+    on = ~F.col("before").rlike("[.!?]$") & F.col("page").between(F.col("head.page"), F.col("head.page") + 1) & (F.abs(F.col("size") - F.col("head.size")) <= 0.15 * F.col("head.size"))
+    rows = rows.withColumn("head", first).withColumn("off", (~F.col("lead") & ~F.coalesce(on, F.lit(False))).cast("int"))
+    apart = (F.col("entry") == 0) | (F.sum("off").over(head) > 0)
+    rows = rows.withColumn("chain", F.when(apart, F.col("ord")).otherwise(F.first("ord").over(head)))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "page", "text")))
+    one = rows.groupBy("doc_id", "chain").agg(F.count("*").alias("parts"), parts.alias("all"))
+    return one.select("doc_id", F.col("chain").alias("ord"), F.col("all")[0]["page"].alias("page"), "parts", F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chrome, grid, lines, passes
+from ..operators import chrome, cluster, figures, grid, lines, passes
 from ..sources import typeset as T
 from . import markdown
 
@@ -401,3 +401,45 @@ def ocr_repair(spark, d):
     SELECT doc_id, page, count(*) FILTER (step IS NULL OR step > 0.5 * em) AS lines FROM s JOIN em USING (doc_id, page) GROUP BY ALL""")
 def line_estimate(spark, d):
     return lines.line_estimate(glyphs(spark, d))
+
+
+@query(f"""WITH {GLYPHS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) - 1 AS line_no, count(*) AS glyphs, y AS baseline FROM g GROUP BY doc_id, page, y HAVING bool_or(NOT space)""")
+def clustered_lines(spark, d):
+    found = cluster.page_lines(glyphs(spark, d).select("doc_id", "page", "y", "left", "right", "bottom", "top", "size", "space"), columns=False)
+    return found.where("line_no >= 0").groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("glyphs"), F.min("y").alias("baseline"))
+
+
+FIGURES = "fig AS (SELECT DISTINCT doc_id, page, 100.0::DOUBLE AS f_x0, 300.0::DOUBLE AS f_y0, 300.0::DOUBLE AS f_x1, 500.0::DOUBLE AS f_y1, doc_id % 2 = 0 AS diagram FROM l)"
+LABELLED = "lg AS (SELECT * REPLACE (CASE WHEN seq % 7 = 0 THEN 3.0 ELSE size END AS size) FROM g)"
+MID = '("left" + "right") / 2 BETWEEN f_x0 + {i} AND f_x1 - {i} AND (bottom + top) / 2 BETWEEN f_y0 + {i} AND f_y1 - {i}'
+
+
+def _labelled(spark, d):
+    return glyphs(spark, d).withColumn("size", F.when(F.col("seq") % 7 == 0, 3.0).otherwise(F.col("size")))
+
+
+def _figures(spark, d):
+    boxes = [F.lit(v).alias(n) for n, v in (("f_x0", 100.0), ("f_y0", 300.0), ("f_x1", 300.0), ("f_y1", 500.0))]
+    return plain(spark, d).select("doc_id", "page").distinct().select("*", *boxes, (F.col("doc_id") % 2 == 0).alias("diagram"))
+
+
+@query(f"""WITH {GLYPHS}, {FIGURES}, {LABELLED}, n AS (SELECT doc_id, page, count(*) AS n FROM lg JOIN fig USING (doc_id, page) WHERE NOT space AND size >= 4 AND top - bottom <= 2 * size AND {MID.format(i=30)} GROUP BY ALL)
+    SELECT doc_id, page, diagram, coalesce(n, 0) AS prose, coalesce(n, 0) > 25 AS holds_prose FROM fig LEFT JOIN n USING (doc_id, page)""")
+def figure_prose(spark, d):
+    return figures.prose_regions(_figures(spark, d), _labelled(spark, d)).select("doc_id", "page", "diagram", "prose", "holds_prose")
+
+
+@query(f"""WITH {GLYPHS}, {FIGURES}, {LABELLED} SELECT doc_id, page, line, count(*) AS glyphs FROM lg JOIN fig USING (doc_id, page) WHERE NOT ({MID.format(i=0)} AND (diagram OR size < 4 OR top - bottom > 2 * size)) GROUP BY ALL""")
+def figure_labels(spark, d):
+    return figures.suppress_labels(_labelled(spark, d), _figures(spark, d)).groupBy("doc_id", "page", "line").agg(F.count("*").alias("glyphs"))
+
+
+@query(
+    f"""WITH {MARKED}, b AS (SELECT doc_id, line AS ord, page, t, {SIZE} AS size, regexp_matches(t, '^ *[[][0-9]+[]]') AS lead, lag(t) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM m),
+    e AS (SELECT *, sum(lead::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS entry FROM b), h AS (SELECT *, first_value(page) OVER w AS hp, first_value(size) OVER w AS hs, first_value(ord) OVER w AS ho FROM e WINDOW w AS (PARTITION BY doc_id, entry ORDER BY ord)),
+    o AS (SELECT *, CASE WHEN lead OR coalesce(NOT regexp_matches(before, '[.!?]$') AND page BETWEEN hp AND hp + 1 AND abs(size - hs) <= 0.15 * hs, false) THEN 0 ELSE 1 END AS off FROM h),
+    c AS (SELECT *, CASE WHEN entry = 0 OR sum(off) OVER (PARTITION BY doc_id, entry ORDER BY ord) > 0 THEN ord ELSE ho END AS chain FROM o)
+    SELECT doc_id, chain AS ord, min(page) AS page, count(*) AS parts, string_agg(t, ' ' ORDER BY ord) AS text FROM c GROUP BY doc_id, chain"""
+)
+def merge_references(spark, d):
+    return passes.merge_references(marked(spark, d).select("doc_id", F.col("line").alias("ord"), "page", T.line_size().alias("size"), F.col("t").alias("text")))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
+from folioframe.operators import cluster
 from folioframe.plans import markdown, registry
 from folioframe.sources import typeset
 
@@ -58,3 +59,14 @@ def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert typeset.text_lines(docs).count() == 1
     assert typeset.typeset(typeset.text_lines(docs)).count() == 0
+
+
+def test_columns_are_read_one_by_one(spark):
+    rows = [(1, 0, 700.0 - 12 * i, x + 6.0 * k, x + 6.0 * k + 5, 10.0, False, f"{c}{i}") for c, x in (("b", 300.0), ("a", 72.0)) for i in range(5) for k in range(6)]
+    rows += [(1, 0, 500.0, 72.0 + 6 * k, 77.0 + 6 * k, 10.0, False, "foot") for k in range(40)] + [(1, 0, 400.0, 72.0, 77.0, None, True, "blank")]
+    g = spark.createDataFrame(rows, "doc_id long, page long, y double, left double, right double, size double, space boolean, name string").selectExpr("*", "y as bottom", "y + 10 as top")
+    got = {(r.region, r.line_no, r.name) for r in cluster.page_lines(g).collect()}
+    regions = {n: r for r, line, n in got}
+    assert [n for n in sorted(regions, key=lambda n: (regions[n], n)) if n != "blank"] == [f"{c}{i}" for c in "ab" for i in range(5)] + ["foot"]
+    assert {n: line for r, line, n in got} == {f"{c}{i}": i for c in "ab" for i in range(5)} | {"foot": 0, "blank": -1}
+    assert cluster.page_lines(g.where("false")).count() == 0
