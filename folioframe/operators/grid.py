@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def grid_lines(rules: DataFrame, keys: list[str], chain: float = 2.5, touch: float = 3.5) -> DataFrame:
@@ -30,3 +32,36 @@ def glyph_cells(glyphs: DataFrame, cells: DataFrame, keys: list[str]) -> DataFra
 def withhold(glyphs: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
     """Glyphs that no table has taken."""
     return glyphs.join(used.select(*keys).distinct(), keys, "left_anti")
+
+
+def lattices(across: DataFrame, down: DataFrame, keys: list[str], tol: float = 2.5) -> DataFrame:
+    """keys, horizontal, rule_no, lattice: rules (at, lo, hi, rule_no) that cross, within `tol`, directly or through
+    others, form a lattice, numbered by its least horizontal rule; rules that cross none are in none (null).
+
+    Labels spread inside a page's own rules, which its paper bounds.
+    """
+
+    fields = [f for f in across.schema.fields if f.name in keys]
+    schema = StructType([*fields, StructField("horizontal", BooleanType()), StructField("rule_no", LongType()), StructField("lattice", LongType())])
+    cols = [*keys, F.col("rule_no").cast("long").alias("rule_no"), *[F.col(c).cast("double").alias(c) for c in ("at", "lo", "hi")]]
+    rows = across.select(*cols, F.lit(True).alias("horizontal")).unionByName(down.select(*cols, F.lit(False).alias("horizontal"))).dropna(subset=["at", "lo", "hi", "rule_no"])
+
+    def run(page):
+        h, v = page[page.horizontal], page[~page.horizontal]
+        fits = lambda at, lo, hi: (at >= lo - tol) & (at <= hi + tol)
+        meet = fits(v["at"].to_numpy()[None, :], h["lo"].to_numpy()[:, None], h["hi"].to_numpy()[:, None]) & fits(h["at"].to_numpy()[:, None], v["lo"].to_numpy()[None, :], v["hi"].to_numpy()[None, :])
+        far = float("inf")
+        label = np.where(meet.any(axis=1), h["rule_no"].to_numpy(float), far)
+        while len(h) and len(v):
+            below = np.where(meet, label[:, None], far).min(axis=0)
+            less = np.minimum(label, np.where(meet, below[None, :], far).min(axis=1))
+            if (less == label).all():
+                break
+            label = less
+        below = np.where(meet, label[:, None], far).min(axis=0) if len(h) else np.full(len(v), far)
+        out = page[[*keys, "horizontal", "rule_no"]].copy()
+        found = np.full(len(page), far)
+        found[page.horizontal.to_numpy()], found[~page.horizontal.to_numpy()] = label, below
+        return out.assign(lattice=[None if x == far else int(x) for x in found])[[f.name for f in schema.fields]]
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
-from folioframe.operators import cluster
+from folioframe.operators import cluster, grid
 from folioframe.plans import markdown, registry
 from folioframe.sources import typeset
 
@@ -70,3 +70,16 @@ def test_columns_are_read_one_by_one(spark):
     assert [n for n in sorted(regions, key=lambda n: (regions[n], n)) if n != "blank"] == [f"{c}{i}" for c in "ab" for i in range(5)] + ["foot"]
     assert {n: line for r, line, n in got} == {f"{c}{i}": i for c in "ab" for i in range(5)} | {"foot": 0, "blank": -1}
     assert cluster.page_lines(g.where("false")).count() == 0
+
+
+def test_lattices(spark):
+    rule = "doc long, rule_no int, at double, lo double, hi double"
+    # two grids side by side, joined on page 2 by a long rail; a rule that meets nothing
+    across = [(d, i, 100.0 * i, 0.0, 50.0) for d in (1, 2) for i in range(3)] + [(d, 10 + i, 100.0 * i, 80.0, 120.0) for d in (1, 2) for i in range(3)] + [(1, 20, 500.0, 0.0, 9.0), (2, 21, 150.0, 0.0, 120.0)]
+    down = [(d, n, float(x), 0.0, 200.0) for d in (1, 2) for n, x in enumerate((0, 50, 80, 122))] + [(3, 0, 1.0, 0.0, 9.0)]
+    got = {(r.doc, r.horizontal, r.rule_no): r.lattice for r in grid.lattices(spark.createDataFrame(across, rule), spark.createDataFrame(down, rule), ["doc"]).collect()}
+    assert len(got) == len(across) + len(down)
+    assert {got[1, True, i] for i in range(3)} == {0} and {got[1, True, 10 + i] for i in range(3)} == {10}
+    assert [got[1, False, n] for n in range(4)] == [0, 0, 10, 10]
+    assert got[1, True, 20] is None and got[3, False, 0] is None
+    assert {v for (d, _, n), v in got.items() if d == 2} == {0}
