@@ -152,3 +152,32 @@ def render_run(text: Column, bold: Column, italic: Column, mono: Column) -> Colu
     lead, tail = F.regexp_extract(text, "^( *)", 1), F.regexp_extract(text, "( *)$", 1)
     body = F.when(mono, code_span(inner)).otherwise(F.concat(mark, escape_inline(inner), mark))
     return F.when(inner == "", text).otherwise(F.concat(lead, body, tail))
+
+
+#: Function names with a macro of their own in LaTeX.
+OPERATORS = ("max", "min", "sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "exp", "lim", "det", "gcd", "tanh", "sinh", "cosh")
+
+
+def operator_macro(name: Column) -> Column:
+    return F.when(name.isin(*OPERATORS), F.concat(F.lit("\\"), name)).otherwise(name)
+
+
+def is_continuation_marker(c: Column) -> Column:
+    """Nothing but blanks and the triangles that say that a table goes on."""
+    return c.rlike("^[ ▽△]*[▽△][ ▽△]*$")
+
+
+def joins_tight(left: Column, right: Column) -> Column:
+    """Two cells of a label join without a blank where a connector ends one or begins the other."""
+    return left.rlike("[_./-]$") | right.rlike("^[_./-]")
+
+
+def keeps_hyphen(token: Column) -> Column:
+    """A wrapped token that keeps its last hyphen: it holds another hyphen, or a brace."""
+    return F.regexp_replace(token, "[-‐­]+$", "").rlike("[-‐{}]")
+
+
+def same_columns(a: Column, b: Column, size: Column) -> Column:
+    """Column edges of equal number, each within max(3, 0.4 size) of the other's."""
+    far = F.greatest(F.lit(3.0), 0.4 * F.greatest(size, F.lit(1.0)))
+    return (F.size(a) > 0) & (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= far), lambda x: x)

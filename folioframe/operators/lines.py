@@ -98,3 +98,22 @@ def repair_ocr(glyphs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page")
     rows = glyphs.withColumn("ocr", (F.count("*").over(w) >= 20) & (F.count_if(tall).over(w) * 2 > F.count("*").over(w)))
     return rows.withColumn("size", F.when(F.col("ocr"), F.col("top") - F.col("bottom")).otherwise(F.col("size")))
+
+
+def token_spaces(gap_rows: DataFrame, em: float) -> DataFrame:
+    """Gap rows with space: whether a blank goes before the glyph. A blank glyph or a gap over 0.28 em asks for one. It
+    falls away inside a column where it parts digits or a hyphened token without a blank glyph, stands before . , : ;
+    of a word (not before :=), or beside a double colon."""
+    w = Window.partitionBy(*LINE).orderBy("left", "seq")
+    word, c, a = "[A-Za-z0-9]", F.col("ch"), F.lag("ch").over(w)
+    spaced = F.coalesce(F.col("spaced"), F.lit(False))
+    after = F.when(F.lead("spaced").over(w), " ").otherwise(F.coalesce(F.lead("ch").over(w), F.lit("")))
+    bound = (
+        (a.rlike("[0-9]") & c.rlike("[0-9]") & ~spaced)
+        | (a.rlike(word) & c.isin(".", ",", ":", ";") & ~((c == ":") & (after == "=")))
+        | ((a == ":") & ((c == ":") | F.coalesce(F.lag("ch", 2).over(w) == ":", F.lit(False))))
+        | (a.rlike(word) & (c == "-") & after.rlike(word) & ~spaced)
+    )
+    column = F.col("gap") > F.greatest(1.4 * F.col("size"), F.lit(10.0))
+    asked = F.col("gap").isNotNull() & (spaced | (F.col("gap") > 0.28 * em))
+    return gap_rows.withColumn("space", asked & (column | ~F.coalesce(bound, F.lit(False))))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chrome, cluster, figures, grid, lines, passes
+from ..operators import chrome, cluster, figures, grid, lines, passes, regions
 from ..sources import typeset as T
 from . import markdown
 
@@ -443,3 +443,66 @@ def figure_labels(spark, d):
 )
 def merge_references(spark, d):
     return passes.merge_references(marked(spark, d).select("doc_id", F.col("line").alias("ord"), "page", T.line_size().alias("size"), F.col("t").alias("text")))
+
+
+BOXES = f"""{GLYPHS}, bx AS (SELECT doc_id, page, line, count(*) AS glyphs, min("left") + 7 * (line % 4) AS x0, max("right") + 7 * (line % 4) AS x1, median(y) AS baseline, greatest(median(size), 1.0)::DOUBLE AS size FROM g WHERE NOT space GROUP BY doc_id, page, line)"""
+
+
+def _boxes(spark, d):
+    shift = 7 * (F.col("line") % 4)
+    return lines.line_stats(glyphs(spark, d)).withColumn("x0", F.col("x0") + shift).withColumn("x1", F.col("x1") + shift)
+
+
+@query(f"WITH {BOXES} SELECT doc_id, page, coalesce(min(x0) FILTER (glyphs >= 15), min(x0), 0.0)::DOUBLE AS \"left\" FROM bx GROUP BY ALL")
+def column_left(spark, d):
+    return regions.column_left(_boxes(spark, d))
+
+
+@query(
+    f"""WITH {BOXES}, s AS (SELECT *, lag(baseline) OVER (PARTITION BY doc_id, page ORDER BY baseline DESC) - baseline AS step FROM bx), e AS (SELECT doc_id, page, median(size) AS em FROM bx GROUP BY ALL)
+    SELECT doc_id, page, min(x0) AS x0, max(x1) AS x1, em AS size, coalesce(median(step) FILTER (step > 0.1 AND step < 3 * em), 1.2 * em)::DOUBLE AS step FROM s JOIN e USING (doc_id, page) GROUP BY doc_id, page, em"""
+)
+def region_stats(spark, d):
+    return regions.region_stats(_boxes(spark, d))
+
+
+@query(f"""WITH {GLYPHS}, z AS (SELECT doc_id, page, line, any_value(doc_id % 3 + 4)::DOUBLE AS size, coalesce(median(top - bottom) FILTER (NOT space), 0) AS mid, coalesce(max(top - bottom) FILTER (NOT space), 0) AS tall FROM g GROUP BY ALL)
+    SELECT doc_id, page, line, size, greatest(CASE WHEN size >= 0.5 * mid THEN size ELSE tall END, 1.0)::DOUBLE AS robust FROM z""")
+def robust_size(spark, d):
+    g = glyphs(spark, d)
+    sizes = g.groupBy("doc_id", "page", "line").agg(F.first((F.col("doc_id") % 3 + 4).cast("double")).alias("size"))
+    return regions.robust_size(g, sizes)
+
+
+@query(
+    f"""WITH {LINES}, it AS (SELECT doc_id, page, line, (72 + 6 * (line * 7 % 11))::DOUBLE AS x0 FROM l), x AS (SELECT doc_id, page, list_sort(list(DISTINCT x0)) AS ats FROM it GROUP BY ALL),
+    b AS (SELECT doc_id, page, list_reduce(list_transform(ats, lambda v: [v]), lambda a, v: CASE WHEN v[1] > a[-1] + 0.9 * 10.0 THEN list_concat(a, v) ELSE a END) AS begins FROM x)
+    SELECT doc_id, page, line, x0, greatest(coalesce(list_position(begins, list_filter(begins, lambda v: abs(x0 - v) <= 0.9 * 10.0 + 1e-6)[1]), 0) - 1, 0)::BIGINT AS level FROM it JOIN b USING (doc_id, page)"""
+)
+def list_levels(spark, d):
+    x = (72 + 6 * (F.col("line") * 7 % 11)).cast("double")
+    return regions.list_levels(plain(spark, d).select("doc_id", "page", "line", x.alias("x0")), 10.0)
+
+
+@query(
+    f"""WITH {LINES}, tb AS (SELECT DISTINCT doc_id, page, n AS table_no, 700.0::DOUBLE - 290 * n AS top FROM l, (SELECT unnest(range(3)) AS n)), b AS (SELECT doc_id, page, line AS ord, 758.0::DOUBLE - 15 * (line % 45) AS y_top FROM l)
+    SELECT doc_id, page, table_no, min(ord) FILTER (y_top < top) AS ord FROM tb JOIN b USING (doc_id, page) GROUP BY ALL"""
+)
+def table_places(spark, d):
+    x = plain(spark, d)
+    tables = x.select("doc_id", "page").distinct().select("*", F.explode(F.expr("sequence(0L, 2L)")).alias("table_no")).withColumn("y_top", F.lit(700.0) - 290.0 * F.col("table_no"))
+    return regions.splice(tables, x.select("doc_id", "page", F.col("line").alias("ord"), (F.lit(758.0) - (F.col("line") % 45) * 15.0).alias("y_top")))
+
+
+@query(f"""WITH {BOXES}, k AS (SELECT * FROM bx WHERE line % 3 <> 1) SELECT doc_id, page, line FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.page = k.page AND o.line <> k.line AND o.x0 <= k.x1 AND k.x0 <= o.x1 AND abs(o.baseline - k.baseline) <= 24)""")
+def isolated_lines(spark, d):
+    return regions.isolated(_boxes(spark, d).where("line % 3 <> 1")).select("doc_id", "page", "line")
+
+
+@query(
+    f"""WITH {GAPS}, n AS (SELECT *, coalesce(spaced, false) AS sp, lag(ch) OVER w AS a, lag(ch, 2) OVER w AS aa, CASE WHEN lead(spaced) OVER w THEN ' ' ELSE coalesce(lead(ch) OVER w, '') END AS nx FROM gap WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY "left", seq)),
+    b AS (SELECT *, coalesce((regexp_matches(a, '[0-9]') AND regexp_matches(ch, '[0-9]') AND NOT sp) OR (regexp_matches(a, '[A-Za-z0-9]') AND ch IN ('.', ',', ':', ';') AND NOT (ch = ':' AND nx = '=')) OR (a = ':' AND (ch = ':' OR coalesce(aa = ':', false))) OR (regexp_matches(a, '[A-Za-z0-9]') AND ch = '-' AND regexp_matches(nx, '[A-Za-z0-9]') AND NOT sp), false) AS bound FROM n)
+    SELECT doc_id, page, line, seq, gap IS NOT NULL AND (sp OR gap > 0.28 * 10.0::DOUBLE) AND (gap > greatest(1.4 * size, 10.0) OR NOT bound) AS space FROM b"""
+)
+def token_spaces(spark, d):
+    return lines.token_spaces(lines.gaps(_gapped(spark, d)), 10.0).select("doc_id", "page", "line", "seq", "space")

@@ -41,6 +41,7 @@ def one(spark, value, column):
         (X.heading_depth, "2.1 Setup", 2), (X.heading_depth, "2.1x", 0), (X.segment_signature, "Page 12 of 40", "page#of#"), (X.heading_key, " A-b  C. ", "a b c"),
         (X.metadata_label, "Key: v", "Key"), (X.metadata_label, "a::b", ""), (X.escape_line_start, "12. x", "12\\. x"), (X.code_span, "a``b", "```a``b```"), (X.ligatures, "ﬁn", "fin•"),
         (X.yaml_quote, 'a"b', '"a\\"b"'), (X.image_link, "a b.png", "![](<a b.png>)"), (X.script_braces, "ab", "{ab}"),
+        (X.operator_macro, "sinh", "\\sinh"), (X.operator_macro, "sine", "sine"), (X.is_continuation_marker, " \u25bd ", True), (X.is_continuation_marker, " ", False), (X.keeps_hyphen, "a-b-", True), (X.keeps_hyphen, "ab-", False),
     ],
 )
 def test_text(spark, column, value, want):
@@ -83,3 +84,9 @@ def test_lattices(spark):
     assert [got[1, False, n] for n in range(4)] == [0, 0, 10, 10]
     assert got[1, True, 20] is None and got[3, False, 0] is None
     assert {v for (d, _, n), v in got.items() if d == 2} == {0}
+
+
+def test_cells_join_and_columns_match(spark):
+    row = spark.createDataFrame([("a_", "b", [1.0, 9.0], [2.0, 11.9], [2.0], 5.0)], "l string, r string, a array<double>, b array<double>, c array<double>, s double")
+    got = row.select(X.joins_tight(F.col("l"), F.col("r")).alias("x"), X.joins_tight(F.col("r"), F.col("r")).alias("y"), X.same_columns(F.col("a"), F.col("b"), F.col("s")).alias("z"), X.same_columns(F.col("a"), F.col("c"), F.col("s")).alias("n")).first()
+    assert tuple(got) == (True, False, True, False)
