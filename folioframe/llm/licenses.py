@@ -5,6 +5,8 @@ Everything is column expressions over each document alone: no shuffle, no Python
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,42 +46,53 @@ SENTENCES = {
     "gpl.copy": "You should have received a copy of the GNU General Public License along with this program",
     "unlicense.domain": "This is free and unencumbered software released into the public domain",
 }
-#: (licence, identifiers in order). A rule that lies inside another that fits is passed over.
-RULES = (
-    ("MIT", ("mit.grant", "mit.notice", "mit.warranty")), ("MIT", ("mit.grant", "mit.notice")), ("ISC", ("isc.grant",)),
-    ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")), ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
-    ("Apache-2.0", ("notice.Apache-2.0", "apache.may")), ("Apache-2.0", ("apache.may", "apache.copy", "apache.basis")), ("Apache-2.0", ("notice.Apache-2.0", "apache.may", "apache.copy", "apache.basis")),
-    ("GPL-3.0", ("gpl.free",)), ("GPL-3.0", ("gpl.free", "gpl.hope")), ("GPL-3.0", ("gpl.free", "gpl.hope", "gpl.copy")), ("Unlicense", ("unlicense.domain",)),
-    *((name, (f"notice.{name}",)) for name in NAMES),
-)
-#: Every known sentence holds one of these, so other texts and sentences need no look-up.
-ANCHORS = ("licen", "permission", "copyright", "warrant", "software", "redistribution", " under ")
 #: Sentences end here before white space or the end of the text; so does a line in the second reading of a text.
 END = r"([.!?;:])\s+|\n[ \t\r]*\n"
 END_OR_LINE = r"([.!?;:])\s+|\n"
 
 
 def normal(text: str) -> str:
-    import re
-
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
 
 
+def sentences(name: str) -> dict[str, str]:
+    """A known text's sentences as documents are split: identifier to sentence, numbered where there are several."""
+    parts = [p for p in map(normal, re.sub(END, "\x01", SENTENCES[name]).split("\x01")) if p]
+    return {name: parts[0]} if len(parts) == 1 else {f"{name}.{n}": p for n, p in enumerate(parts, 1)}
+
+
+#: (licence, texts in order). A rule that lies inside another that fits is passed over.
+TEXTS = (
+    ("MIT", ("mit.grant", "mit.notice", "mit.warranty")), ("MIT", ("mit.grant", "mit.notice")), ("ISC", ("isc.grant",)),
+    ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")), ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
+    ("Apache-2.0", ("notice.Apache-2.0", "apache.may")), ("Apache-2.0", ("apache.may", "apache.copy", "apache.basis")), ("Apache-2.0", ("notice.Apache-2.0", "apache.may", "apache.copy", "apache.basis")),
+    ("GPL-3.0", ("gpl.free",)), ("GPL-3.0", ("gpl.free", "gpl.hope")), ("GPL-3.0", ("gpl.free", "gpl.hope", "gpl.copy")), ("Unlicense", ("unlicense.domain",)),
+    *((name, (f"notice.{name}",)) for name in NAMES), *((name, ("spdx", f"spdx.{name}")) for name in NAMES),
+)
+#: The same with each text's sentences for it.
+RULES = tuple((name, tuple(i for t in texts for i in (sentences(t) if t in SENTENCES else [t]))) for name, texts in TEXTS)
+#: Every known sentence holds one of these, so other texts and sentences need no look-up.
+ANCHORS = ("licen", "permission", "copyright", "warrant", "software", "redistribution", " under ")
+#: But the licences' own names, which stand alone after "SPDX-License-Identifier: ".
+ALONE = "^[^a-z0-9]*(?:" + "|".join(normal(i).replace(" ", "[^a-z0-9]+") for i in NAMES) + ")[^a-z0-9]*$"
+
+
 def dictionary() -> dict[str, str]:
-    known = {normal(t): i for i, t in SENTENCES.items()}
-    known |= {f"{way} {name}": f"notice.{i}" for i, names in NAMES.items() for name in names for way in WAYS}
+    known = {s: i for name in SENTENCES for i, s in sentences(name).items()}
+    known |= {f"{way} {name}{tail}": f"notice.{i}" for i, names in NAMES.items() for name in names for way in WAYS for tail in ("", " the license")}
+    known |= {"spdx license identifier": "spdx"} | {normal(i): f"spdx.{i}" for i in NAMES}
     known |= {f"spdx license identifier {normal(i)}": f"notice.{i}" for i in NAMES}
     return known
 
 
-
-
 def identifiers(text: Column, end: str) -> Column:
     """The known sentences' identifiers, in order, as >a>b>c>; > alone where there are none."""
     known = F.create_map(*[F.lit(x) for pair in dictionary().items() for x in pair])
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parts = F.split(F.regexp_replace(lower, end, "\x01"), "\x01")
-    likely = F.filter(parts, lambda s: F.rlike(s, F.lit("|".join(ANCHORS[:-1]) + "|under")))
+    # a name begins with its first two letters or after signs, which spares most sentences the second pattern
+    alone = lambda s: (~F.substring(s, 1, 1).between("a", "z") | F.substring(s, 1, 2).isin(*sorted({normal(i)[:2] for i in NAMES}))) & F.rlike(s, F.lit(ALONE))
+    likely = F.filter(parts, lambda s: F.rlike(s, F.lit("|".join(ANCHORS[:-1]) + "|under")) | alone(s))
     ids = F.transform(likely, lambda s: known[F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))])
     return F.concat(F.lit(">"), F.array_join(F.transform(F.filter(ids, lambda i: i.isNotNull()), lambda i: F.concat(i, F.lit(">"))), ""))
 

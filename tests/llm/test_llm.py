@@ -210,3 +210,53 @@ def test_licenses(spark):
     rows = [(1, "Some text without end\nReleased under the MIT License."), (2, mit), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0."), (5, "Licensed under CC BY-NC 4.0."), (6, "not a license at all")]
     got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT"), (2, "MIT"), (5, "CC-BY-NC-4.0")}
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_license_notices_as_they_stand(spark):
+    paragraphs = GPL.split("\n\n")
+    rows = [(1, GPL), (2, "\n\n".join(paragraphs[:2])), (3, paragraphs[0].replace("\n", " ")), (4, APACHE), (5, APACHE.replace("\n", " "))]
+    rows += [(100 + n, f"// SPDX-License-Identifier: {name}\nint x;") for n, name in enumerate(licenses.NAMES)]
+    rows += [(1000 + n, "Preface.\n\n" + ".\n".join(licenses.SENTENCES[i] for i in ids) + ".\n\nEnd.") for n, (_, ids) in enumerate(licenses.TEXTS) if all(i in licenses.SENTENCES for i in ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(set)
+    for r in licenses.scan(docs).collect():
+        got[r.doc_id].add((r.license, r.rule))
+    free = ">gpl.free.1>gpl.free.2>"
+    assert [got[i] for i in (1, 2, 3)] == [{("GPL-3.0", free + "gpl.hope>gpl.copy>")}, {("GPL-3.0", free + "gpl.hope>")}, {("GPL-3.0", free)}]
+    assert got[4] == {("Apache-2.0", ">notice.Apache-2.0>apache.may>apache.copy>apache.basis>")} and got[5] == {("Apache-2.0", ">notice.Apache-2.0>apache.may>")}
+    assert [got[100 + n] for n in range(len(licenses.NAMES))] == [{(name, f">spdx>spdx.{name}>")} for name in licenses.NAMES]
+    for n, (name, ids) in enumerate(licenses.TEXTS):
+        if all(i in licenses.SENTENCES for i in ids):
+            assert got[1000 + n] == {(name, f">{'>'.join(licenses.RULES[n][1])}>")}, ids
+    import duckdb
+
+    with duckdb.connect() as c:
+        c.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+        assert {(i, n, r) for i, n, r in c.execute(licenses.oracle()).fetchall()} == {(i, *x) for i, v in got.items() for x in v}
