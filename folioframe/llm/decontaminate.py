@@ -16,7 +16,14 @@ WINDOW, SIMILARITY, CONSISTENT = 5, 0.8, 0.8
 #: Items whose windows are broadcast at a time; more items take more passes.
 ITEMS_A_PASS = 50_000
 NUMBER, NAME, UNIT = 1, 2, 3
-UNITS = frozenset("kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres inch inches ft feet foot yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees liter liters litre litres ml l kmh mph".split())
+UNITS = frozenset(
+    "kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres inch inches ft feet foot yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees liter liters litre litres ml l kmh mph "
+    "kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres kilogram kilograms gram grams milligram milligrams pound pounds ounce ounces ton tons tonne tonnes stone "
+    "gallon gallons quart quarts pint pints cup cups tablespoon tablespoons teaspoon teaspoons milliliter milliliters millilitre millilitres acre acres hectare hectares decade decades century centuries".split()
+)
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMERALS = frozenset(["zero", *ONES, *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), *TENS, *(f"{t}-{o}" for t in TENS for o in ONES), *"dozen hundred thousand million billion trillion".split()])
 NUMBER_WORD = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|e[+-]?\d+)?$")
 EDGES = re.compile(r"^\W+|\W+$")
 MULTIPLIER = np.uint64(0x100000001B3)
@@ -31,32 +38,32 @@ class Words:
         self.bare = [EDGES.sub("", w) for w in words]
         self.hash = np.array([xxhash.xxh3_64_intdigest(b.lower()) for b in self.bare], np.uint64)
         self.empty = np.array([not b for b in self.bare], bool)
-        self.kind = np.array([NUMBER if NUMBER_WORD.match(b) else UNIT if b.lower() in UNITS else NAME if b[:1].isupper() and not b.isupper() else 0 for b in self.bare], np.int8)
+        self.kind = np.array([NUMBER if NUMBER_WORD.match(b) or b.lower() in NUMERALS else UNIT if b.lower() in UNITS else NAME if b[:1].isupper() and not b.isupper() else 0 for b in self.bare], np.int8)
         self.ends = np.array([w.rstrip("\"')]}»”’")[-1:] in set(".!?:;") for w in words], bool)
 
 
-def templates(words: Words, codes: np.ndarray, counts: np.ndarray):
-    """Windows of texts: hash, text, first token; and per token: code, kind, text. Tokens without letters or digits
-    are passed over; a capital counts as a name only inside a sentence. Texts of fewer words are one window. Windows
-    with fewer than two literal words keep their own words, as a bare template would fit anything."""
+def templates(words: Words, codes: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...] = ()):
+    """Windows of texts: hash, text, first token and the window's name-reading hash; and per token: code, kind, text.
+
+    Tokens without letters or digits are passed over. Texts of fewer words than WINDOW are one window; with `sizes`,
+    texts have all their windows of these sizes instead. A capital inside a sentence is a name; where a sentence begins
+    it may be one or not, so windows with such a word are given in both readings. Windows with fewer than two literal
+    words keep their own words, as a bare template would fit anything."""
     owner = np.repeat(np.arange(len(counts)), counts)
     first = np.ones(len(codes), bool)
     first[1:] = (owner[1:] != owner[:-1]) | words.ends[codes[:-1]]
     full = ~words.empty[codes]
     codes, owner, first = codes[full], owner[full], first[full]
     kind = words.kind[codes].copy()
-    kind[(kind == NAME) & first] = 0
+    either = (kind == NAME) & first
     raw = words.hash[codes]
-    token = np.where(kind == 0, raw, kind.astype(np.uint64))
+    before = np.concatenate([[0], np.cumsum(either)])
     n = np.bincount(owner, minlength=len(counts)) if len(owner) else np.zeros(len(counts), np.int64)
     starts = np.cumsum(n) - n
-    hashes, at = [], []
-    for size in range(1, WINDOW + 1):
-        texts = np.flatnonzero(n >= WINDOW) if size == WINDOW else np.flatnonzero(n == size)
-        if not len(texts):
-            continue
-        many = n[texts] - size + 1
-        begin = np.repeat(starts[texts] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    hashes, at, names = [], [], []
+
+    def hashed(begin, size, kind):
+        token = np.where(kind == 0, raw, kind.astype(np.uint64))
         h, bare, literal = np.full(len(begin), size, np.uint64), np.full(len(begin), size, np.uint64), np.zeros(len(begin), np.int8)
         for j in range(size):
             h = (h ^ token[begin + j]) * MULTIPLIER
@@ -64,13 +71,28 @@ def templates(words: Words, codes: np.ndarray, counts: np.ndarray):
             bare = (bare ^ raw[begin + j]) * MULTIPLIER
             bare ^= bare >> np.uint64(31)
             literal += kind[begin + j] == 0
-        hashes.append(np.where(literal >= min(2, size), h, ~bare))
+        return np.where(literal >= min(2, size), h, ~bare)
+
+    for size in sizes or range(1, WINDOW + 1):
+        texts = np.flatnonzero(n >= size) if sizes or size == WINDOW else np.flatnonzero(n == size)
+        if not len(texts):
+            continue
+        many = n[texts] - size + 1
+        begin = np.repeat(starts[texts] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        h = hashed(begin, size, kind)
+        hashes.append(h)
         at.append(begin)
+        names.append(h)
+        twice = before[begin + size] > before[begin]
+        if twice.any():
+            hashes.append(hashed(begin[twice], size, np.where(either, 0, kind)))
+            at.append(begin[twice])
+            names.append(h[twice])
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), codes, kind, owner
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), codes, kind, owner
     begin = np.concatenate(at)
     order = np.argsort(begin, kind="stable") if len(at) > 1 else slice(None)
-    return np.concatenate(hashes)[order], owner[begin[order]], begin[order], codes, kind, owner
+    return np.concatenate(hashes)[order], owner[begin[order]], begin[order], np.concatenate(names)[order], codes, kind, owner
 
 
 class Index:
@@ -79,13 +101,16 @@ class Index:
     def __init__(self, ids: list, texts: list[str | None]):
         words, codes, counts = split_words(pa.array(texts, pa.string()))
         table = Words(words)
-        h, item, at, token_codes, kind, owner = templates(table, codes, counts)
+        h, item, at, name, token_codes, kind, owner = templates(table, codes, counts)
         order = np.lexsort((at, item, h))
         self.ids, self.hash, self.item, self.at = ids, h[order], item[order], at[order]
         self.token = [table.bare[c].lower() for c in token_codes]
         self.kind, self.owner = kind, owner
-        pairs = np.unique(np.stack([self.item.astype(np.uint64), self.hash]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
+        pairs, window = np.unique(np.stack([self.item.astype(np.uint64), name[order]]), axis=1, return_inverse=True) if len(h) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+        self.window = window.reshape(-1)
         self.windows = np.bincount(pairs[0].astype(np.int64), minlength=len(ids))
+        words_in = np.bincount(owner, minlength=len(ids)) if len(owner) else np.zeros(len(ids), np.int64)
+        self.sizes = tuple(sorted({*np.minimum(words_in[words_in > 0], WINDOW).tolist()})) or (WINDOW,)
         self.keys = np.unique(self.hash)
         self.first = np.searchsorted(self.hash, self.keys)
         self.last = np.searchsorted(self.hash, self.keys, "right")
@@ -96,7 +121,7 @@ class Index:
         """(text, item, similarity, slots' consistency, same words) of every contaminated text."""
         words, codes, counts = split_words(texts)
         table = Words(words)
-        h, text, at, token_codes, kind, _ = templates(table, codes, counts)
+        h, text, at, _, token_codes, kind, _ = templates(table, codes, counts, self.sizes)
         maybe = np.flatnonzero(self.filter[(h >> np.uint64(13)).astype(np.int64) & (len(self.filter) - 1)])
         where = np.minimum(np.searchsorted(self.keys, h[maybe]), max(len(self.keys) - 1, 0))
         hit = self.keys[where] == h[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
@@ -104,10 +129,10 @@ class Index:
         out = []
         bounds = np.flatnonzero(np.diff(text[maybe], prepend=-1))
         for a, b in zip(bounds, [*bounds[1:], len(maybe)]):
-            found: dict[int, dict[int, tuple[int, list[int]]]] = {}
+            found: dict[int, dict[int, tuple[int, list[int]]]] = {}  # item, window: its first token and where it is held
             for m, k in zip(maybe[a:b].tolist(), where[a:b].tolist()):
                 for x in range(self.first[k], self.last[k]):
-                    found.setdefault(int(self.item[x]), {}).setdefault(k, (int(self.at[x]), []))[1].append(int(at[m]))
+                    found.setdefault(int(self.item[x]), {}).setdefault(int(self.window[x]), (int(self.at[x]), []))[1].append(int(at[m]))
             for item, hits in found.items():
                 similarity = len(hits) / int(self.windows[item])
                 if similarity >= SIMILARITY:

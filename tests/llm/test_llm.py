@@ -260,3 +260,17 @@ def test_license_notices_as_they_stand(spark):
     with duckdb.connect() as c:
         c.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
         assert {(i, n, r) for i, n, r in c.execute(licenses.oracle()).fetchall()} == {(i, *x) for i, v in got.items() for x in v}
+
+
+def test_decontamination_of_other_names_numbers_and_units(spark):
+    tom = "Tom has 12 apples. Tom gives 5 apples to his friend Ann. Tom then buys 7 more apples at the market. How many apples does Tom have now?"
+    starts = "Mary picked 9 ripe plums before lunch. Mary ate 2 of the ripe plums in the garden. How many ripe plums were left over?"
+    train = "A train travels 60 kilometers in the first 2 hours and then 90 kilometers in the next 3 hours. How many kilometers does it travel in all?"
+    bench = spark.createDataFrame([(1, tom), (2, starts), (3, train), (4, "the quick brown"), (5, "Photosynthesis")], "item_id long, text string")
+    docs = {
+        10: tom.replace("Tom", "Sam"), 11: tom.replace("12", "twenty").replace("5", "three"), 12: "Intro here. " + tom.replace("Tom", "Sam").replace("12", "Twenty-one") + " More follows.",
+        13: starts.replace("Mary", "Peter"), 14: "Well, " + starts, 15: train.replace("kilometers", "miles"), 16: "Once the quick brown fox ran over the hill.", 17: "quick brown", 18: "It is called photosynthesis by people.",
+        20: "Tom has a house. Tom walks home with his friend Ann. Tom then sleeps until noon. How long does Tom sleep?", 21: tom.replace("Tom gives", "Sam gives").replace("Tom then", "Joe then").replace("does Tom", "does Kim").replace("5", "8").replace("12", "9").replace("apples at", "plums at").replace("friend", "old aunt"),
+    }
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()}
+    assert got == {(10, 1, False), (11, 1, False), (12, 1, False), (13, 2, False), (14, 2, True), (15, 3, False), (16, 4, True), (18, 5, True)}
