@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html as entities
 import re
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -32,12 +33,17 @@ MARKS = frozenset(
     "footer foot copyright legal disclaimer masthead topbar comment comments commentlist disqus replies reply respond discussion share sharing social follow related recommended recommendations trending newsletter subscribe subscription signup login search pagination pager skip complementary contentinfo header".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements deeper than this are matched as leaves.
+#: Below this depth leaves are matched by their tags' path and their number along it.
 DEEPEST = 60
+#: Elements whose paths, down to this depth, are a page's layout; the pages from which a layout has a model page of its
+#: own, and the most of these of a host. Pages of other layouts take the model that is most alike.
+FRAMES, FRAME_DEPTH, LAYOUT_PAGES, LAYOUTS = frozenset("html body div section article main nav header footer aside table form center".split()), 4, 3, 8
 #: A page of which more than this share equals the model page's text is a copy of it and says nothing of the template.
 COPY = 0.5
 #: Pages that must agree, and their share of those that have the slot.
 AGREE, SHARE = 2, 0.5
+#: Slots of rotating notices: pages that have the slot, and the share of them whose text there is on AGREE pages or more.
+ROTATING_PAGES, ROTATING = 4, 0.8
 
 
 class Node:
@@ -142,8 +148,13 @@ def _marked(attributes: str) -> bool:
 def tree_match(a: Node, b: Node, pairs: dict[int, Node], depth: int = 0) -> int:
     """Simple tree matching: the most nodes in an order-keeping match with equal tags; leaves of `a` found in `b`."""
     xs, ys = a.children, b.children
-    if not xs or not ys or depth > DEEPEST:
+    if not xs or not ys:
         return 1
+    if depth > DEEPEST:
+        there = dict(paths(b))
+        both = [(x, there[k]) for k, x in paths(a) if k in there]
+        pairs.update((id(x), y) for x, y in both)
+        return 1 + sum(1 + (x.text == y.text) for x, y in both)
     # equal ends first, as most of a template's children are; the rest by dynamic programming
     n, m = len(xs), len(ys)
     subs: dict[tuple[int, int], tuple[int, dict[int, Node]]] = {}
@@ -187,6 +198,35 @@ def tree_match(a: Node, b: Node, pairs: dict[int, Node], depth: int = 0) -> int:
     return score[n][m] + 1
 
 
+def paths(root: Node) -> list[tuple[tuple[int, int], Node]]:
+    """Leaves with their tags' path from the root, as a hash, and their number among those of the same path."""
+    out, seen, stack = [], {}, [(root, 0)]
+    while stack:
+        node, path = stack.pop()
+        if node.text is not None:
+            seen[path] = seen.get(path, -1) + 1
+            out.append(((path, seen[path]), node))
+        stack.extend((c, hash((path, c.tag, c.marked))) for c in reversed(node.children))
+    return out
+
+
+def layout(root: Node) -> frozenset[str]:
+    """Paths of the elements that frame a page."""
+    out, stack = set(), [(root, "", 0)]
+    while stack:
+        node, path, depth = stack.pop()
+        for c in node.children:
+            if c.tag in FRAMES and depth < FRAME_DEPTH:
+                below = f"{path}/{c.tag}{'!' if c.marked else ''}"
+                out.add(below)
+                stack.append((c, below, depth + 1))
+    return frozenset(out)
+
+
+def text_hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def leaves(root: Node) -> list[tuple[Node, bool, bool]]:
     """(leaf, dropped by what its elements are, inside an article) in page order; leaves are numbered."""
     out, stack = [], [(root, False, False)]
@@ -217,17 +257,29 @@ def align(page: Node, model: Node) -> tuple[dict[int, int], bool]:
     return found, same > COPY * total
 
 
-def main_text(page: Node, template: set[int], matched: dict[int, int], model_texts: list[str]) -> str:
-    """Blocks of the article, or of the whole page where no element says it is one, but for the template's."""
+def main_text(page: Node, template: dict[int, set[int]], rotating: dict[int, set[int]], matched: dict[int, int]) -> str:
+    """Blocks of the article, or of the whole page where no element says it is one, but for the template's texts by slot.
+
+    Rotating notices go as well, unless they are most of the page's text: such a page is a copy of others.
+    """
     all_leaves = leaves(page)
     articles = any(inside and not dropped for _, dropped, inside in all_leaves)
-    out = []
+    kept, moving, total = [], set(), 0
     for leaf, dropped, inside in all_leaves:
-        slot = matched.get(leaf.number)
-        constant = slot is not None and slot in template and model_texts[slot] == leaf.text
-        if not dropped and not constant and (inside or not articles):
-            out.append(leaf.text)
-    return "\n".join(out)
+        if dropped or not (inside or not articles):
+            continue
+        slot, code = matched.get(leaf.number), None
+        if slot in template or slot in rotating:
+            code = text_hash(leaf.text)
+        if code is not None and code in template.get(slot, ()):
+            continue
+        total += len(leaf.text)
+        if code is not None and code in rotating.get(slot, ()):
+            moving.add(leaf.number)
+        kept.append(leaf)
+    if sum(len(x.text) for x in kept if x.number in moving) > COPY * total:
+        moving = set()
+    return "\n".join(x.text for x in kept if x.number not in moving)
 
 
 class Models:
@@ -236,49 +288,72 @@ class Models:
     def __init__(self, most: int = 200):
         self.most, self.held = most, {}
 
-    def get(self, text: str) -> Node:
+    def get(self, text: str) -> tuple[Node, frozenset[str], list[str]]:
         key = (len(text), crc32(text.encode("utf-8", "surrogatepass")))
         if key not in self.held:
             if len(self.held) >= self.most:
                 self.held.clear()
             tree = parse(text)
-            leaves(tree)
-            self.held[key] = tree
+            texts = [x.text for x, _, _ in leaves(tree)]
+            self.held[key] = tree, layout(tree), texts
         return self.held[key]
 
+    def nearest(self, page: Node, models: list[str]) -> int:
+        """The place of the model whose layout is most like the page's; the first of equals."""
+        if len(models) == 1:
+            return 0
+        own = layout(page)
+        alike = [len(own & x) / max(len(own | x), 1) if own or x else 1.0 for x in (self.get(m)[1] for m in models)]
+        return alike.index(max(alike))
+
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    A host's model page is that of its smallest page_id. All its pages are aligned with it; a slot whose text two pages
-    or more, and half of those that have it, share with the model is template. Copies of the model page do not vote, so
+    Pages of a host are grouped by layout. Each of its larger layouts has a model page, that of the smallest page_id
+    with text, and so has the largest one however small. A page is aligned with the model most alike. A slot whose text
+    two pages or more, and half of those that have it, share with the model is template; so are a slot's repeated texts
+    where nearly all that stand there are repeated, as rotating notices are. Copies of the model page do not vote, so
     repeated pages keep their text. Pages of a host of their own, without url or host, are judged by their elements
     alone. Null and empty html gives an empty text.
     """
     host = F.lower(F.regexp_extract(F.col("url"), r"://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", F.when(host != "", host))
-    first = rows.where("host is not null and page_id is not null and html is not null").groupBy("host").agg(F.min("page_id").alias("page_id"))
-    # several rows of one page_id: the least html
-    first = materialize(first, "html-first")  # else pages would be dealt by host alone, as its aggregate is
-    models = materialize(rows.join(first, ["host", "page_id"], "left_semi").groupBy("host").agg(F.min("html").alias("model")), "html-models")
+
+    def shapes(batches):
+        for b in batches:
+            found = []
+            for page in b.column(2).to_pylist():
+                tree = parse(page)
+                text = any(not dropped for _, dropped, _ in leaves(tree))
+                found.append(text_hash("\n".join(sorted(layout(tree)))) if text else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["host", "page_id", "shape"])
+
+    shaped = rows.where("host is not null and page_id is not null and html is not null").select("host", "page_id", "html").mapInArrow(shapes, "host string, page_id long, shape long").where("shape is not null")
+    sized = shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
+    sized = sized.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "page_id"))).where((F.col("place") == 1) | (F.col("n") >= LAYOUT_PAGES) & (F.col("place") <= LAYOUTS))
+    first = materialize(sized.select("host", "page_id", "place"), "html-first")  # else pages would be dealt by host alone, as its aggregate is
+    # several rows of one page_id: the least html that is not empty
+    picked = rows.join(first, ["host", "page_id"]).where("html <> ''").groupBy("host", "place").agg(F.min("html").alias("model"))
+    models = materialize(picked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "model"))), lambda x: x["model"]).alias("models")), "html-models")
 
     def vote(batches):
         held, votes = Models(), {}
         for b in batches:
-            for host, page, model in zip(*(c.to_pylist() for c in b.columns)):
-                if page == model:
+            for host, page, models in zip(*(c.to_pylist() for c in b.columns)):
+                tree = parse(page)
+                k = held.nearest(tree, models)
+                if page == models[k]:
                     continue
-                tree, root = parse(page), held.get(model)
+                root, _, texts = held.get(models[k])
                 found, copy = align(tree, root)
                 if copy:
                     continue
-                texts = [x.text for x, _, _ in leaves(root)]
                 for leaf, dropped, _ in leaves(tree):
                     slot = found.get(leaf.number)
                     if slot is not None and not dropped:
-                        key = host, slot
-                        n, same = votes.get(key, (0, 0))
-                        votes[key] = n + 1, same + (texts[slot] == leaf.text)
+                        key = host, k, slot, text_hash(leaf.text), texts[slot] == leaf.text
+                        votes[key] = votes.get(key, 0) + 1
             if len(votes) > 100_000:
                 yield out(votes)
                 votes = {}
@@ -286,27 +361,33 @@ def extract(pages: DataFrame) -> DataFrame:
             yield out(votes)
 
     def out(votes):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes]), pa.array([k[1] for k in votes], pa.int32()), pa.array([v[0] for v in votes.values()], pa.int64()), pa.array([v[1] for v in votes.values()], pa.int64())], ["host", "slot", "n", "same"])
+        kinds = pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in votes], t) for i, t in enumerate(kinds)), pa.array(list(votes.values()), pa.int64())], ["host", "k", "slot", "code", "same", "n"])
 
     joined = rows.where("html is not null").join(models, "host")
-    votes = joined.select("host", "html", "model").mapInArrow(vote, "host string, slot int, n long, same long")
-    slots = votes.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    constant = slots.where((F.col("same") >= AGREE) & (F.col("same") >= SHARE * F.col("n"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
-    # a host's template is a list of slot numbers of one page
+    votes = joined.select("host", "html", "models").mapInArrow(vote, "host string, k int, slot int, code long, same boolean, n long")
+    texts = votes.groupBy("host", "k", "slot", "code", "same").agg(F.sum("n").alias("n"))
+    # texts on fewer pages are only counted, so that a slot's list stays short
+    slots = texts.groupBy("host", "k", "slot").agg(F.sum("n").alias("n"), F.max(F.when(F.col("same"), F.struct("n", "code"))).alias("own"), F.collect_list(F.when(F.col("n") >= AGREE, F.col("code"))).alias("codes"), F.sum(F.when(F.col("n") >= AGREE, F.col("n"))).alias("repeated"))
+    fixed = F.coalesce((F.col("own.n") >= AGREE) & (F.col("own.n") >= SHARE * F.col("n")), F.lit(False))
+    turning = (F.col("n") >= ROTATING_PAGES) & (F.coalesce("repeated", F.lit(0)) >= ROTATING * F.col("n"))
+    slots = slots.select("host", F.struct("k", "slot", F.when(fixed, F.col("own.code")).alias("own"), F.when(turning, F.col("codes")).alias("codes")).alias("s")).where("s.own is not null or s.codes is not null")
+    constant = slots.groupBy("host").agg(F.collect_list("s").alias("template"))
     wrappers = materialize(models.join(constant, "host"), "html-wrappers")
 
     def run(batches):
         held = Models()
         for b in batches:
-            ids, urls, pages, wrapped, template = (c.to_pylist() for c in b.columns)
+            pages, wrapped, template = (c.to_pylist() for c in b.columns[2:])
             texts = []
-            for page, model, slots in zip(pages, wrapped, template):
-                tree, found, of = parse(page or ""), {}, []
+            for page, models, slots in zip(pages, wrapped, template):
+                tree, found, fixed, turning = parse(page or ""), {}, {}, {}
                 if slots:
-                    root = held.get(model)
-                    found, _ = align(tree, root)
-                    of = [x.text for x, _, _ in leaves(root)]
-                texts.append(main_text(tree, set(slots or ()), found, of))
+                    k = held.nearest(tree, models)
+                    found, _ = align(tree, held.get(models[k])[0])
+                    fixed = {x["slot"]: {x["own"]} for x in slots if x["k"] == k and x["own"] is not None}
+                    turning = {x["slot"]: set(x["codes"]) for x in slots if x["k"] == k and x["codes"] is not None}
+                texts.append(main_text(tree, fixed, turning, found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "model", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "models", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

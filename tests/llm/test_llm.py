@@ -274,3 +274,18 @@ def test_decontamination_of_other_names_numbers_and_units(spark):
     }
     got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()}
     assert got == {(10, 1, False), (11, 1, False), (12, 1, False), (13, 2, False), (14, 2, True), (15, 3, False), (16, 4, True), (18, 5, True)}
+
+
+def test_html_layouts_notices_and_depth(spark):
+    own = lambda i: f"Own text of page {i}: " + " ".join(f"w{i}x{k}" for k in range(20))
+    one = lambda i: f"<body><div>Notice of layout one to all readers</div><div>{own(i)}</div></body>"
+    two = lambda i: f"<body><section><p>Notice of layout two to all readers</p><p>{own(i)}</p></section></body>"
+    turning = lambda i: f"<body><div>Advert number {i % 3} for you</div><div>{own(i)}</div></body>"
+    deep = lambda i: "<div>" * 70 + f"<p>Notice far below to all readers</p><p>{own(i)}</p>" + "</div>" * 70
+    pages = [(0, "http://a.example/", "")] + [(i, "http://a.example/", one(i)) for i in range(1, 6)]
+    pages += [(i, "http://b.example/", (one if i < 16 else two)(i)) for i in range(10, 21)]
+    pages += [(i, "http://c.example/", turning(i)) for i in range(30, 42)] + [(i, "http://d.example/", deep(i)) for i in range(50, 56)]
+    copies = [(i, "http://e.example/", one(60 + i % 3)) for i in range(60, 69)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages + copies, "page_id long, url string, html string")).collect()}
+    assert got[0] == "" and {i: got[i] for i, _, t in pages if t} == {i: own(i) for i, _, t in pages if t}
+    assert all(own(60 + i % 3) in got[i] for i in range(60, 69))
