@@ -35,11 +35,15 @@ def relocate_footnotes(blocks: DataFrame) -> DataFrame:
 
 def merge_pages(blocks: DataFrame) -> DataFrame:
     """Paragraphs that run over a page's end become one: the earlier does not end a sentence, and the later begins in
-    lower case or the earlier ends in a hyphen. doc_id, ord (the first's), page (the last's), parts, text."""
+    lower case or the earlier ends in a hyphen; sizes, where there are any, differ by 8 % at most. doc_id, ord (the
+    first's), page (the last's), parts, text."""
     w = Window.partitionBy("doc_id").orderBy("ord")
     before, page = F.lag("text").over(w), F.lag("page").over(w)
     hyphen = before.rlike("-$")
     on = (F.col("page") == page + 1) & ~before.rlike("[.!?:;\u2019\u201d\"')\\]]$") & (hyphen | F.col("text").rlike("^[a-z]"))
+    if "size" in blocks.columns:
+        size, last = F.col("size"), F.lag("size").over(w)
+        on &= F.abs(size - last) <= 0.08 * F.greatest(size, last)
     rows = blocks.withColumn("chain", F.sum((~F.coalesce(on, F.lit(False))).cast("int")).over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     return rows.groupBy("doc_id", "chain").agg(F.min("ord").alias("ord"), F.max("page").alias("page"), F.count("*").alias("parts"), F.array_join(parts, " ").alias("text")).drop("chain")

@@ -15,9 +15,13 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.explode(inner).alias("word")).distinct()
 
 
-def hyphen_joins(lines: DataFrame, vocab: DataFrame) -> DataFrame:
+#: Prefixes that take no hyphen before their stem.
+BOUND = tuple("multi inter intra trans super pseudo quasi semi anti counter hyper hypo poly mono proto ultra micro macro".split())
+
+
+def hyphen_joins(lines: DataFrame, vocab: DataFrame, bound: tuple[str, ...] = BOUND) -> DataFrame:
     """doc_id, line, joined, kept: line ends in a hyphen before a lower-case word. The hyphen is kept where the joined
-    word is not attested and both parts of four letters or more are."""
+    word is not attested and both parts of four letters or more are, unless the left one is a bound prefix."""
     w = Window.partitionBy("doc_id").orderBy("line")
     pairs = lines.select("doc_id", "line", "t", F.lead("t").over(w).alias("below"))
     pairs = pairs.where(F.col("t").rlike("[a-zA-Z]-$") & F.col("below").rlike("^[a-z]"))
@@ -26,7 +30,7 @@ def hyphen_joins(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     for c in ("left", "right", "joined"):
         pairs = pairs.join(vocab.select("doc_id", F.col("word").alias(c), F.lit(True).alias(f"has_{c}")), ["doc_id", c], "left")
     known = lambda c: F.coalesce(F.col(f"has_{c}"), F.lit(False))
-    kept = ~known("joined") & known("left") & known("right") & (F.length("left") >= 4) & (F.length("right") >= 4)
+    kept = ~known("joined") & known("left") & known("right") & (F.length("left") >= 4) & (F.length("right") >= 4) & ~F.col("left").isin(*bound)
     return pairs.select("doc_id", "line", "joined", kept.alias("kept"))
 
 

@@ -178,7 +178,7 @@ HYPHENED = "CASE WHEN (doc_id + line) % 3 = 0 THEN concat(regexp_extract(t, '^(.
 )
 def hyphen_joins(spark, d):
     x = plain(spark, d)
-    return markdown.hyphen_joins(x.withColumn("t", F.expr(HYPHENED)), markdown.vocabulary(x))
+    return markdown.hyphen_joins(x.withColumn("t", F.expr(HYPHENED)), markdown.vocabulary(x), bound=())  # as its SQL has it
 
 
 URL = "CASE WHEN line % 2 = 0 THEN concat('see http://example.org/a', substring('/.x-', 1 + cast(line % 4 as {i}), 1)) ELSE t END"

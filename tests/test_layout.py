@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
-from folioframe.operators import cluster, grid
+from folioframe.operators import chrome, cluster, grid, passes
 from folioframe.plans import markdown, registry
 from folioframe.sources import typeset
 
@@ -90,3 +90,34 @@ def test_cells_join_and_columns_match(spark):
     row = spark.createDataFrame([("a_", "b", [1.0, 9.0], [2.0, 11.9], [2.0], 5.0)], "l string, r string, a array<double>, b array<double>, c array<double>, s double")
     got = row.select(X.joins_tight(F.col("l"), F.col("r")).alias("x"), X.joins_tight(F.col("r"), F.col("r")).alias("y"), X.same_columns(F.col("a"), F.col("b"), F.col("s")).alias("z"), X.same_columns(F.col("a"), F.col("c"), F.col("s")).alias("n")).first()
     assert tuple(got) == (True, False, True, False)
+
+
+def test_running_chrome(spark):
+    # page, line, seg, text, x0, x1, y, low, high, size of ten pages: a head by chapter, a foot of two segments, a stamp
+    rows = []
+    for p in range(10):
+        rows += [(p, 0, 0, "Chapter A" if p < 5 else f"Own head {'abcde'[p - 5]}", 72.0, 150.0, 760.0), (p, 1, 0, f"Page {p}", 72.0, 100.0, 30.0), (p, 1, 1, "Doc 17", 400.0, 450.0, 30.0)]
+        rows += [(p, 2, 0, f"Result {p}", 72.0, 200.0, 500.0), (p, 3, 0, "The same sentence of the body", 72.0, 300.0, 400.0), (p, 3, 1, "STAMP", 560.0, 600.0, 400.0)]
+        rows += [(p, 4, 0, "Name Size" if p < 4 else f"Top {'uvwxyz'[p - 4]}", 300.0, 380.0, 730.0), (p, 5, 0, f"cell {'abcdefghij'[p]}", 300.0, 380.0, 720.0)]
+        rows += [(p, 6, 0, "Doc 17", 72.0, 100.0, 50.0), (p, 6, 1, f"but {'abcdefghij'[p]} stays", 110.0, 200.0, 50.0)]
+    schema = "doc_id long, page long, line long, seg long, t string, x0 double, x1 double, y double, low double, high double, size double"
+    segments = spark.createDataFrame([(1, *r, r[-1] - 2, r[-1] + 8, 10.0) for r in rows] + [(2, p, 0, 0, "Chapter A", 72.0, 150.0, 760.0, 758.0, 768.0, 10.0) for p in range(2)], schema)
+    pages = spark.createDataFrame([(d, p, 612.0, 792.0) for d, n in ((1, 10), (2, 2)) for p in range(n)], "doc_id long, page long, width double, height double")
+    got = sorted((r.doc_id, r.page, r.line, r.seg) for r in chrome.strip_running(segments, pages).collect())
+    gone = {(1, p, 0, 0) for p in range(5)} | {(1, p, 1, s) for p in range(10) for s in (0, 1)} | {(1, p, 3, 1) for p in range(10)}
+    assert got == sorted({(r.doc_id, r.page, r.line, r.seg) for r in segments.collect()} - gone)
+
+
+def test_headers_and_footers_of_blocks(spark):
+    rows = [(1, 3 * p + k, p, kind, [t], y, y + 10.0) for p in range(4) for k, (kind, t, y) in enumerate((("paragraph", "Running head" if p else "Title", 760.0), ("paragraph", "Running head", 400.0), ("image" if p == 3 else "paragraph", f"- {p} -", 20.0)))]
+    blocks = spark.createDataFrame([*rows, (2, 0, 0, "paragraph", ["7"], 20.0, 30.0)], "doc_id long, ord long, page long, kind string, lines array<string>, low double, high double")
+    pages = spark.createDataFrame([(1, p, 792.0) for p in range(4)] + [(2, 0, 792.0)], "doc_id long, page long, height double")
+    assert sorted((r.doc_id, r.ord) for r in chrome.strip_headers_footers(blocks, pages).collect()) == [(1, 0), (1, 1), (1, 4), (1, 7), (1, 10), (1, 11), (2, 0)]
+
+
+def test_sizes_and_bound_prefixes(spark):
+    b = spark.createDataFrame([(1, 0, 0, "it goes", 10.0), (1, 1, 1, "on here", 10.5), (1, 2, 2, "in small", 8.0)], "doc_id long, ord long, page long, text string, size double")
+    assert sorted((r.parts, r.text) for r in passes.merge_pages(b).collect()) == [(1, "in small"), (2, "it goes on here")]
+    lines = spark.createDataFrame([(1, 0, "multi-"), (1, 1, "plicative self-"), (1, 2, "plicative")], "doc_id long, line long, t string")
+    vocab = spark.createDataFrame([(1, w) for w in ("multi", "self", "plicative")], "doc_id long, word string")
+    assert {r.line: r.kept for r in markdown.hyphen_joins(lines, vocab).collect()} == {0: False, 1: True}
