@@ -17,7 +17,8 @@ from .tokens import ChunkTokenizer
 TIERS = (256, 512, 1024, 2048)
 #: Sequences are numbered from partition x this.
 PER_PARTITION = 1 << 40
-#: Step groups: sequences of a tier are dealt to them in turn, so that each has the same share of every tier.
+#: Step groups: each partition deals the sequences of a tier to them in turn, from a group that moves on with the
+#: partition, so that each has about the same share of every tier however few a partition makes.
 STEP_GROUPS = 8
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")] + [("tier", pa.int32()), ("step_group", pa.int32())])
 
@@ -26,19 +27,22 @@ class Packer:
     """Packs documents as they come; every sequence but the last few is full, and those are cut at powers of two.
 
     `add` takes document lengths and returns the pieces of the sequences that it has closed, as rows
-    (document, start, length, sequence, offset, sequence's tokens, tier). Shorter pieces wait in their tiers, at
+    (document, start, length, sequence, offset, sequence's tokens, tier, step group). Shorter pieces wait in their tiers, at
     most `window` of them; then every tier is packed.
     """
 
-    def __init__(self, window: int = 5_000):
-        self.window, self.sequence = window, 0
+    def __init__(self, window: int = 5_000, group: int = 0):
+        self.window, self.sequence, self.group = window, 0, group
+        self.dealt = dict[int, int]()  # sequences of a tier so far
         self.waiting: list[tuple[int, int, int]] = []  # length, document, start
         self.tail: list[tuple[int, int, int]] = []
 
     def _close(self, pieces: list[tuple[int, int, int]], tier: int) -> list[tuple]:
         out, at, total = [], 0, sum(p[0] for p in pieces)
+        dealt = self.dealt.get(tier, 0)
+        self.dealt[tier] = dealt + 1
         for n, doc, start in pieces:
-            out.append((doc, start, n, self.sequence, at, total, tier))
+            out.append((doc, start, n, self.sequence, at, total, tier, (self.group + dealt) % STEP_GROUPS))
             at += n
         self.sequence += 1
         return out
@@ -134,15 +138,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def pack(batches):
         from pyspark import TaskContext
 
-        tok, part, packer = ChunkTokenizer(tokenizer), TaskContext.get().partitionId(), Packer()
+        tok, part = ChunkTokenizer(tokenizer), TaskContext.get().partitionId()
+        packer = Packer(group=part)
         held: dict[int, tuple] = {}  # of documents with ids not yet packed: doc_id, ids, ids still to go
         number = 0
 
         def rows(found):
             cols = [[] for _ in SCHEMA]
-            for doc, start, n, seq, at, total, tier in found:
+            for doc, start, n, seq, at, total, tier, group in found:
                 doc_id, ids, left = held[doc]
-                for c, v in zip(cols, (doc_id, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, part * PER_PARTITION + seq, at, total, tier, seq % STEP_GROUPS)):
+                for c, v in zip(cols, (doc_id, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, part * PER_PARTITION + seq, at, total, tier, group)):
                     c.append(v)
                 if left == n:
                     del held[doc]

@@ -289,3 +289,18 @@ def test_html_layouts_notices_and_depth(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages + copies, "page_id long, url string, html string")).collect()}
     assert got[0] == "" and {i: got[i] for i, _, t in pages if t} == {i: own(i) for i, _, t in pages if t}
     assert all(own(60 + i % 3) in got[i] for i in range(60, 69))
+
+
+def test_step_groups_are_balanced_by_tier(spark):
+    # each partition makes a few sequences of each tier
+    text = " ".join(f"word{i}" for i in range(20_000))
+    rows = [(i, text[: 70_000 + 300 * (i % 7)] if i % 2 else text[: 2_000 + 10 * i]) for i in range(64)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 32), "doc_id long, text string")
+    sequences = {(r.sequence_id, r.tier, r.step_group) for r in packing.pack_documents(docs, tokens.tokenizer_file("byte_bpe_50k.json"), 1).collect()}
+    count = defaultdict(lambda: [0] * packing.STEP_GROUPS)
+    for _, tier, group in sequences:
+        count[tier][group] += 1
+    assert len(sequences) == len({s for s, _, _ in sequences})
+    assert count[2048] and set(count) & {256, 512, 1024}
+    for tier, found in count.items():  # a partition's last ids make one sequence of a shorter size at most, unbalanced
+        assert tier not in packing.TIERS or max(found) - min(found) <= 0.3 * sum(found) / packing.STEP_GROUPS + 2, (tier, found)
