@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or below the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets one beside its
+    warehouse; any other must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -33,10 +40,53 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
+    """Cut the lineage: write to the shared folder and read again. release() removes it, else delete_scratch()."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    SCRATCH.append(path)
+    return out
+
+
+#: Folders written by materialize() that are still there.
+SCRATCH: list[str] = []
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove what materialize() wrote for these frames, which nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path in SCRATCH:
+            SCRATCH.remove(path)
+            delete_path(df.sparkSession, path)
+
+
+def delete_scratch(spark: SparkSession, keep: Iterable[DataFrame] = (), since: int = 0) -> None:
+    """Remove all scratch folders written after the first `since`, but for those of `keep`. Frames made from them are void."""
+    kept = {getattr(df, "_scratch", None) for df in keep}
+    for path in SCRATCH[since:]:
+        if path not in kept:
+            SCRATCH.remove(path)
+            delete_path(spark, path)
+
+
+def hot_keys(df: DataFrame, key: str, most: int = 500) -> list:
+    """Values of a column that hold more than one in `most` of its rows: so there are fewer than `most` of them."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    total = df.count()
+    return [r[0] for r in counts.where(F.col("_n") > total / most).select(key).collect() if r[0] is not None] if total > 50 * most else []
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, by: str, salts: int = 48, how: str = "inner") -> DataFrame:
+    """Join on `key` (inner, or left, where null keys are dealt out too), with the left rows of hot keys dealt out by
+    column `by`, and the right ones repeated for that."""
+    if not hot and how == "inner":
+        return left.join(right, key)
+    is_hot, dealt = F.col(key).isin(hot) if hot else F.lit(False), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    left = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), dealt).otherwise(0))
+    right = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def extended(df: DataFrame, *names: str) -> StructType:
@@ -98,16 +148,19 @@ class WordCache:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """For distinct words."""
-        get = self.index.get
-        new = [w for w in words if get(w) is None]
-        if new:
-            if len(self.index) + len(new) > self.most and self.index:
+        out = np.array(list(map(self.index.get, words, repeat(-1))), np.int64) if words else np.zeros(0, np.int64)
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            if len(self.index) + len(at) > self.most and self.index:
                 self.index = {}
                 self.clear()
-                new = words
+                at = np.arange(len(words))
+            new = [words[i] for i in at.tolist()]
             self.compute(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            first = len(self.index)
+            self.index.update(zip(new, range(first, first + len(new))))
+            out[at] = first + np.arange(len(at))
+        return out
 
 
 def split_words(texts: pa.Array, space_only: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, split_words
 
-#: Words in a window, the share of an item's windows that a document must hold, and the share of consistent slots.
-WINDOW, SIMILARITY, CONSISTENT = 5, 0.8, 0.8
+#: Words in a window, the share of an item's windows that a document must hold, and of its slots' uses that agree: all.
+WINDOW, SIMILARITY, CONSISTENT = 5, 0.8, 1.0
 #: Items whose windows are broadcast at a time; more items take more passes.
 ITEMS_A_PASS = 50_000
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -144,12 +145,14 @@ class Index:
     def _slots(self, hits, table: Words, codes: np.ndarray, kind: np.ndarray) -> tuple[float, bool]:
         """Share of the item's slots that stand for one and the same value throughout, and whether all values are its own.
 
-        A document may hold a window more than once: the run that continues the window before it is followed.
+        A document may hold a window more than once: the place that most other windows' places agree with is followed,
+        of equal ones that which continues the window before it.
         """
         votes: dict[str, dict[str, int]] = {}
+        shifts = Counter(p - begin for begin, places in hits.values() for p in {*places})
         last, same = None, True
         for begin, places in sorted(hits.values()):
-            place = min(places, key=lambda p: abs((p - begin) - last) if last is not None else p)
+            place = min(places, key=lambda p: (-shifts[p - begin], abs((p - begin) - last) if last is not None else p))
             last = place - begin
             size = min(WINDOW, len(self.kind) - begin, len(kind) - place)
             for j in range(size):

@@ -5,13 +5,15 @@ from __future__ import annotations
 import html as entities
 import re
 from hashlib import blake2b
+from itertools import repeat
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_keys, materialize, salted_join
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)", re.S
@@ -27,35 +29,41 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])), "body": (frozenset(["head"]), frozenset(["html"])),
 }
 DROPPED = frozenset("nav footer aside form script style noscript template iframe button select option menu dialog svg head title textarea input label object embed canvas audio video noembed noframes xmp fieldset".split())
-#: Words in a class, id or role that mark what is not the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements sponsor sponsored sponsors promo promotion promoted banner banners cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side sidenav rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toolbar "
-    "footer foot copyright legal disclaimer masthead topbar comment comments commentlist disqus replies reply respond discussion share sharing social follow related recommended recommendations trending newsletter subscribe subscription signup login search pagination pager skip complementary contentinfo header".split()
+#: What a name in a class, id or role must end with to mark what is not the article, unless part of it says otherwise.
+#: Only INNER counts inside an article: its own headers and notices belong to it.
+INNER = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored sponsors promo promos comment comments commentlist disqus replies share sharing social related recommended recommendations newsletter subscribe signup cookie cookies consent widget widgets".split())
+MARKS = INNER | frozenset(
+    "promotion promoted banner banners gdpr notice notices alert popup modal overlay sidebar side sidenav rail menu menus nav navbar navigation breadcrumb breadcrumbs toolbar footer foot copyright disclaimer masthead topbar reply respond discussion follow trending "
+    "subscription login search pagination pager skip complementary contentinfo header".split()
 )
+ARTICLE = frozenset("article post entry story content main body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Below this depth leaves are matched by their tags' path and their number along it.
-DEEPEST = 60
+#: Trees deeper than this are matched below it by their tags' path and their number along it.
+DEEPEST = 1_000
 #: Elements whose paths, down to this depth, are a page's layout; the pages from which a layout has a model page of its
 #: own, and the most of these of a host. Pages of other layouts take the model that is most alike.
 FRAMES, FRAME_DEPTH, LAYOUT_PAGES, LAYOUTS = frozenset("html body div section article main nav header footer aside table form center".split()), 4, 3, 8
-#: A page of which more than this share equals the model page's text is a copy of it and says nothing of the template.
-COPY = 0.5
-#: Pages that must agree, and their share of those that have the slot.
+#: Different pages that must agree, and their share of those that have the slot.
 AGREE, SHARE = 2, 0.5
 #: Slots of rotating notices: pages that have the slot, and the share of them whose text there is on AGREE pages or more.
 ROTATING_PAGES, ROTATING = 4, 0.8
+#: Characters of model pages up to which they are broadcast; else rows carry them.
+MOST_BROADCAST = 32_000_000
 
 
 class Node:
-    __slots__ = ("tag", "marked", "children", "parent", "text", "number")
+    """mark: 0 for what may be the article, 1 for what its names say isn't outside an article, 2 for anywhere."""
 
-    def __init__(self, tag: str, marked: bool, parent):
-        self.tag, self.marked, self.parent, self.children, self.text, self.number = tag, marked, parent, [], None, -1
+    __slots__ = ("tag", "mark", "children", "parent", "text", "number", "shape", "same")
+
+    def __init__(self, tag: str, mark: int, parent):
+        self.tag, self.mark, self.parent, self.children, self.text, self.number = tag, mark, parent, [], None, -1
+        self.shape = self.same = -1
 
 
 def parse(page: str) -> Node:
     """A tree of block elements; inline elements' text belongs to the block around them. Leaves hold blocks of text."""
-    root = Node("#root", False, None)
+    root = Node("#root", 0, None)
     at, end, pos, buffer = root, len(page), 0, []
     inline_drop = 0
     match = TOKEN.match
@@ -65,7 +73,7 @@ def parse(page: str) -> Node:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                leaf = Node("#text", False, at)
+                leaf = Node("#text", 0, at)
                 leaf.text = text
                 at.children.append(leaf)
 
@@ -104,8 +112,7 @@ def parse(page: str) -> Node:
                 buffer.append(" ")
             continue
         if tag not in BLOCK and tag not in DROPPED:
-            marked = _marked(rest) if rest else False
-            if not marked or tag in VOID:
+            if not rest or _mark(rest) < 2 or tag in VOID:
                 continue
         if tag in VOID:
             if tag == "hr":
@@ -125,7 +132,7 @@ def parse(page: str) -> Node:
                 if up.tag in ends:
                     at = up.parent
                 up = up.parent
-        node = Node(tag, _marked(rest) if rest else False, at)
+        node = Node(tag, _mark(rest) if rest else 0, at)
         at.children.append(node)
         at = node
         if tag not in BLOCK and tag not in DROPPED:  # a marked inline element: until its own end tag
@@ -141,61 +148,131 @@ def parse(page: str) -> Node:
     return root
 
 
-def _marked(attributes: str) -> bool:
-    return any(w in MARKS for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()))
-
-
-def tree_match(a: Node, b: Node, pairs: dict[int, Node], depth: int = 0) -> int:
-    """Simple tree matching: the most nodes in an order-keeping match with equal tags; leaves of `a` found in `b`."""
-    xs, ys = a.children, b.children
-    if not xs or not ys:
-        return 1
-    if depth > DEEPEST:
-        there = dict(paths(b))
-        both = [(x, there[k]) for k, x in paths(a) if k in there]
-        pairs.update((id(x), y) for x, y in both)
-        return 1 + sum(1 + (x.text == y.text) for x, y in both)
-    # equal ends first, as most of a template's children are; the rest by dynamic programming
-    n, m = len(xs), len(ys)
-    subs: dict[tuple[int, int], tuple[int, dict[int, Node]]] = {}
-
-    def sub(i, j):
-        x, y = xs[i], ys[j]
-        if x.tag != y.tag or x.marked != y.marked:
+def _mark(attributes: str) -> int:
+    found = 0
+    for m in NAMED.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = [p for p in re.split(r"[^a-z]+", name) if p]
+            if parts and parts[-1] in MARKS and not ARTICLE.intersection(parts[:-1]):
+                found = max(found, 2 if parts[-1] in INNER else 1)
+    return found
+
+
+class Shapes:
+    """Numbers of subtrees that are alike in tags and marks, with the weights of their simple tree matching."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.parts: list[tuple] = []
+        self.held: dict[tuple[int, int], int] = {}
+
+    def number(self, root: Node) -> None:
+        """Sets each node's shape, and a number that only subtrees with equal texts share."""
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(node.children)
+        for node in reversed(order):
+            node.shape = self._of((node.tag, node.mark, *[c.shape for c in node.children]))
+            node.same = self._of((node.tag, node.mark, node.text, *[("=", c.same) for c in node.children]))
+
+    def _of(self, key: tuple) -> int:
+        if key not in self.known:
+            self.known[key] = len(self.parts)
+            self.parts.append(key)
+        return self.known[key]
+
+    def weight(self, a: int, b: int, depth: int = 0) -> int:
+        """Nodes of the largest match of two shapes that keeps order and parents, with equal tags and marks; 0: none."""
+        x, y = self.parts[a], self.parts[b]
+        if x[:2] != y[:2]:
             return 0
-        if x.text is not None or not x.children or not y.children:
-            return 2 if x.text == y.text else 1
-        if len(x.children) == 1 == len(y.children) and x.children[0].text is not None and y.children[0].text is not None:
-            return 3 if x.children[0].text == y.children[0].text else 2
-        if (i, j) not in subs:
-            inner: dict[int, Node] = {}
-            subs[i, j] = tree_match(x, y, inner, depth + 1), inner
-        return subs[i, j][0]
-
-    score = [[0] * (m + 1)]
-    for i in range(n):
-        row, above = [0], score[-1]
-        for j in range(m):
-            w = sub(i, j)
-            best = above[j] + w if w else 0
-            row.append(max(best, above[j + 1], row[j]))
-        score.append(row)
-    i, j = n, m
-    while i and j:
-        if score[i][j] == score[i - 1][j]:
-            i -= 1
-        elif score[i][j] == score[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            x, y = xs[i], ys[j]
-            if x.text is not None:
-                pairs[id(x)] = y
-            elif (i, j) in subs:
-                pairs.update(subs[i, j][1])
-            elif x.children and y.children and len(x.children) == 1 == len(y.children):
-                pairs[id(x.children[0])] = y.children[0]
-    return score[n][m] + 1
+        if a > b:
+            a, b, x, y = b, a, y, x
+        if (a, b) not in self.held:
+            xs, ys = x[2:], y[2:]
+            low = 0
+            while low < min(len(xs), len(ys)) and xs[low] == ys[low]:
+                low += 1
+            high = 0
+            while high < min(len(xs), len(ys)) - low and xs[-1 - high] == ys[-1 - high]:
+                high += 1
+            total = 1 + sum(self.weight(s, s, depth + 1) for s in (*xs[:low], *xs[len(xs) - high :])) if depth < DEEPEST else 1
+            mid_x, mid_y = xs[low : len(xs) - high], ys[low : len(ys) - high]
+            if mid_x and mid_y and depth < DEEPEST:
+                kinds_x, kinds_y = list(dict.fromkeys(mid_x)), list(dict.fromkeys(mid_y))
+                table = np.array([[self.weight(s, t, depth + 1) for t in kinds_y] for s in kinds_x])
+                ix, iy = {s: i for i, s in enumerate(kinds_x)}, {s: i for i, s in enumerate(kinds_y)}
+                total += int(_rows(table[[ix[s] for s in mid_x]][:, [iy[s] for s in mid_y]])[-1])
+            self.held[a, b] = total
+        return self.held[a, b]
+
+
+def _rows(weights: np.ndarray, came: list | None = None) -> np.ndarray:
+    """The best sums of an order-keeping match, by its last row; `came` gets, for each row, where a step down or to the
+    right loses nothing."""
+    above = np.zeros(weights.shape[1] + 1, np.int64)
+    for w in weights:
+        row = np.zeros_like(above)
+        np.maximum(above[1:], above[:-1] + w, out=row[1:])
+        np.maximum.accumulate(row, out=row)
+        if came is not None:
+            came.append((np.packbits(row == above), np.packbits(np.concatenate([[True], row[1:] == row[:-1]]))))
+        above = row
+    return above
+
+
+def tree_match(a: Node, b: Node, shapes: Shapes) -> dict[int, Node]:
+    """Simple tree matching: leaves of `a` with those of `b` in the largest match that keeps order and parents; a text
+    that is equal, or a subtree, counts one more. Children that are equal at either end are matched first, which loses
+    nothing; the rest is a table of rows, of which only the steps are kept."""
+    pairs: dict[int, Node] = {}
+    stack = [(a, b, 0)]
+    while stack:
+        x, y, depth = stack.pop()
+        if x.text is not None:
+            pairs[id(x)] = y
+            continue
+        if depth > DEEPEST:
+            there = dict(paths(y))
+            pairs.update((id(leaf), there[k]) for k, leaf in paths(x) if k in there)
+            continue
+        xs, ys = x.children, y.children
+        low = 0
+        while low < min(len(xs), len(ys)) and xs[low].same == ys[low].same:
+            low += 1
+        high = 0
+        while high < min(len(xs), len(ys)) - low and xs[-1 - high].same == ys[-1 - high].same:
+            high += 1
+        stack += [(p, q, depth + 1) for p, q in zip(xs[:low], ys[:low])]
+        if high:
+            stack += [(p, q, depth + 1) for p, q in zip(xs[-high:], ys[-high:])]
+        xs, ys = xs[low : len(xs) - high], ys[low : len(ys) - high]
+        if not xs or not ys:
+            continue
+        if len(xs) == 1 == len(ys):
+            if xs[0].tag == ys[0].tag and xs[0].mark == ys[0].mark:
+                stack.append((xs[0], ys[0], depth + 1))
+            continue
+        kinds_x, kinds_y = (list(dict.fromkeys(n.shape for n in side)) for side in (xs, ys))
+        table = 2 * np.array([[shapes.weight(s, t, depth + 1) for t in kinds_y] for s in kinds_x], np.int64)
+        ix, iy = {s: i for i, s in enumerate(kinds_x)}, {s: i for i, s in enumerate(kinds_y)}
+        weights = table[[ix[n.shape] for n in xs]][:, [iy[n.shape] for n in ys]]
+        weights += (np.array([n.same for n in xs])[:, None] == np.array([n.same for n in ys])[None]) & (weights > 0)
+        came: list = []
+        _rows(weights, came)
+        i, j = len(xs), len(ys)
+        while i and j:
+            up, left = came[i - 1]
+            if up[j >> 3] >> (7 - (j & 7)) & 1:
+                i -= 1
+            elif left[j >> 3] >> (7 - (j & 7)) & 1:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                stack.append((xs[i], ys[j], depth + 1))
+    return pairs
 
 
 def paths(root: Node) -> list[tuple[tuple[int, int], Node]]:
@@ -206,7 +283,7 @@ def paths(root: Node) -> list[tuple[tuple[int, int], Node]]:
         if node.text is not None:
             seen[path] = seen.get(path, -1) + 1
             out.append(((path, seen[path]), node))
-        stack.extend((c, hash((path, c.tag, c.marked))) for c in reversed(node.children))
+        stack.extend((c, hash((path, c.tag, c.mark))) for c in reversed(node.children))
     return out
 
 
@@ -217,7 +294,7 @@ def layout(root: Node) -> frozenset[str]:
         node, path, depth = stack.pop()
         for c in node.children:
             if c.tag in FRAMES and depth < FRAME_DEPTH:
-                below = f"{path}/{c.tag}{'!' if c.marked else ''}"
+                below = f"{path}/{c.tag}{'!' * c.mark}"
                 out.add(below)
                 stack.append((c, below, depth + 1))
     return frozenset(out)
@@ -237,63 +314,54 @@ def leaves(root: Node) -> list[tuple[Node, bool, bool]]:
             out.append((node, dropped, inside))
             continue
         main = node.tag in ("article", "main")
-        dropped = dropped or node.tag in DROPPED or (node.marked and not main and node.tag not in ("body", "html")) or (node.tag == "header" and not inside)
+        marked = node.mark > (1 if inside else 0) and not main and node.tag not in ("body", "html")
+        dropped = dropped or node.tag in DROPPED or marked or (node.tag == "header" and not inside)
         inside = inside or (main and not dropped)
-        stack.extend((c, dropped or (node.tag == "header" and inside and c.tag not in HEADINGS and c.tag != "hgroup"), inside) for c in reversed(node.children))
+        stack.extend((c, dropped, inside) for c in reversed(node.children))
     return out
 
 
-def align(page: Node, model: Node) -> tuple[dict[int, int], bool]:
-    """Number of the model's leaf for each of the page's leaves that is matched, and whether the page is a copy of it."""
-    pairs: dict[int, Node] = {}
-    tree_match(page, model, pairs)
-    found, same, total = {}, 0, 0
-    for leaf, dropped, _ in leaves(page):
-        other = pairs.get(id(leaf))
-        total += len(leaf.text) if not dropped else 0
-        if other is not None:
-            found[leaf.number] = other.number
-            same += len(leaf.text) if not dropped and other.text == leaf.text else 0
-    return found, same > COPY * total
+def align(page: Node, model: Node, shapes: Shapes) -> dict[int, int]:
+    """Number of the model's leaf for each of the page's leaves that is matched."""
+    pairs = tree_match(page, model, shapes)
+    return {leaf.number: pairs[id(leaf)].number for leaf, _, _ in leaves(page) if id(leaf) in pairs}
 
 
-def main_text(page: Node, template: dict[int, set[int]], rotating: dict[int, set[int]], matched: dict[int, int]) -> str:
-    """Blocks of the article, or of the whole page where no element says it is one, but for the template's texts by slot.
+def main_text(page: Node, template: dict[int, set[int]], matched: dict[int, int]) -> tuple[str, bool]:
+    """Blocks of the article, or of the whole page where no element says it is one, but for the template's texts by
+    slot; and whether the template took any. Where nothing would be left, first the template and then marks are passed over."""
+    found = leaves(page)
+    articles = any(inside and not dropped for _, dropped, inside in found)
+    kept = [leaf for leaf, dropped, inside in found if not dropped and (inside or not articles)]
+    own = [leaf for leaf in kept if text_hash(leaf.text) not in template.get(matched.get(leaf.number), ())] if template else kept
+    if not kept:
+        own = kept = [leaf for leaf, _, _ in found if not _unread(leaf)]
+    return "\n".join(x.text for x in own or kept), len(own or kept) < len(kept)
 
-    Rotating notices go as well, unless they are most of the page's text: such a page is a copy of others.
-    """
-    all_leaves = leaves(page)
-    articles = any(inside and not dropped for _, dropped, inside in all_leaves)
-    kept, moving, total = [], set(), 0
-    for leaf, dropped, inside in all_leaves:
-        if dropped or not (inside or not articles):
-            continue
-        slot, code = matched.get(leaf.number), None
-        if slot in template or slot in rotating:
-            code = text_hash(leaf.text)
-        if code is not None and code in template.get(slot, ()):
-            continue
-        total += len(leaf.text)
-        if code is not None and code in rotating.get(slot, ()):
-            moving.add(leaf.number)
-        kept.append(leaf)
-    if sum(len(x.text) for x in kept if x.number in moving) > COPY * total:
-        moving = set()
-    return "\n".join(x.text for x in kept if x.number not in moving)
+
+def _unread(node: Node) -> bool:
+    """Inside an element that holds no text of the article whatever its names."""
+    while node is not None:
+        if node.tag in DROPPED or node.mark == 2:
+            return True
+        node = node.parent
+    return False
 
 
 class Models:
     """Parsed model pages, kept for the hosts met last."""
 
     def __init__(self, most: int = 200):
-        self.most, self.held = most, {}
+        self.most, self.held, self.shapes = most, {}, Shapes()
 
     def get(self, text: str) -> tuple[Node, frozenset[str], list[str]]:
         key = (len(text), crc32(text.encode("utf-8", "surrogatepass")))
         if key not in self.held:
-            if len(self.held) >= self.most:
+            if len(self.held) >= self.most or len(self.shapes.parts) > 200_000:
                 self.held.clear()
+                self.shapes = Shapes()
             tree = parse(text)
+            self.shapes.number(tree)
             texts = [x.text for x, _, _ in leaves(tree)]
             self.held[key] = tree, layout(tree), texts
         return self.held[key]
@@ -306,16 +374,49 @@ class Models:
         alike = [len(own & x) / max(len(own | x), 1) if own or x else 1.0 for x in (self.get(m)[1] for m in models)]
         return alike.index(max(alike))
 
+    def match(self, page: Node, models: list[str]) -> tuple[int, dict[int, int]]:
+        """The nearest model's place, and the page's leaves by its slots."""
+        k = self.nearest(page, models)
+        model = self.get(models[k])[0]
+        self.shapes.number(page)
+        return k, align(page, model, self.shapes)
+
+
+def _with_models(rows: DataFrame, models: DataFrame, columns: list[str], extra: DataFrame | None = None, most: int | None = None):
+    """Batches of `rows` (host, ...) beside each row's models and template slots: a frame and what reads its batches.
+
+    The models go out by broadcast where they are small, else with the rows by a join in which hosts of many pages are
+    dealt out.
+    """
+    held = models if extra is None else models.join(extra, "host", "left")
+    size = held.agg(F.sum(F.expr("aggregate(models, 0L, (n, x) -> n + length(x))" + (" + 40 * coalesce(size(template), 0)" if extra is not None else "")))).first()[0] or 0
+    if size <= (MOST_BROADCAST if most is None else most):
+        sent = rows.sparkSession.sparkContext.broadcast({r["host"]: (r["models"], [x.asDict() for x in r["template"] or ()] if extra is not None else None) for r in held.collect()})
+
+        def found(batch):
+            for host in batch.column(0).to_pylist():
+                yield sent.value.get(host, (None, None))
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page.
+        return rows.select("host", *columns), found
+    both = extra is not None
+    joined = salted_join(rows, held, "host", hot_keys(rows, "host"), "page_id", how="left")
+
+    def read(batch):
+        yield from zip(batch.column(len(columns) + 1).to_pylist(), batch.column(len(columns) + 2).to_pylist() if both else repeat(None))
+
+    return joined.select("host", *columns, "models", *(["template"] if both else [])), read
+
+
+def extract(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id, url, text, n_chars, wrapped (whether the template took any block) of every page.
 
     Pages of a host are grouped by layout. Each of its larger layouts has a model page, that of the smallest page_id
     with text, and so has the largest one however small. A page is aligned with the model most alike. A slot whose text
     two pages or more, and half of those that have it, share with the model is template; so are a slot's repeated texts
-    where nearly all that stand there are repeated, as rotating notices are. Copies of the model page do not vote, so
+    where nearly all that stand there are repeated, as rotating notices are. Pages of the same html have one vote, so
     repeated pages keep their text. Pages of a host of their own, without url or host, are judged by their elements
-    alone. Null and empty html gives an empty text.
+    alone. Null and empty html gives an empty text. Repeated rows are extracted alike; rows of one page_id with
+    different html are pages of their own, and of these the least html is the model.
     """
     host = F.lower(F.regexp_extract(F.col("url"), r"://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", F.when(host != "", host))
@@ -336,24 +437,21 @@ def extract(pages: DataFrame) -> DataFrame:
     # several rows of one page_id: the least html that is not empty
     picked = rows.join(first, ["host", "page_id"]).where("html <> ''").groupBy("host", "place").agg(F.min("html").alias("model"))
     models = materialize(picked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "model"))), lambda x: x["model"]).alias("models")), "html-models")
+    voters, read = _with_models(rows.where("html is not null"), models, ["html"], most=most)
 
     def vote(batches):
         held, votes = Models(), {}
         for b in batches:
-            for host, page, models in zip(*(c.to_pylist() for c in b.columns)):
-                tree = parse(page)
-                k = held.nearest(tree, models)
-                if page == models[k]:
-                    continue
-                root, _, texts = held.get(models[k])
-                found, copy = align(tree, root)
-                if copy:
+            for host, page, (models, _) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), read(b)):
+                if not models:
                     continue
+                tree, code = parse(page), text_hash(page)
+                k, found = held.match(tree, models)
+                texts = held.get(models[k])[2]
                 for leaf, dropped, _ in leaves(tree):
                     slot = found.get(leaf.number)
                     if slot is not None and not dropped:
-                        key = host, k, slot, text_hash(leaf.text), texts[slot] == leaf.text
-                        votes[key] = votes.get(key, 0) + 1
+                        votes[host, k, slot, text_hash(leaf.text), texts[slot] == leaf.text, code] = None
             if len(votes) > 100_000:
                 yield out(votes)
                 votes = {}
@@ -361,33 +459,31 @@ def extract(pages: DataFrame) -> DataFrame:
             yield out(votes)
 
     def out(votes):
-        kinds = pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()
-        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in votes], t) for i, t in enumerate(kinds)), pa.array(list(votes.values()), pa.int64())], ["host", "k", "slot", "code", "same", "n"])
+        kinds = pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in votes], t) for i, t in enumerate(kinds)], ["host", "k", "slot", "code", "same", "page"])
 
-    joined = rows.where("html is not null").join(models, "host")
-    votes = joined.select("host", "html", "models").mapInArrow(vote, "host string, k int, slot int, code long, same boolean, n long")
-    texts = votes.groupBy("host", "k", "slot", "code", "same").agg(F.sum("n").alias("n"))
+    votes = voters.mapInArrow(vote, "host string, k int, slot int, code long, same boolean, page long").distinct()
+    texts = votes.groupBy("host", "k", "slot", "code", "same").agg(F.count("*").alias("n"))
     # texts on fewer pages are only counted, so that a slot's list stays short
     slots = texts.groupBy("host", "k", "slot").agg(F.sum("n").alias("n"), F.max(F.when(F.col("same"), F.struct("n", "code"))).alias("own"), F.collect_list(F.when(F.col("n") >= AGREE, F.col("code"))).alias("codes"), F.sum(F.when(F.col("n") >= AGREE, F.col("n"))).alias("repeated"))
     fixed = F.coalesce((F.col("own.n") >= AGREE) & (F.col("own.n") >= SHARE * F.col("n")), F.lit(False))
     turning = (F.col("n") >= ROTATING_PAGES) & (F.coalesce("repeated", F.lit(0)) >= ROTATING * F.col("n"))
     slots = slots.select("host", F.struct("k", "slot", F.when(fixed, F.col("own.code")).alias("own"), F.when(turning, F.col("codes")).alias("codes")).alias("s")).where("s.own is not null or s.codes is not null")
-    constant = slots.groupBy("host").agg(F.collect_list("s").alias("template"))
-    wrappers = materialize(models.join(constant, "host"), "html-wrappers")
+    constant = materialize(slots.groupBy("host").agg(F.collect_list("s").alias("template")), "html-template")
+    placed, read_both = _with_models(rows, models, ["page_id", "url", "html"], constant, most)
 
     def run(batches):
         held = Models()
         for b in batches:
-            pages, wrapped, template = (c.to_pylist() for c in b.columns[2:])
-            texts = []
-            for page, models, slots in zip(pages, wrapped, template):
-                tree, found, fixed, turning = parse(page or ""), {}, {}, {}
+            texts, wrapped = [], []
+            for page, (models, slots) in zip(b.column(3).to_pylist(), read_both(b)):
+                tree, found, template = parse(page or ""), {}, {}
                 if slots:
-                    k = held.nearest(tree, models)
-                    found, _ = align(tree, held.get(models[k])[0])
-                    fixed = {x["slot"]: {x["own"]} for x in slots if x["k"] == k and x["own"] is not None}
-                    turning = {x["slot"]: set(x["codes"]) for x in slots if x["k"] == k and x["codes"] is not None}
-                texts.append(main_text(tree, fixed, turning, found))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "models", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+                    k, found = held.match(tree, models)
+                    template = {x["slot"]: {*(x["codes"] or ()), *([x["own"]] if x["own"] is not None else ())} for x in slots if x["k"] == k}
+                text, less = main_text(tree, template, found)
+                texts.append(text)
+                wrapped.append(less)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(wrapped)], ["page_id", "url", "text", "n_chars", "wrapped"])
+
+    return placed.mapInArrow(run, "page_id long, url string, text string, n_chars long, wrapped boolean")

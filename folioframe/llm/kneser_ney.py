@@ -1,11 +1,13 @@
-"""Interpolated modified Kneser-Ney models over the characters of words.
+"""Interpolated modified Kneser-Ney model over the characters of words.
 
-A word is read as BOS x (N-1), its characters, EOS, so a model of a few million n-grams covers unseen words. Counts are
-kept per class; orders up to `shared` are counted over all classes together, and the class's higher orders fall back
-on them. Counting, discounts and probabilities are Spark aggregations and joins over n-grams dealt by hash.
+A word is read as BOS x (N-1), its characters, EOS, so a model of a few million n-grams covers unseen words. A word that
+equals the word before it is read as one symbol, REPEAT, so that the model itself finds repetition improbable. Counting,
+discounts and probabilities are Spark aggregations and joins over n-grams dealt by hash: no key there has more rows
+than the alphabet has symbols.
 
-Scoring works out each distinct word of a batch once, against the broadcast model where that has at most
-MOST_BROADCAST n-grams, else by joins of words with the n-gram tables.
+Logarithms are whole multiples of 1 / SCALE, so sums don't depend on their order, and both ways of scoring agree
+exactly: each distinct word of a batch against the broadcast model, where that has at most MOST_BROADCAST n-grams, else
+joins of distinct words with the n-gram tables.
 """
 
 from __future__ import annotations
@@ -14,89 +16,120 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MODEL_CHUNK_CHARS, Growing, WordCache, chunks, materialize, split_words
+from .common import MODEL_CHUNK_CHARS, Growing, WordCache, chunks, hot_keys, materialize, release, salted_join, split_words
 
-BOS, EOS = "\x02", "\x03"
-#: N-grams and contexts up to which the model is broadcast: some 12 bytes each.
-MOST_BROADCAST = 6_000_000
+BOS, EOS, REPEAT = "\x02", "\x03", "\x04"
+#: What stands for a repeated word among words; no word holds a space.
+REPEATED = "\x04 "
+SCALE = 1 << 20
+#: N-grams and contexts up to which the model is broadcast: 12 bytes each.
+MOST_BROADCAST = 4_000_000
 #: Words held by a counting task before they go out.
-WORDS_HELD = 300_000
-#: Words whose scores a scoring task keeps: some 200 bytes each.
+WORDS_HELD = 200_000
+#: Words whose scores a scoring task keeps: some 150 bytes each.
 WORDS_CACHED = 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def clean(word: str) -> str:
-    return word.replace(BOS, " ").replace(EOS, " ") if BOS in word or EOS in word else word
+    if word == REPEATED:
+        return REPEAT
+    return word.replace(BOS, " ").replace(EOS, " ").replace(REPEAT, " ") if BOS in word or EOS in word or REPEAT in word else word
+
+
+def model_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """split_words(), with REPEATED in the place of each word that equals the one before in its text."""
+    words, codes, counts = split_words(texts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    again = np.zeros(len(codes), bool)
+    again[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    if again.any():
+        codes = np.where(again, len(words), codes)
+        words = [*words, REPEATED]
+    return words, codes, counts
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    """rows with _words: the same words of column text, cleaned. The split stands by itself, so that it's done once a text."""
+    split = rows.withColumn("_split", F.expr("filter(split(coalesce(text, ''), '[ \\t-\\r]+'), w -> w <> '')"))
+    return split.withColumn("_words", F.expr(f"transform(_split, (w, i) -> if(i > 0 and get(_split, i - 1) = w, '{REPEAT}', translate(w, '{BOS}{EOS}{REPEAT}', '   ')))"))
 
 
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """cls, g, n: top-order n-grams of columns cls, text, summed over everything."""
+    """g, n: top-order n-grams of column text, summed over everything."""
 
     def run(batches):
-        held: dict[int, Counter] = {}
+        held: Counter = Counter()
 
         def out():
-            for cls, words in held.items():
-                grams: dict[str, int] = {}
-                for w, n in words.items():
-                    s = BOS * (order - 1) + clean(w) + EOS
-                    for i in range(len(s) - order + 1):
-                        g = s[i : i + order]
-                        grams[g] = grams.get(g, 0) + n
-                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(grams), pa.int32()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["cls", "g", "n"])
+            grams: dict[str, int] = {}
+            for w, n in held.items():
+                s = BOS * (order - 1) + clean(w) + EOS
+                for i in range(len(s) - order + 1):
+                    g = s[i : i + order]
+                    grams[g] = grams.get(g, 0) + n
             held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["g", "n"])
 
         for batch in batches:
-            for a, b in chunks(batch.column(1), MODEL_CHUNK_CHARS):
-                classes = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-                for cls in np.unique(classes):
-                    words, codes, _ = split_words(batch.column(1).slice(a, b - a).filter(pa.array(classes == cls)))
-                    counts = np.bincount(codes, minlength=len(words)).tolist()
-                    have = held.setdefault(int(cls), Counter())
-                    for w, n in zip(words, counts):
-                        if n:
-                            have[w] += n
-                if sum(map(len, held.values())) > WORDS_HELD:
-                    yield from out()
-        yield from out()
-
-    return texts.select(F.col("cls").cast("int").alias("cls"), F.col("text").cast("string").alias("text")).mapInArrow(run, "cls int, g string, n long").groupBy("cls", "g").agg(F.sum("n").alias("n"))
+            for a, b in chunks(batch.column(0), MODEL_CHUNK_CHARS):
+                words, codes, _ = model_words(batch.column(0).slice(a, b - a))
+                for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
+                    if n:
+                        held[w] += n
+                if len(held) > WORDS_HELD:
+                    yield out()
+        yield out()
+
+    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """terms: cls, k, g, lp (log probability of g's last symbol after the others); weights: cls, k, ctx, lw (log
-    weight of the lower order after ctx, which has k - 1 symbols). Class -1 holds shared orders."""
+    """terms: k, g, lp (log probability of g's last symbol after the others); weights: k, ctx, lw (log weight of the
+    lower order after ctx, which has k - 1 symbols); unseen: of a symbol that no order has. All in 1 / SCALE."""
 
-    def __init__(self, spark: SparkSession, order: int, shared: int, classes: list[int], terms: DataFrame, weights: DataFrame, unseen: float):
-        self.spark, self.order, self.shared, self.classes = spark, order, shared, classes
-        self.terms, self.weights, self.unseen = terms, weights, unseen
-        self._packed = None
+    def __init__(self, spark: SparkSession, order: int, terms: DataFrame, unseen: int, weights: DataFrame):
+        self.spark, self.order, self.terms, self.weights, self.unseen = spark, order, terms, weights, unseen
+        self._packed = self._size = None
 
     def size(self) -> int:
-        return self.terms.count() + self.weights.count()
+        if self._size is None:
+            self._size = self.terms.count() + self.weights.count()
+        return self._size
 
     def packed(self):
-        """Broadcast arrays: per class and order, sorted hashes of n-grams and contexts with their logs."""
+        """Broadcast arrays: per order, sorted hashes of n-grams and contexts with their logs; hashed on the executors."""
         if self._packed is None:
             out = {}
             for name, df, text, value, less in (("lp", self.terms, "g", "lp", 0), ("lw", self.weights, "ctx", "lw", 1)):
-                got = df.select("cls", "k", text, value).toArrow()
-                cls, k = got["cls"].to_numpy(), got["k"].to_numpy()
-                for c in np.unique(cls):
-                    for o in np.unique(k):
-                        at = np.flatnonzero((cls == c) & (k == o))
-                        grams = got[text].take(pa.array(at)).to_pylist()
-                        h = hash_rows(codes_of("".join(grams)).reshape(len(at), int(o) - less)) if o > less else np.zeros(len(at), np.uint64)
-                        order = np.argsort(h)
-                        out[name, int(c), int(o)] = h[order], got[value].take(pa.array(at)).to_numpy()[order].astype(np.float32)
-            self._packed = self.spark.sparkContext.broadcast((self.order, self.shared, self.classes, self.unseen, out))
+
+                def hashed(batches, less=less):
+                    for b in batches:
+                        k, grams = b.column(0).to_numpy(), b.column(1).to_pylist()
+                        h = np.zeros(len(k), np.uint64)
+                        for o in np.unique(k):
+                            at = np.flatnonzero(k == o)
+                            if o > less:
+                                h[at] = hash_rows(codes_of("".join([grams[i] for i in at.tolist()])).reshape(len(at), int(o) - less))
+                        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), b.column(2)], ["k", "h", "v"])
+
+                got = df.select(F.col("k").cast("int").alias("k"), text, F.col(value).cast("int").alias("v")).mapInArrow(hashed, "k int, h long, v int").toArrow()
+                k, h, v = (got[c].to_numpy() for c in ("k", "h", "v"))
+                for o in np.unique(k):
+                    at = np.flatnonzero(k == o)
+                    own = h[at].view(np.uint64)
+                    order = np.argsort(own)
+                    out[name, int(o)] = own[order], v[at][order].astype(np.int32)
+            self._packed = self.spark.sparkContext.broadcast((self.order, self.unseen, out))
         return self._packed
 
+    def release(self) -> None:
+        """Scratch tables go; a model that has been broadcast can still score."""
+        release(self.terms, self.weights)
+
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -111,49 +144,53 @@ def hash_rows(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def train(texts: DataFrame, order: int = 6, shared: int = 0, prior: float = 0.0) -> Model:
-    """Fit on rows (cls, text). With one class leave `shared` at 0. Null texts and empty tables count nothing.
+def log_of(p):
+    return F.round(F.log(p) * SCALE).cast("long")
 
-    `prior` counts of the lower order are added after each context of a class, so that what a class has rarely seen
-    stays near the shared counts.
-    """
+
+def train(texts: DataFrame, order: int = 5) -> Model:
+    """Fit on rows (text). Null texts and empty tables count nothing."""
     spark = texts.sparkSession
     grams = materialize(count_grams(texts, order), "kn-grams")
-    classes = sorted(r[0] for r in grams.select("cls").distinct().collect())
-    k = F.explode(F.sequence(F.lit(1), F.lit(order)))
-    own = grams if not shared else grams.select("cls", "g", "n").union(grams.select(F.lit(-1).alias("cls"), "g", "n"))
-    levels = own.select("cls", "g", "n", k.alias("k"))
-    if shared:
-        levels = levels.where(f"(cls = -1 and k <= {shared}) or (cls >= 0 and k > {shared})")
-    parts = levels.groupBy("cls", "k", F.expr("substring(g, greatest(1, length(g) - k), least(k + 1, length(g)))").alias("with_left")).agg(F.sum("n").alias("n"))
+    levels = grams.select("g", "n", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k"))
+    parts = levels.groupBy("k", F.expr("substring(g, greatest(1, length(g) - k), least(k + 1, length(g)))").alias("with_left")).agg(F.sum("n").alias("n"))
     g = F.expr(f"if(k = {order}, with_left, substring(with_left, 2))")
-    counts = parts.groupBy("cls", "k", g.alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("lefts"))
+    counts = parts.groupBy("k", g.alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("lefts"))
     raw = (F.col("k") == order) | F.col("g").startswith(BOS)
-    counts = materialize(counts.select("cls", "k", "g", F.when(raw, F.col("n")).otherwise(F.col("lefts")).alias("c")), "kn-counts")
-    of = {(r.cls, r.k): r for r in counts.groupBy("cls", "k").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count_distinct(F.expr("right(g, 1)")).alias("symbols")).collect()}
-    case = F.create_map(*[F.lit(x) for key, r in of.items() for x in (f"{key[0]} {key[1]}", discounts(r.n1, r.n2, r.n3, r.n4))]) if of else F.create_map(F.lit("-"), F.lit([0.5, 1.0, 1.5]))
-    counts = counts.withColumn("d", case[F.concat_ws(" ", "cls", "k")]).withColumn("ctx", F.expr("substring(g, 1, k - 1)"))
+    counted = materialize(counts.select("k", "g", F.when(raw, F.col("n")).otherwise(F.col("lefts")).alias("c")), "kn-counts")
+    release(grams)
+    of = {r.k: r for r in counted.groupBy("k").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count_distinct(F.expr("right(g, 1)")).alias("symbols")).collect()}
+    case = F.create_map(*[F.lit(x) for k, r in of.items() for x in (k, discounts(r.n1, r.n2, r.n3, r.n4))]) if of else F.create_map(F.lit(0), F.lit([0.5, 1.0, 1.5]))
+    counts = counted.withColumn("d", case[F.col("k")]).withColumn("ctx", F.expr("substring(g, 1, k - 1)"))
     of_c = F.expr("element_at(d, int(least(c, 3L)))")
-    extra = F.when(F.col("k") > shared, prior).otherwise(0.0)
-    weights = counts.groupBy("cls", "k", "ctx").agg(F.sum("c").alias("total"), F.sum(of_c).alias("taken")).select("cls", "k", "ctx", (F.col("total") + extra).alias("total"), (F.col("taken") + extra).alias("taken")).withColumn("w", F.col("taken") / F.col("total"))
-    weights = materialize(weights, "kn-weights")
-    terms = materialize(counts.withColumn("kept", F.greatest(F.lit(0.0), F.col("c") - of_c)).join(weights, ["cls", "k", "ctx"]).select("cls", "k", "g", (F.col("kept") / F.col("total")).alias("p"), "w"), "kn-terms")
-    symbols = max((r.symbols for key, r in of.items() if key[1] == 1), default=1)
-    base, levels, below = 1 / (symbols + 1), [], None
+    weights = counts.groupBy("k", "ctx").agg(F.sum("c").alias("total"), F.sum(of_c).alias("taken")).select("k", "ctx", "total", (F.col("taken") / F.col("total")).alias("w"))
+    weights = materialize(weights.withColumn("lw", log_of(F.col("w"))), "kn-weights")
+    kept = materialize(counts.withColumn("kept", F.greatest(F.lit(0.0), F.col("c") - of_c)).join(weights, ["k", "ctx"]).select("k", "g", (F.col("kept") / F.col("total")).alias("p"), "w"), "kn-kept")
+    release(counted)
+    terms, unseen = interpolated(kept, order, 1 / (of[1].symbols + 1 if 1 in of else 2))
+    release(kept)
+    return Model(spark, order, terms, unseen, weights.select("k", "ctx", "lw"))
+
+
+def interpolated(kept: DataFrame, order: int, base: float) -> tuple[DataFrame, int]:
+    """Terms from rows k, g, p (what the n-gram keeps) and w (weight of the next lower order): order by order, each
+    n-gram joins the one without its first symbol, which has as many longer ones as there are symbols."""
+    levels, below = [], None
     for o in range(1, order + 1):
-        now = terms.where(F.col("k") == o)
+        now = kept.where(F.col("k") == o)
         if below is None:
-            now = now.select("cls", "k", "g", (F.col("p") + F.col("w") * base).alias("p"))
+            now = now.select("k", "g", (F.col("p") + F.col("w") * base).alias("p"))
         else:
-            lower = below.select(F.col("g").alias("tail"), F.col("p").alias("below"), F.col("cls").alias("below_cls"))
-            same = (F.expr("substring(g, 2)") == F.col("tail")) & (F.lit(True) if shared and o == shared + 1 else F.col("cls") == F.col("below_cls"))
-            now = now.join(lower, same).select("cls", "k", "g", (F.col("p") + F.col("w") * F.col("below")).alias("p"))
+            lower = below.select(F.col("g").alias("tail"), F.col("p").alias("below"))
+            now = now.join(lower, F.expr("substring(g, 2)") == F.col("tail")).select("k", "g", (F.col("p") + F.col("w") * F.col("below")).alias("p"))
         below = materialize(now, "kn-level")
         levels.append(below)
     every = levels[0]
     for x in levels[1:]:
         every = every.union(x)
-    return Model(spark, order, shared, classes, every.select("cls", "k", "g", F.log("p").alias("lp")), weights.select("cls", "k", "ctx", F.log("w").alias("lw")), float(np.log(base)))
+    terms = materialize(every.select("k", "g", log_of(F.col("p")).alias("lp")), "kn-terms")
+    release(*levels)
+    return terms, round(float(np.log(base)) * SCALE)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -165,51 +202,42 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 class Scorer:
-    """Log probabilities of words by class from a packed model."""
+    """Log probabilities of words from a packed model."""
 
     def __init__(self, packed):
-        self.order, self.shared, self.classes, self.unseen, self.tables = packed
+        self.order, self.unseen, self.tables = packed
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Rows of (log probability by class ..., symbols read)."""
+        """Rows of (log probability in 1 / SCALE, symbols read)."""
         n, pad = self.order, BOS * (self.order - 1)
-        lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        flat = codes_of("".join([pad + clean(w) + EOS for w in words]))
+        cleaned = [clean(w) for w in words]
+        lengths = np.fromiter((len(w) + 1 for w in cleaned), np.int64, len(words))
+        flat = codes_of("".join([pad + w + EOS for w in cleaned]))
         ends = np.cumsum(lengths + n - 1)
         at = np.repeat(ends - lengths, lengths) + (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-        window = np.stack([flat[at - n + 1 + j] for j in range(n)], axis=1) if len(at) else np.zeros((0, n), np.uint32)
-        hashes = {k: hash_rows(window[:, n - k :]) for k in range(1, n + 1)}
-        contexts = {k: hash_rows(window[:, n - k : n - 1]) if k > 1 else np.zeros(len(at), np.uint64) for k in range(1, n + 1)}
-        out = np.empty((len(words), len(self.classes) + 1))
-        for i, cls in enumerate(self.classes):
-            lp, todo = np.zeros(len(at)), np.arange(len(at))
-            for k in range(n, 0, -1):
-                c = -1 if k <= self.shared else cls
-                keys, values = self.tables.get(("lp", c, k), EMPTY)
-                found, where = self._find(keys, hashes[k][todo])
-                lp[todo[found]] += values[where[found]]
-                todo = todo[~found]
-                if not len(todo):
-                    break
-                keys, values = self.tables.get(("lw", c, k), EMPTY)
-                found, where = self._find(keys, contexts[k][todo])
-                lp[todo[found]] += values[where[found]]
-            lp[todo] += self.unseen
-            total = np.concatenate([[0.0], np.cumsum(lp)])
-            e = np.cumsum(lengths)
-            out[:, i] = total[e] - total[e - lengths]
-        out[:, -1] = lengths
-        return out
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lp, todo = np.zeros(len(at), np.int64), np.arange(len(at))
+        for k in range(n, 0, -1):
+            window = np.stack([flat[at[todo] - k + 1 + j] for j in range(k)], axis=1) if len(todo) else np.zeros((0, k), np.uint32)
+            found, where, values = self._find("lp", k, hash_rows(window))
+            lp[todo[found]] += values[where[found]]
+            todo = todo[~found]
+            if not len(todo):
+                break
+            found, where, values = self._find("lw", k, hash_rows(window[~found, : k - 1]) if k > 1 else np.zeros(len(todo), np.uint64))
+            lp[todo[found]] += values[where[found]]
+        lp[todo] += self.unseen
+        total, e = np.concatenate([[0], np.cumsum(lp)]), np.cumsum(lengths)
+        return np.stack([total[e] - total[e - lengths], lengths], axis=1)
+
+    def _find(self, name: str, k: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, values = self.tables.get((name, k), EMPTY)
         if not len(keys):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64), values
         where = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return keys[where] == wanted, where
+        return keys[where] == wanted, where, values
 
 
-EMPTY = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+EMPTY = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 class CachedScorer:
@@ -217,7 +245,7 @@ class CachedScorer:
 
     def __init__(self, packed):
         self.scorer = Scorer(packed)
-        self.table = Growing(np.float32, len(self.scorer.classes) + 1)
+        self.table = Growing(np.int64, 2)
         self.cache = WordCache(self._compute, self.table.reset, WORDS_CACHED)
 
     def _compute(self, words: list[str]) -> None:
@@ -226,31 +254,48 @@ class CachedScorer:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words' rows, each word's place among them, and each text's number of words."""
-        words, codes, counts = split_words(texts)
+        words, codes, counts = model_words(texts)
         rows = self.cache.rows(words)
         return self.table.a[rows], codes, counts
 
 
 def word_scores(model: Model, words: DataFrame) -> DataFrame:
-    """word, score (array: log probability by class ..., symbols), by joins alone, for models too large to broadcast."""
+    """word, lp, symbols of distinct cleaned words, by joins alone, for models too large to broadcast.
+
+    Distinct windows fall back to distinct shorter ones, order by order, so a table meets each n-gram once; a shorter
+    window serves at most as many longer ones as there are symbols.
+    """
     n, pad = model.order, BOS * (model.order - 1)
-    text = F.concat(F.lit(pad), F.translate("word", BOS + EOS, "  "), F.lit(EOS))
-    at = words.select("word", text.alias("s")).select("word", "s", F.explode(F.expr(f"sequence({n}, length(s))")).alias("i"))
-    at = at.select("word", "i", F.expr(f"substring(s, i - {n} + 1, {n})").alias("window"), F.explode(F.array(*[F.lit(c) for c in model.classes])).alias("class"))
-    at = at.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).withColumn("g", F.expr(f"substring(window, {n} - k + 1, k)")).withColumn("ctx", F.expr("substring(g, 1, k - 1)"))
-    at = at.withColumn("cls", F.when(F.col("k") <= model.shared, -1).otherwise(F.col("class")))
-    at = at.join(model.terms, ["cls", "k", "g"], "left").join(model.weights, ["cls", "k", "ctx"], "left")
-    per = at.groupBy("word", "i", "class").agg(F.max(F.when(F.col("lp").isNotNull(), F.struct("k", "lp"))).alias("top"), F.collect_list(F.struct("k", F.coalesce("lw", F.lit(0.0)).alias("lw"))).alias("ws"))
-    lw = F.expr("aggregate(filter(ws, x -> x.k > coalesce(top.k, 0)), 0D, (a, x) -> a + x.lw)")
-    per = per.select("word", "class", (F.coalesce(F.col("top.lp"), F.lit(model.unseen)) + lw).alias("lp"))
-    sums = per.groupBy("word").agg(*[F.sum(F.when(F.col("class") == c, F.col("lp"))).alias(f"c{c}") for c in model.classes])
-    return sums.select("word", F.array(*[F.col(f"c{c}") for c in model.classes], F.length("word") + F.lit(1.0)).alias("score"))
-
-
-def joined_features(model: Model, docs: DataFrame, features) -> DataFrame:
-    """docs with the columns that `features` makes, as aggregates over each document's (n, score) rows."""
+    words = materialize(words.withColumn("_word", F.monotonically_increasing_id()), "kn-ids")
+    # long words in pieces first, so that no row carries one along
+    text = words.select("_word", F.concat(F.lit(pad), "word", F.lit(EOS)).alias("s"))
+    pieces = text.select("_word", F.explode(F.expr(f"transform(sequence(0, (length(s) - {n}) div 64), j -> substring(s, j * 64 + 1, {63 + n}))")).alias("s"))
+    at = pieces.select("_word", F.explode(F.expr(f"transform(sequence(1, length(s) - {n - 1}), i -> substring(s, i, {n}))")).alias("g"))
+    wanted = {n: materialize(at.select("g").distinct(), "kn-wanted")}
+    for k in range(n - 1, 0, -1):
+        wanted[k] = materialize(wanted[k + 1].select(F.expr("substring(g, 2)").alias("g")).distinct(), "kn-wanted")
+    empty = model.weights.where("k = 1").first()
+    below = None
+    for k in range(1, n + 1):
+        got = wanted[k].join(model.terms.where(F.col("k") == k).select("g", "lp"), "g", "left")
+        if k == 1:
+            got = got.select("g", F.coalesce("lp", F.lit(model.unseen + (empty.lw if empty else 0)).cast("long")).alias("lp"))
+        else:
+            got = got.withColumn("ctx", F.expr(f"substring(g, 1, {k - 1})")).withColumn("tail", F.expr("substring(g, 2)"))
+            got = got.join(model.weights.where(F.col("k") == k).select("ctx", "lw"), "ctx", "left").join(below.select(F.col("g").alias("tail"), F.col("lp").alias("less")), "tail")
+            got = got.select("g", F.coalesce("lp", F.coalesce("lw", F.lit(0)) + F.col("less")).alias("lp"))
+        below = materialize(got, "kn-scored")
+    sums = at.join(below, "g").groupBy("_word").agg(F.sum("lp").alias("lp"), F.count("*").alias("symbols"))
+    return sums.join(words, "_word").select("word", "lp", "symbols")
+
+
+def joined_scores(model: Model, docs: DataFrame) -> DataFrame:
+    """docs with nll and symbols, by joins: each document's distinct words with their numbers, common ones dealt out."""
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "kn-docs")
-    words = rows.select("_row", F.explode(F.expr("filter(split(coalesce(text, ''), '[ \\\\t-\\\\r]+'), w -> w <> '')")).alias("word")).groupBy("_row", "word").agg(F.count("*").alias("n"))
+    words = with_words(rows.select("_row", "text")).select("_row", F.explode("_words").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("n"))
+    words = materialize(words, "kn-doc-words")
     scores = materialize(word_scores(model, words.select("word").distinct()), "kn-words")
-    found = words.join(scores, "word").groupBy("_row").agg(*features)
-    return rows.join(found, "_row", "left").drop("_row")
+    found = salted_join(words, scores, "word", hot_keys(words, "word"), "_row")
+    sums = found.groupBy("_row").agg(F.sum(F.col("n") * F.col("lp")).alias("lp"), F.sum(F.col("n") * F.col("symbols")).cast("double").alias("symbols"))
+    out = rows.join(sums, "_row", "left").fillna(0, ["lp"]).fillna(0.0, ["symbols"])
+    return out.withColumn("nll", -F.col("lp") / F.lit(float(SCALE))).select(*docs.columns, "nll", "symbols")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, salted_join
 from .components import components
 
 #: Segments of the fingerprint: first bit and width. The last is filled up to 23 bits with zeros.
@@ -39,8 +39,8 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; with `hashed` also the text's hash."""
 
     def run(batches):
         for b in batches:
@@ -52,9 +52,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         seen.clear()
                     seen[t] = fingerprint(t)
                 out.append(seen[t])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.xxhash64(text).alias("hash")] if hashed else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", hash long" * hashed)
 
 
 def _syndromes(v: np.ndarray) -> np.ndarray:
@@ -77,61 +79,94 @@ def _leaders() -> np.ndarray:
 
 
 @cache
-def _offsets(width: int) -> list[np.ndarray]:
-    """By syndrome, what turns a segment into each codeword to which it or a neighbour at one bit decodes."""
+def _neighbours(width: int) -> np.ndarray:
+    """By syndrome, what turns a segment into each codeword to which a neighbour at one bit decodes; rows repeat their last."""
     lead, one = _leaders(), _syndromes(1 << np.arange(width, dtype=np.int64))
-    out = []
-    for s in range(2048):
-        out.append(np.array(sorted({int(lead[s]), *(int(lead[s ^ x]) ^ (1 << i) for i, x in enumerate(one.tolist()))}), np.int64))
-    return out
+    found = [sorted({int(lead[s ^ x]) ^ (1 << i) for i, x in enumerate(one.tolist())}) for s in range(2048)]
+    most = max(map(len, found))
+    return np.array([x + x[-1:] * (most - len(x)) for x in found], np.int64)
 
 
-def golay_keys(fp: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each fingerprint: pairs of segments with their codewords' indices.
+def golay_keys(fp: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each fingerprint. Any two within three bits have a key on the left of one equal to one on the right
+    of the other, or the other way round.
 
-    Of three errors at most one segment holds over one, so some two segments hold one each at most. A segment
-    within one bit of another decodes to a codeword among that other's `near` indices. So every pair within three
-    bits has a key of one side's near keys equal to one of the other side's plain keys.
+    Of up to three errors in three segments either some segment has none and another one at most, or each has one. Where
+    a segment has exactly one, the two sides' parities of it differ: the even side gives the codeword index of every
+    neighbour at one bit, the odd side that of its own. So keys are: two whole segments; a whole segment and an index;
+    three indices with the parities.
     """
-    lead, fp = _leaders(), fp.view(np.uint64)
-    table = []
+    fp = fp.view(np.uint64)
+    value, own, near, odd = [], [], [], []
     for first, width in SEGMENTS:
         v = ((fp >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
         s = _syndromes(v)
-        if near:
-            off = _offsets(width)
-            wide = max(map(len, off))
-            grid = np.array([np.pad(x, (0, wide - len(x)), mode="edge") for x in off])
-            table.append((v[:, None] ^ grid[s]) >> 11)
-        else:
-            table.append(((v ^ lead[s]) >> 11)[:, None])
+        value.append(v)
+        own.append(((v ^ _leaders()[s]) >> 11)[:, None])
+        near.append((v[:, None] ^ _neighbours(width)[s]) >> 11)
+        odd.append(np.bitwise_count(v) % 2 == 1)
     rows, keys = [], []
-    for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        both = ((k << 24) | (table[i][:, :, None] << 12) | table[j][:, None, :]).reshape(len(fp), -1)
-        both.sort(axis=1)
-        fresh = np.ones(both.shape, bool)
-        fresh[:, 1:] = both[:, 1:] != both[:, :-1]
-        rows.append(np.nonzero(fresh)[0])
-        keys.append(both[fresh])
+
+    def add(at: np.ndarray, grid: np.ndarray) -> None:
+        grid = np.sort(grid, axis=1)
+        fresh = np.ones(grid.shape, bool)
+        fresh[:, 1:] = grid[:, 1:] != grid[:, :-1]
+        rows.append(at[np.nonzero(fresh)[0]])
+        keys.append(grid[fresh])
+
+    every = np.arange(len(fp))
+    for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        add(every, ((tag << 46) | (value[i] << 23) | value[j])[:, None])
+    tag = 3
+    for i in range(3):
+        for j in range(3):
+            if i != j:
+                at = np.flatnonzero(odd[j] != left)
+                add(at, (tag << 46) | (value[i][at, None] << 12) | (near if left else own)[j][at])
+                tag += 1
+    # the even first segment goes left; the parities of the others are the left side's
+    at = np.flatnonzero(odd[0] != left)
+    for p in range(4):
+        want = [left, bool(p & 1) == left, bool(p & 2) == left]  # whether each segment is even on this side
+        some = at[np.logical_and.reduce([odd[k][at] != want[k] for k in (1, 2)])]
+        if not len(some):
+            continue
+        a, b, c = ((near if want[k] else own)[k][some] for k in range(3))
+        add(some, ((tag << 46) | (p << 36) | (a[:, :, None, None] << 24) | (b[:, None, :, None] << 12) | c[:, None, None, :]).reshape(len(some), -1))
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keyed(classes: DataFrame, near: bool, names: tuple[str, str]) -> DataFrame:
+def _keyed(classes: DataFrame, left: bool, name: str) -> DataFrame:
     def run(batches):
         for b in batches:
             fp = b.column(0).to_numpy()
             for at in range(0, len(fp), 4096):
-                rows, keys = golay_keys(fp[at : at + 4096], near)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at : at + 4096][rows])], ["key", names[1]])
+                rows, keys = golay_keys(fp[at : at + 4096], left)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at : at + 4096][rows])], ["key", name])
 
-    return classes.select("fp").mapInArrow(run, f"key long, {names[1]} long")
+    return classes.select("fp").mapInArrow(run, f"key long, {name} long")
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) within three bits."""
-    probe, index = _keyed(classes, True, ("key", "a")), _keyed(classes, False, ("key", "b"))
-    close = (probe.key == index.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return probe.join(index, close).select("a", "b").distinct()
+    """Pairs a < b of distinct fingerprints (column fp) within three bits. Keys have 35 to 46 bits; those of two whole
+    segments are shared by the distinct values of a third at most."""
+    one, other = _keyed(classes, True, "x"), _keyed(classes, False, "y")
+    close = (one.key == other.key) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= DISTANCE)
+    return one.join(other, close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _components(fps: DataFrame) -> tuple[DataFrame, list[int]]:
+    """class_fp, component_id, n_links of each distinct fingerprint of fps (doc_id, fp), and the fingerprints of many rows."""
+    counted = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = [r.fp for r in counted.where(F.col("n") > max(total / 500, 1000)).select("fp").collect()]  # fewer than 500
+    edges = materialize(links(counted), "simhash-links")
+    found = components(edges)  # node, component: both fingerprints
+    n = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    joined = counted.join(found.withColumnRenamed("node", "fp"), "fp", "left").join(n, "fp", "left")
+    linked = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    named = joined.join(linked, "component", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return materialize(named, "simhash-named"), hot
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -139,32 +174,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal fingerprints are one class, so copies are never expanded into pairs; n_links counts the other classes
     within three bits. Rows without an id get their component's, which is null if no member has an id. Null and
-    empty texts have fingerprint zero and link like any other. Repeated rows stay.
+    empty texts have fingerprint zero and link like any other. Repeated rows stay. A text is read in one piece.
     """
     fps = materialize(fingerprints(docs), "simhash-docs")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    edges = materialize(links(classes), "simhash-links")
-    found = components(edges)  # node, component: both fingerprints
-    n = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    joined = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").join(n, "fp", "left")
-    linked = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    named = materialize(
-        joined.join(linked, "component", "left").select(F.col("fp").alias("class_fp"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "simhash-named"
-    )
-    out = fps.join(named, fps.fp == named.class_fp)
+    named, hot = _components(fps)
+    out = salted_join(fps.withColumn("_by", F.monotonically_increasing_id()), named, "fp", hot, "_by")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id, with its columns; of equal rows of it one.
-
-    Documents without an id cannot be told apart: those in a component with an id go, others stay.
-    """
-    found = near_duplicates(docs)
-    away = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_away")).distinct()
-    many = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_away"))
-    away, many = materialize(away, "simhash-away"), materialize(many, "simhash-many")
-    left = docs.join(away, docs.doc_id == F.col("_away"), "left_anti")
-    single = left.join(many, left.doc_id == F.col("_away"), "left_anti")
-    repeated = left.join(many, left.doc_id == F.col("_away"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated) if many.limit(1).count() else single
+    """Of each component one row, with its columns: that of the smallest doc_id (a row without an id only where none has
+    one), of those the one with the smallest fingerprint and then the smallest hash of its text."""
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash")]
+    fps = materialize(fingerprints(docs, True).groupBy("doc_id", "hash", "fp").agg(F.count("*").alias("n")), "simhash-docs")
+    named, hot = _components(fps)
+    rows = salted_join(fps.withColumn("_by", F.xxhash64("doc_id", "hash")), named.select("fp", "component"), "fp", hot, "_by")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "hash"))
+    first = materialize(rows.groupBy("component").agg(best.alias("b")).select("b.doc_id", "b.hash"), "simhash-first")
+    lost = fps.alias("f").join(first.alias("g"), F.expr("f.doc_id <=> g.doc_id and f.hash = g.hash"), "left_anti").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"))
+    lost = materialize(lost, "simhash-lost")
+    many = materialize(fps.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")), "simhash-many")
+    own = docs.withColumn("_hash", key[1])
+    same = F.expr("cast(doc_id as long) <=> _id and _hash = _h")
+    left = own.join(lost, same, "left_anti")
+    if not many.limit(1).count():
+        return left.drop("_hash")
+    return left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates(["doc_id", "_hash"])).drop("_hash")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kneser_ney as kn
+from .common import materialize, release
+
 #: (verdict, rule): host and path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Longest context, distinct urls of each verdict that the models are fitted to, and the share held back to set the limit.
-ORDER, SAMPLE, HELD_BACK = 5, 5_000, 4
-START, STOP = "\x02", "\x03"
+#: Longest context, times a context must be seen to be used, and the share of urls held back to set the limit.
+ORDER, LEAST, HELD_BACK = 5, 2, 4
+#: Steps in which ratios are counted for the limit.
+STEP = 1e-4
 
 
 def split_url(url):
@@ -35,93 +37,96 @@ def rule_columns(host, path, rules=RULES):
     return rule, verdict
 
 
-class Markov:
-    """Witten-Bell smoothed character model: each context backs off to the one that is a character shorter."""
-
-    def __init__(self, texts: list[str], order: int = ORDER):
-        counts: dict[str, dict[str, int]] = {}
-        for t in texts:
-            s = START * order + t + STOP
-            for i in range(order, len(s)):
-                for k in range(order + 1):
-                    row = counts.setdefault(s[i - k : i], {})
-                    row[s[i]] = row.get(s[i], 0) + 1
-        self.order = order
-        self.base = 1 / (len(counts.get("", ())) + 1)
-        self.p: dict[str, float] = {}
-        self.backoff: dict[str, float] = {}
-        for context in sorted(counts, key=len):
-            row = counts[context]
-            n, kinds = sum(row.values()), len(row)
-            self.backoff[context] = math.log(kinds / (n + kinds))
-            for c, k in row.items():
-                below = self.p[context[1:] + c] if context else math.log(self.base)
-                self.p[context + c] = math.log((k + kinds * math.exp(below)) / (n + kinds))
-
-    def log_likelihood(self, text: str) -> float:
-        s, total = START * self.order + text + STOP, 0.0
-        for i in range(self.order, len(s)):
-            for k in range(self.order, -1, -1):
-                got = self.p.get(s[i - k : i + 1])
-                if got is not None:
-                    total += got
-                    break
-                total += self.backoff.get(s[i - k : i], 0.0)
-            else:
-                total += math.log(self.base)
-        return total
-
-
-def ratio(accepted: Markov, rejected: Markov, text: str) -> float:
-    """Length-normalised log-likelihood difference; above 0: more like the accepted."""
-    return (accepted.log_likelihood(text) - rejected.log_likelihood(text)) / (len(text) + 1)
-
-
-def calibrate(accepted: list[float], rejected: list[float]) -> float:
-    """The limit that misjudges the least shares of both, in the middle of those that do so equally."""
-    if not accepted or not rejected:
+def train(texts: DataFrame, order: int = ORDER) -> kn.Model:
+    """Witten-Bell smoothed model of all rows (t): each context backs off to the one that is a character shorter, and
+    contexts seen fewer than LEAST times are left out, so their order varies with what has been seen."""
+    spark, size = texts.sparkSession, order + 1
+
+    def run(batches):
+        for b in batches:
+            grams: dict[str, int] = {}
+            for t in b.column(0).to_pylist():
+                s = kn.BOS * order + kn.clean(t) + kn.EOS
+                for i in range(len(s) - order):
+                    g = s[i : i + size]
+                    grams[g] = grams.get(g, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["g", "n"])
+
+    grams = texts.select("t").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    levels = grams.select("n", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("k"), "g").groupBy("k", F.expr("right(g, k)").alias("g")).agg(F.sum("n").alias("c"))
+    counts = materialize(levels.withColumn("ctx", F.expr("substring(g, 1, k - 1)")), "markov-counts")
+    weights = counts.groupBy("k", "ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where(f"k = 1 or total >= {LEAST}")
+    weights = materialize(weights.withColumn("w", F.col("kinds") / (F.col("kinds") + F.col("total"))).withColumn("lw", kn.log_of(F.col("w"))), "markov-weights")
+    kept = counts.join(weights, ["k", "ctx"]).select("k", "g", (F.col("c") / (F.col("total") + F.col("kinds"))).alias("p"), "w")
+    kinds = weights.where("k = 1").select("kinds").first()
+    model = kn.Model(spark, size, *kn.interpolated(kept, size, 1 / ((kinds[0] if kinds else 0) + 1)), weights)
+    release(counts)
+    return model
+
+
+def ratios(rows: DataFrame, accepted: kn.Model, rejected: kn.Model, most: int | None = None) -> DataFrame:
+    """rows (with column t) and ratio: the log-likelihood difference a character; above 0: more like the accepted."""
+    limit = kn.MOST_BROADCAST if most is None else most
+    if accepted.size() + rejected.size() <= limit:
+        place, sent = rows.columns.index("t"), (accepted.packed(), rejected.packed())
+        schema = rows.withColumn("ratio", F.lit(0.0)).schema
+
+        def run(batches):
+            scorers = [kn.Scorer(x.value) for x in sent]
+            for b in batches:
+                texts = b.column(place).dictionary_encode()
+                words = texts.dictionary.to_pylist()
+                a, r = (s.words(words) for s in scorers)
+                each = (a[:, 0] - r[:, 0]) / (kn.SCALE * a[:, 1])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(each[texts.indices.to_numpy(zero_copy_only=False)])], [*b.schema.names, "ratio"])
+
+        return rows.mapInArrow(run, schema)
+    cleaned = F.translate("t", kn.BOS + kn.EOS + kn.REPEAT, "   ")
+    words = materialize(rows.select(cleaned.alias("word")).distinct(), "markov-words")
+    a, r = (kn.word_scores(m, words) for m in (accepted, rejected))
+    both = a.join(r.select("word", F.col("lp").alias("less")), "word").select(F.col("word").alias("_word"), ((F.col("lp") - F.col("less")) / (F.lit(float(kn.SCALE)) * F.col("symbols"))).alias("ratio"))
+    return rows.join(both, cleaned == F.col("_word")).drop("_word")
+
+
+def calibrate(counts: list[tuple[str, float, int]]) -> float:
+    """The limit that misjudges the least shares of both verdicts, in the middle of those that do so equally."""
+    total = {v: sum(n for w, _, n in counts if w == v) for v in ("allow", "block")}
+    if not all(total.values()):
         return 0.0
-    values = sorted({*accepted, *rejected})
+    at: dict[float, dict[str, int]] = {}
+    for v, x, n in counts:
+        at.setdefault(x, {"allow": 0, "block": 0})[v] += n
+    values = sorted(at)
     cuts = [values[0] - 1, *((a + b) / 2 for a, b in zip(values, values[1:])), values[-1] + 1]
-    cost = [sum(x < c for x in accepted) / len(accepted) + sum(x >= c for x in rejected) / len(rejected) for c in cuts]
-    best = [c for c, x in zip(cuts, cost) if x == min(cost)]
+    below, cost = {"allow": 0, "block": 0}, []
+    for x in (None, *values):
+        for v, n in at.get(x, {}).items():
+            below[v] += n
+        cost.append(below["allow"] / total["allow"] + 1 - below["block"] / total["block"])
+    best = [c for c, x in zip(cuts, cost) if x <= min(cost) + 1e-12]
     return best[len(best) // 2]
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio of every page.
 
-    Urls that rules decide are the models' examples: at most SAMPLE distinct ones of each verdict, those of the
-    smallest hashes, of which every HELD_BACK-th sets the limit. Others are judged by the limit. Null urls and urls
-    without :// have empty host and path and are judged as the empty text. Without examples of both kinds all else is
-    allowed. Repeated rows are judged alike.
+    All distinct urls that rules decide are the models' examples; a quarter of them, by hash, sets the limit instead.
+    Others are judged by the limit; a ratio equal to it is allowed. Null urls and urls without :// have empty host and
+    path and are judged as the empty text. Without examples of both kinds all else is allowed. Repeated rows are judged
+    alike.
     """
-    spark = pages.sparkSession
     host, path = split_url(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    text = F.concat("host", "path")
-    examples = {v: [r.t for r in rows.where(F.col("ruled") == v).select(text.alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(SAMPLE).collect()] for v in ("allow", "block")}
-    fit = {v: Markov([t for i, t in enumerate(x) if i % HELD_BACK]) for v, x in examples.items()}
-    held = {v: [ratio(fit["allow"], fit["block"], t) for t in x[::HELD_BACK]] for v, x in examples.items()}
-    trained = all(len(x) > HELD_BACK for x in examples.values())
-    sent = spark.sparkContext.broadcast((fit["allow"], fit["block"], calibrate(held["allow"], held["block"]) if trained else None))
-
-    def run(batches):
-        accepted, rejected, limit = sent.value
-        known: dict[str, float] = {}
-        for b in batches:
-            hosts, paths, ruled = (b.column(k).to_pylist() for k in (1, 2, 4))
-            verdicts, ratios = [], []
-            for h, p, v in zip(hosts, paths, ruled):
-                t = h + p
-                if t not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[t] = ratio(accepted, rejected, t) if limit is not None else 0.0
-                ratios.append(known[t])
-                verdicts.append(v or ("allow" if limit is None or known[t] >= limit else "block"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdicts, pa.string()), pa.array(ratios, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "ratio"])
-
-    return rows.select("page_id", "host", "path", "rule", "ruled").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, ratio double")
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "t": F.concat("host", "path")})
+    examples = materialize(rows.where("ruled is not null").select("ruled", "t").distinct().withColumn("held", F.pmod(F.xxhash64("t"), F.lit(HELD_BACK)) == 0), "url-examples")
+    models = [train(examples.where((F.col("ruled") == v) & ~F.col("held"))) for v in ("allow", "block")]
+    if all(m.size() for m in models):
+        held = ratios(examples.where("held"), *models)
+        counts = held.groupBy("ruled", F.round(F.col("ratio") / STEP).alias("x")).count().collect()  # as many as there are steps
+        limit = calibrate([(r["ruled"], r["x"] * STEP, r["count"]) for r in counts])
+        found = ratios(rows, *models)
+    else:
+        limit, found = float("-inf"), rows.withColumn("ratio", F.lit(0.0))
+    judged = F.coalesce("ruled", F.when(F.col("ratio") >= limit, "allow").otherwise("block"))
+    return found.select("page_id", "host", "path", "rule", judged.alias("verdict"), "ratio")
