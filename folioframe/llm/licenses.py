@@ -6,6 +6,8 @@ Everything is column expressions over each document alone: no shuffle, no Python
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +73,10 @@ TEXTS = (
 )
 #: The same with each text's sentences for it.
 RULES = tuple((name, tuple(i for t in texts for i in (sentences(t) if t in SENTENCES else [t]))) for name, texts in TEXTS)
-#: Every known sentence holds one of these, so other texts and sentences need no look-up.
-ANCHORS = ("licen", "permission", "copyright", "warrant", "software", "redistribution", " under ")
+#: Every rule has a sentence that holds one of these words, so other texts need no look-up; every sentence but the names
+#: below holds one of these or those in HELD.
+ANCHORS = ("licen", "permission", "warrant", "redistribution", "domain", "under")
+HELD = (*ANCHORS, "software", "copyright")
 #: But the licences' own names, which stand alone after "SPDX-License-Identifier: ".
 ALONE = "^[^a-z0-9]*(?:" + "|".join(normal(i).replace(" ", "[^a-z0-9]+") for i in NAMES) + ")[^a-z0-9]*$"
 
@@ -92,7 +96,7 @@ def identifiers(text: Column, end: str) -> Column:
     parts = F.split(F.regexp_replace(lower, end, "\x01"), "\x01")
     # a name begins with its first two letters or after signs, which spares most sentences the second pattern
     alone = lambda s: (~F.substring(s, 1, 1).between("a", "z") | F.substring(s, 1, 2).isin(*sorted({normal(i)[:2] for i in NAMES}))) & F.rlike(s, F.lit(ALONE))
-    likely = F.filter(parts, lambda s: F.rlike(s, F.lit("|".join(ANCHORS[:-1]) + "|under")) | alone(s))
+    likely = F.filter(parts, lambda s: F.rlike(s, F.lit("|".join(HELD))) | alone(s))
     ids = F.transform(likely, lambda s: known[F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))])
     return F.concat(F.lit(">"), F.array_join(F.transform(F.filter(ids, lambda i: i.isNotNull()), lambda i: F.concat(i, F.lit(">"))), ""))
 
@@ -104,7 +108,9 @@ def scan(docs: DataFrame) -> DataFrame:
     hold none; null ids are kept; repeated rows are reported once.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.rlike(F.col("text"), F.lit("(?i)" + "|".join(ANCHORS[:-1]) + "|under")))
+    # plain searches spare nearly all texts the patterns; lower() knows more letters than the patterns do, which does no harm here
+    held = reduce(or_, (F.contains(F.col("low"), F.lit(a)) for a in ANCHORS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("low", F.lower("text")).where(held).drop("low")
     rows = rows.select("doc_id", F.array_distinct(F.array(identifiers(F.col("text"), END), identifiers(F.col("text"), END_OR_LINE))).alias("sequences"))
     rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(">" + ">".join(ids) + ">").alias("rule")) for name, ids in RULES])
     rows = rows.where(F.exists("sequences", lambda s: s != ">")).withColumn("fit", F.filter(rules, lambda r: F.exists("sequences", lambda s: F.contains(s, r["rule"]))))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, chunks
-from .tokens import ChunkTokenizer
+from .tokens import shared_tokenizer
 
 #: Context sizes, powers of two. A document's last piece of (t/2, t] ids belongs to tier t; up to the least, to that.
 TIERS = (256, 512, 1024, 2048)
@@ -138,34 +138,39 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def pack(batches):
         from pyspark import TaskContext
 
-        tok, part = ChunkTokenizer(tokenizer), TaskContext.get().partitionId()
+        tok, part = shared_tokenizer(tokenizer), TaskContext.get().partitionId()
         packer = Packer(group=part)
-        held: dict[int, tuple] = {}  # of documents with ids not yet packed: doc_id, ids, ids still to go
+        # of documents with ids not yet packed: doc_id, their last ids, where these begin, all ids, ids still to go
+        held: dict[int, tuple] = {}
         number = 0
 
         def rows(found):
             cols = [[] for _ in SCHEMA]
             for doc, start, n, seq, at, total, tier, group in found:
-                doc_id, ids, left = held[doc]
-                for c, v in zip(cols, (doc_id, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, part * PER_PARTITION + seq, at, total, tier, group)):
+                doc_id, ids, first, size, left = held[doc]
+                for c, v in zip(cols, (doc_id, start, n, zlib.crc32(ids[4 * (start - first) : 4 * (start - first + n)]), size, part * PER_PARTITION + seq, at, total, tier, group)):
                     c.append(v)
                 if left == n:
                     del held[doc]
                 else:
-                    held[doc] = doc_id, ids, left - n
+                    held[doc] = doc_id, ids, first, size, left - n
             return batch_of(SCHEMA, cols)
 
         for batch in batches:
             texts, doc_ids = batch.column(1), batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 ids, counts = tok.documents(texts[a:b], end_id)
-                raw, at, found = ids.astype("<u4").tobytes(), 0, []
+                raw, at, found, before = memoryview(ids.astype("<u4").tobytes()), 0, [], number
                 for doc_id, n in zip(doc_ids[a:b], counts.tolist()):
-                    held[number] = doc_id, raw[4 * at : 4 * (at + n)], n
+                    held[number] = doc_id, raw[4 * at : 4 * (at + n)], 0, n, n
                     found += packer.add(number, n)
                     number, at = number + 1, at + n
                 if found:
                     yield rows(found)
+                for doc in range(before, number):  # full windows are out, so what waits is short
+                    if doc in held:
+                        doc_id, ids, _, size, left = held[doc]
+                        held[doc] = doc_id, bytes(ids[4 * (size - left) :]), size - left, size, left
         found = packer.finish()
         if found:
             yield rows(found)

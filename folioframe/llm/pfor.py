@@ -53,7 +53,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[starts + 4], out[starts + 5] = width, found
     for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        bits = np.unpackbits(x[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+        bits = np.unpackbits(x[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little", count=int(w))
         out[starts[at][:, None] + 6 + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
     if len(row):
         nth = np.arange(len(row)) - (np.cumsum(found) - found)[row]
@@ -68,12 +68,11 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarra
     low = data[starts[:, None] + np.arange(4)].view("<u4").reshape(n)
     width, found = data[starts + 4].astype(np.int64), data[starts + 5].astype(np.int64)
     x = np.zeros((n, BLOCK), np.uint32)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
     for w in np.unique(width[width > 0]):
-        at = np.flatnonzero(width == w)
-        bits = np.unpackbits(data[starts[at][:, None] + 6 + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        full = np.zeros((len(at), BLOCK, 32), np.uint8)
-        full[:, :, :w] = bits
-        x[at] = np.packbits(full, axis=2, bitorder="little").view("<u4").reshape(len(at), BLOCK)
+        at, bit = np.flatnonzero(width == w), np.arange(BLOCK) * w
+        x[at] = (eight[starts[at][:, None] + 6 + (bit >> 3)] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << int(w)) - 1)
     row = np.repeat(np.arange(n), found)
     if len(row):
         nth = np.arange(len(row)) - (np.cumsum(found) - found)[row]

@@ -19,6 +19,8 @@ from .common import Growing, WordCache, split_words
 
 #: Longer chunks are encoded each time they come up, so that the cache stays small.
 LONGEST_CACHED = 64
+#: Words joined into one text for the tokenizer.
+JOINED = 64
 
 
 #: White space, and a space or line feed that has other white space or an end of the text beside it.
@@ -32,8 +34,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def lengths_of(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, words), np.int64, len(words))
+
+
 class ChunkTokenizer:
-    def __init__(self, path: str, most: int = 800_000):
+    """Cached encoding of words. New words are encoded many at a time, with a separator between them that encodes to an
+    id of its own and stands apart from any word, so that their ids can be told apart again."""
+
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,6 +51,11 @@ class ChunkTokenizer:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.drops_space = self._ids_of("a b") == self._ids_of(" a\t\n b ") and self._ids_of(" ") == []
+        self.drops_case = self._ids_of("A Word") == self._ids_of("a word")
+        self.separator, self.mark = (" \x01 ", "\x01") if self.drops_space else ("\n", "\n")
+        self.separator_id = self._ids_of(self.mark)[0]
+        a, b = ("it", "was.") if self.drops_space else (" it", " was.")
+        assert self._ids_of(a + self.separator + b) == [*self._ids_of(a), self.separator_id, *self._ids_of(b)], "the separator does not stand apart"
         self.ids, self.first, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int64)
         self.cache = WordCache(self._compute, self._clear, most)
 
@@ -55,13 +69,37 @@ class ChunkTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has. The separator must not be part of a word, and words of a
+        vocabulary that keeps white space must begin with a space and end without."""
+        found = [np.array(e.ids, np.int32) for e in self.t.encode_batch_fast([self.separator.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)]
+        flat = np.concatenate([x for f in found for x in (f, [self.separator_id])]).astype(np.int32)
+        ends = np.flatnonzero(flat == self.separator_id)
+        assert len(ends) == len(words)
+        return flat[flat != self.separator_id], np.diff(ends, prepend=-1) - 1
+
     def _compute(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
-            found = self._encode(words[at : at + 20_000])
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            self.first.add(self.ids.n + np.cumsum(counts) - counts)
+            part = words[at : at + 20_000]
+            alone = [i for i, w in enumerate(part) if self.mark in w or not self.drops_space and (w[:1] != " " or len(w) < 2 or w[-1].isspace())]
+            if alone:
+                left = set(alone)
+                some = [w for i, w in enumerate(part) if i not in left]
+                ids, counts = self._encode_apart(some) if some else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+                own = self._encode([part[i] for i in alone])
+                lens = np.fromiter(map(len, own), np.int64, len(own))
+                total, firsts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+                mask = np.ones(len(part), bool)
+                mask[alone] = False
+                total[mask], total[alone] = counts, lens
+                firsts[mask], firsts[alone] = np.cumsum(counts) - counts, len(ids) + np.cumsum(lens) - lens
+                ids, counts = np.concatenate([ids, np.array([i for x in own for i in x], np.int32)]), total
+            else:
+                ids, counts = self._encode_apart(part)
+                firsts = np.cumsum(counts) - counts
+            self.first.add(self.ids.n + firsts)
             self.count.add(counts)
-            self.ids.add(np.fromiter((i for x in found for i in x), np.int32, int(counts.sum())))
+            self.ids.add(ids)
 
     def _odd(self, text: str) -> np.ndarray:
         """Ids of a text that has a space beside other white space."""
@@ -69,11 +107,14 @@ class ChunkTokenizer:
         return np.array([i for x in self._encode([cut[0], *(" " + x for x in cut[1:])]) for i in x], np.int32)
 
     def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """encode() for a vocabulary that drops white space: words between white space, each by itself."""
+        """encode() for a vocabulary that drops white space and case: words between white space, each by itself."""
+        if self.drops_case:  # not other letters, which the tokenizer may compose before it lowers them
+            texts = pc.fill_null(texts, "")
+            texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
         words, codes, per_text = split_words(texts)
-        short = np.array([len(w) <= LONGEST_CACHED for w in words], bool)
+        short = lengths_of(words) <= LONGEST_CACHED
         rows = np.zeros(len(words), np.int64)
-        rows[short] = self.cache.rows([w for w in words if len(w) <= LONGEST_CACHED])
+        rows[short] = self.cache.rows(words if short.all() else [w for w in words if len(w) <= LONGEST_CACHED])
         extra = self._encode([w for w in words if len(w) > LONGEST_CACHED]) if not short.all() else []
         firsts, counts = self.first.a[rows], self.count.a[rows]
         lens = np.fromiter(map(len, extra), np.int64, len(extra))
@@ -104,7 +145,7 @@ class ChunkTokenizer:
         inner = np.zeros(n, bool)
         inner[codes[used]] = True
         keys = ["\n" + words[i][1:] if words[i][:1] == "\x00" else " " + words[i] for i in np.flatnonzero(inner)] + [words[i] for i in head_words]
-        long = {k for k in keys if len(k) > LONGEST_CACHED}
+        long = {keys[i] for i in np.flatnonzero(lengths_of(keys) > LONGEST_CACHED).tolist()}
         rows = np.zeros(len(keys), np.int64)
         short = np.array([k not in long for k in keys], bool) if long else np.ones(len(keys), bool)
         # keys are distinct unless a word itself begins with a space, which a split by spaces rules out
