@@ -19,7 +19,14 @@ CHUNK_CHARS = 4_000_000
 MODEL_CHUNK_CHARS = 1_000_000
 
 
+#: Rows and bytes in a batch between Spark and Python, which bound the memory of both.
+BATCH_ROWS, BATCH_BYTES = 2_500, 8_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's batches between Spark and Python are made small enough for texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -135,6 +142,33 @@ def chunks(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int
         yield first, len(texts)
 
 
+#: What tasks of one operator share in a worker process, under the operator's name.
+SHARED: dict = {}
+
+
+def shared(key, make: Callable):
+    """What `make` gives, once for all tasks of a worker that ask for it in a row: the next operator's task drops it."""
+    if key not in SHARED:
+        SHARED.clear()
+        SHARED[key] = make()
+    return SHARED[key]
+
+
+def tidied(batches: Iterable, key=None) -> Iterator:
+    """A task's batches. Before the first, what other operators' tasks have left in the worker goes, and after the last
+    one free memory goes back to the system, since workers and their memory outlive tasks."""
+    import ctypes
+
+    for other in [k for k in SHARED if k != key]:
+        del SHARED[other]
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 class WordCache:
     """Row numbers of distinct strings, whose values are worked out once while the cache holds them.
 

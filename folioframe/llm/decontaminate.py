@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, split_words
+from .common import MODEL_CHUNK_CHARS, chunks, split_words, tidied
 
 #: Words in a window, the share of an item's windows that a document must hold, and of its slots' uses that agree: all.
 WINDOW, SIMILARITY, CONSISTENT = 5, 0.8, 1.0
@@ -187,9 +187,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             index = sent.value
-            for b in batches:
+            for b in tidied(batches):
                 ids = b.column(0)
-                for i, j in chunks(b.column(1)):
+                for i, j in chunks(b.column(1), MODEL_CHUNK_CHARS):
                     got = index.matches(b.column(1).slice(i, j - i))
                     if got:
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([i + x[0] for x in got])), pa.array([index.ids[x[1]] for x in got], pa.int64()), *[pa.array([x[k] for x in got]) for k in (2, 3, 4)]], ["doc_id", "item_id", "similarity", "consistency", "verbatim"])
@@ -206,10 +206,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
-            for b in batches:
+            for b in tidied(batches):
                 keep = np.ones(len(b), bool)
                 texts = b.column(place).cast(pa.string())
-                for i, j in chunks(texts):
+                for i, j in chunks(texts, MODEL_CHUNK_CHARS):
                     for x in sent.value.matches(texts.slice(i, j - i)):
                         keep[i + x[0]] = False
                 yield b.filter(pa.array(keep))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialize, salted_join
+from .common import hot_keys, materialize, salted_join, tidied
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)", re.S
@@ -422,7 +422,7 @@ def extract(pages: DataFrame, most: int | None = None) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", F.when(host != "", host))
 
     def shapes(batches):
-        for b in batches:
+        for b in tidied(batches):
             found = []
             for page in b.column(2).to_pylist():
                 tree = parse(page)
@@ -441,7 +441,7 @@ def extract(pages: DataFrame, most: int | None = None) -> DataFrame:
 
     def vote(batches):
         held, votes = Models(), {}
-        for b in batches:
+        for b in tidied(batches):
             for host, page, (models, _) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), read(b)):
                 if not models:
                     continue
@@ -474,7 +474,7 @@ def extract(pages: DataFrame, most: int | None = None) -> DataFrame:
 
     def run(batches):
         held = Models()
-        for b in batches:
+        for b in tidied(batches):
             texts, wrapped = [], []
             for page, (models, slots) in zip(b.column(3).to_pylist(), read_both(b)):
                 tree, found, template = parse(page or ""), {}, {}

@@ -19,19 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MODEL_CHUNK_CHARS, Growing, WordCache, chunks, hot_keys, materialize, release, salted_join, split_words
+from .common import MODEL_CHUNK_CHARS, Growing, WordCache, chunks, hot_keys, materialize, release, salted_join, split_words, tidied
 
 BOS, EOS, REPEAT = "\x02", "\x03", "\x04"
 #: What stands for a repeated word among words; no word holds a space.
 REPEATED = "\x04 "
 SCALE = 1 << 20
-#: N-grams and contexts up to which the model is broadcast: 12 bytes each.
-MOST_BROADCAST = 4_000_000
+#: N-grams and contexts up to which the model is broadcast: at most 48 bytes each.
+MOST_BROADCAST = 2_000_000
 #: Words held by a counting task before they go out.
 WORDS_HELD = 200_000
 #: Words whose scores a scoring task keeps: some 150 bytes each.
 WORDS_CACHED = 250_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xCBF29CE484222325)
 
 
 def clean(word: str) -> str:
@@ -59,32 +59,36 @@ def with_words(rows: DataFrame) -> DataFrame:
 
 
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """g, n: top-order n-grams of column text, summed over everything."""
+    """part, g, n: top-order n-grams of column text, summed by column part (one of a few numbers)."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: dict[int, Counter] = {}
 
         def out():
-            grams: dict[str, int] = {}
-            for w, n in held.items():
-                s = BOS * (order - 1) + clean(w) + EOS
-                for i in range(len(s) - order + 1):
-                    g = s[i : i + order]
-                    grams[g] = grams.get(g, 0) + n
+            for part, words in held.items():
+                grams: dict[str, int] = {}
+                for w, n in words.items():
+                    s = BOS * (order - 1) + clean(w) + EOS
+                    for i in range(len(s) - order + 1):
+                        g = s[i : i + order]
+                        grams[g] = grams.get(g, 0) + n
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), part, np.int32)), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["part", "g", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["g", "n"])
 
-        for batch in batches:
-            for a, b in chunks(batch.column(0), MODEL_CHUNK_CHARS):
-                words, codes, _ = model_words(batch.column(0).slice(a, b - a))
-                for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
-                    if n:
-                        held[w] += n
-                if len(held) > WORDS_HELD:
-                    yield out()
-        yield out()
+        for batch in tidied(batches):
+            for a, b in chunks(batch.column(1), MODEL_CHUNK_CHARS):
+                parts, texts = batch.column(0).slice(a, b - a).to_numpy(), batch.column(1).slice(a, b - a)
+                for part in np.unique(parts).tolist():
+                    words, codes, _ = model_words(texts.filter(pa.array(parts == part)))
+                    own = held.setdefault(part, Counter())
+                    for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
+                        if n:
+                            own[w] += n
+                if sum(map(len, held.values())) > WORDS_HELD:
+                    yield from out()
+        yield from out()
 
-    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return texts.select(F.col("part").cast("int").alias("part"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, g string, n long").groupBy("part", "g").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -112,23 +116,22 @@ class Model:
                         h = np.zeros(len(k), np.uint64)
                         for o in np.unique(k):
                             at = np.flatnonzero(k == o)
-                            if o > less:
-                                h[at] = hash_rows(codes_of("".join([grams[i] for i in at.tolist()])).reshape(len(at), int(o) - less))
+                            h[at] = hash_rows(codes_of("".join([grams[i] for i in at.tolist()])).reshape(len(at), int(o) - less))
                         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), b.column(2)], ["k", "h", "v"])
 
                 got = df.select(F.col("k").cast("int").alias("k"), text, F.col(value).cast("int").alias("v")).mapInArrow(hashed, "k int, h long, v int").toArrow()
                 k, h, v = (got[c].to_numpy() for c in ("k", "h", "v"))
                 for o in np.unique(k):
                     at = np.flatnonzero(k == o)
-                    own = h[at].view(np.uint64)
-                    order = np.argsort(own)
-                    out[name, int(o)] = own[order], v[at][order].astype(np.int32)
+                    out[name, int(o)] = slots(h[at].view(np.uint64), v[at].astype(np.int32))
             self._packed = self.spark.sparkContext.broadcast((self.order, self.unseen, out))
         return self._packed
 
     def release(self) -> None:
-        """Scratch tables go; a model that has been broadcast can still score."""
+        """Scratch tables and the broadcast go; nothing scores with the model any more."""
         release(self.terms, self.weights)
+        if self._packed is not None:
+            self._packed.unpersist()
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -136,12 +139,47 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def hash_rows(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of symbols."""
-    h = np.full(len(codes), 0xCBF29CE484222325, np.uint64)
-    for j in range(codes.shape[1]):
-        h = (h ^ codes[:, j].astype(np.uint64)) * MIX
-        h ^= h >> np.uint64(29)
-    return h
+    """A 64-bit hash of each row of symbols, never 0; the last symbol goes in first, so that longer n-grams go on."""
+    h = np.full(len(codes), SEED, np.uint64)
+    for j in range(codes.shape[1] - 1, -1, -1):
+        h = longer(h, codes[:, j])
+    return h | np.uint64(1)
+
+
+def longer(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    h = (h ^ before.astype(np.uint64)) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def slots(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table with open addressing, half full at most: keys (0: free) and values by place."""
+    size = 1 << max(4, int(2 * len(keys) - 1).bit_length())
+    held, out = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+    todo, place = np.arange(len(keys)), (keys >> np.uint64(7)).astype(np.int64) & (size - 1)
+    while len(todo):
+        free = held[place] == 0
+        first = np.zeros(len(todo), bool)
+        first[np.unique(place, return_index=True)[1]] = True
+        put = free & first
+        held[place[put]], out[place[put]] = keys[todo[put]], values[todo[put]]
+        todo, place = todo[~put], (place[~put] + 1) & (size - 1)
+    return held, out
+
+
+def look_up(table: tuple[np.ndarray, np.ndarray] | None, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the table, and its value (0: none)."""
+    found, value = np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    if table is None:
+        return found, value
+    keys, values = table
+    todo, place = np.arange(len(wanted)), (wanted >> np.uint64(7)).astype(np.int64) & (len(keys) - 1)
+    while len(todo):
+        there = keys[place]
+        hit = there == wanted[todo]
+        found[todo[hit]], value[todo[hit]] = True, values[place[hit]]
+        on = ~hit & (there != 0)
+        todo, place = todo[on], (place[on] + 1) & (len(keys) - 1)
+    return found, value
 
 
 def log_of(p):
@@ -150,15 +188,21 @@ def log_of(p):
 
 def train(texts: DataFrame, order: int = 5) -> Model:
     """Fit on rows (text). Null texts and empty tables count nothing."""
-    spark = texts.sparkSession
-    grams = materialize(count_grams(texts, order), "kn-grams")
+    grams = materialize(count_grams(texts.select(F.lit(0).alias("part"), "text"), order), "kn-grams")
+    model = fit(grams, order)
+    release(grams)
+    return model
+
+
+def fit(grams: DataFrame, order: int) -> Model:
+    """Fit on rows (g, n) of count_grams(), of one part or several."""
+    spark = grams.sparkSession
     levels = grams.select("g", "n", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k"))
     parts = levels.groupBy("k", F.expr("substring(g, greatest(1, length(g) - k), least(k + 1, length(g)))").alias("with_left")).agg(F.sum("n").alias("n"))
     g = F.expr(f"if(k = {order}, with_left, substring(with_left, 2))")
     counts = parts.groupBy("k", g.alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("lefts"))
     raw = (F.col("k") == order) | F.col("g").startswith(BOS)
     counted = materialize(counts.select("k", "g", F.when(raw, F.col("n")).otherwise(F.col("lefts")).alias("c")), "kn-counts")
-    release(grams)
     of = {r.k: r for r in counted.groupBy("k").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count_distinct(F.expr("right(g, 1)")).alias("symbols")).collect()}
     case = F.create_map(*[F.lit(x) for k, r in of.items() for x in (k, discounts(r.n1, r.n2, r.n3, r.n4))]) if of else F.create_map(F.lit(0), F.lit([0.5, 1.0, 1.5]))
     counts = counted.withColumn("d", case[F.col("k")]).withColumn("ctx", F.expr("substring(g, 1, k - 1)"))
@@ -215,30 +259,23 @@ class Scorer:
         flat = codes_of("".join([pad + w + EOS for w in cleaned]))
         ends = np.cumsum(lengths + n - 1)
         at = np.repeat(ends - lengths, lengths) + (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        hashes = [np.full(len(flat), SEED, np.uint64)]  # by length, of the n-gram that ends at each symbol
+        for k in range(1, n + 1):
+            before = np.zeros_like(flat)
+            before[k - 1 :] = flat[: len(flat) - k + 1]
+            hashes.append(longer(hashes[-1], before))
         lp, todo = np.zeros(len(at), np.int64), np.arange(len(at))
         for k in range(n, 0, -1):
-            window = np.stack([flat[at[todo] - k + 1 + j] for j in range(k)], axis=1) if len(todo) else np.zeros((0, k), np.uint32)
-            found, where, values = self._find("lp", k, hash_rows(window))
-            lp[todo[found]] += values[where[found]]
+            found, value = look_up(self.tables.get(("lp", k)), hashes[k][at[todo]] | np.uint64(1))
+            lp[todo] += value
             todo = todo[~found]
             if not len(todo):
                 break
-            found, where, values = self._find("lw", k, hash_rows(window[~found, : k - 1]) if k > 1 else np.zeros(len(todo), np.uint64))
-            lp[todo[found]] += values[where[found]]
+            lp[todo] += look_up(self.tables.get(("lw", k)), hashes[k - 1][at[todo] - 1] | np.uint64(1))[1]
         lp[todo] += self.unseen
         total, e = np.concatenate([[0], np.cumsum(lp)]), np.cumsum(lengths)
         return np.stack([total[e] - total[e - lengths], lengths], axis=1)
 
-    def _find(self, name: str, k: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, values = self.tables.get((name, k), EMPTY)
-        if not len(keys):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64), values
-        where = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return keys[where] == wanted, where, values
-
-
-EMPTY = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-
 
 class CachedScorer:
     """A Scorer whose words' rows are kept while a worker runs."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks
+from .common import batch_of, chunks, tidied
 from .tokens import shared_tokenizer
 
 #: Context sizes, powers of two. A document's last piece of (t/2, t] ids belongs to tier t; up to the least, to that.
@@ -20,6 +20,8 @@ PER_PARTITION = 1 << 40
 #: Step groups: each partition deals the sequences of a tier to them in turn, from a group that moves on with the
 #: partition, so that each has about the same share of every tier however few a partition makes.
 STEP_GROUPS = 8
+#: Characters encoded at a time, and words whose ids a worker keeps.
+PACK_CHUNK_CHARS, WORDS_KEPT = 4_000_000, 400_000
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")] + [("tier", pa.int32()), ("step_group", pa.int32())])
 
 
@@ -138,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def pack(batches):
         from pyspark import TaskContext
 
-        tok, part = shared_tokenizer(tokenizer), TaskContext.get().partitionId()
+        tok, part = shared_tokenizer(tokenizer, WORDS_KEPT), TaskContext.get().partitionId()
         packer = Packer(group=part)
         # of documents with ids not yet packed: doc_id, their last ids, where these begin, all ids, ids still to go
         held: dict[int, tuple] = {}
@@ -156,9 +158,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     held[doc] = doc_id, ids, first, size, left - n
             return batch_of(SCHEMA, cols)
 
-        for batch in batches:
+        for batch in tidied(batches, ("tokenizer", tokenizer)):
             texts, doc_ids = batch.column(1), batch.column(0).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, PACK_CHUNK_CHARS):
                 ids, counts = tok.documents(texts[a:b], end_id)
                 raw, at, found, before = memoryview(ids.astype("<u4").tobytes()), 0, [], number
                 for doc_id, n in zip(doc_ids[a:b], counts.tolist()):

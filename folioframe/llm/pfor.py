@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, delete_path, materialize, scratch_path
+from .common import batch_of, chunks, delete_path, materialize, scratch_path, tidied
 from .tokens import shared_tokenizer
 
 BLOCK, PERCENTILE = 128, 90
@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
         tok, shard, seq = shared_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         names, counts, ids, held = [], [], [], 0
-        for batch in batches:
+        for batch in tidied(batches, ("tokenizer", tokenizer)):
             texts, doc_ids = batch.column(1), batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 got, n = tok.documents(texts[a:b], end_id)

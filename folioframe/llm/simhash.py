@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join
+from .common import materialize, salted_join, tidied
 from .components import components
 
 #: Segments of the fingerprint: first bit and width. The last is filled up to 23 bits with zeros.
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long; with `hashed` also the text's hash."""
 
     def run(batches):
-        for b in batches:
+        for b in tidied(batches):
             seen: dict[str | None, int] = {}
             out = []
             for t in b.column(1).to_pylist():
@@ -138,7 +138,7 @@ def golay_keys(fp: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def _keyed(classes: DataFrame, left: bool, name: str) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in tidied(batches):
             fp = b.column(0).to_numpy()
             for at in range(0, len(fp), 4096):
                 rows, keys = golay_keys(fp[at : at + 4096], left)

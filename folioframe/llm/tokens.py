@@ -9,13 +9,12 @@ are ordinary text, as the tokenizers' guide sets it.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Growing, WordCache, split_words
+from .common import Growing, WordCache, shared, split_words
 
 #: Longer chunks are encoded each time they come up, so that the cache stays small.
 LONGEST_CACHED = 64
@@ -185,7 +184,6 @@ class ChunkTokenizer:
         return out, counts + 1
 
 
-@lru_cache(1)
-def shared_tokenizer(path: str) -> ChunkTokenizer:
+def shared_tokenizer(path: str, most: int = 500_000) -> ChunkTokenizer:
     """One for all tasks of a worker process, so that they share what has been encoded; its cache is bounded."""
-    return ChunkTokenizer(path)
+    return shared(("tokenizer", path), lambda: ChunkTokenizer(path, most))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Pivots, rows they are chosen from, and queries broadcast at a time; more queries take more passes over the rows.
 PIVOTS, PIVOT_SAMPLE, QUERIES_A_PASS = 24, 400, 32_768
 SCALE = 64.0
@@ -146,7 +148,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         def run(batches, sent=sent):
             ids, q, pivots = sent.value
             best, table = Best(len(ids), k), {}
-            for b in batches:
+            for b in tidied(batches):
                 row_ids, x = quantize(b)
                 for i in range(0, len(row_ids), ROWS):
                     width = max(q.shape[1], x.shape[1], pivots.shape[1])

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, chunks, crc_mod, extended, hot_keys, materialize, release, salted_join, split_words
+from .common import MODEL_CHUNK_CHARS, carried, chunks, crc_mod, extended, hot_keys, materialize, release, salted_join, split_words, tidied
 from .kneser_ney import discounts
 from .labelled import labelled
 
@@ -46,8 +46,8 @@ def contexts(rows: DataFrame) -> DataFrame:
     """cls, half, word, before: each pair of neighbouring words of column text, once a chunk; START before a text."""
 
     def run(batches):
-        for b in batches:
-            for i, j in chunks(b.column(2)):
+        for b in tidied(batches):
+            for i, j in chunks(b.column(2), MODEL_CHUNK_CHARS):
                 part = b.slice(i, j - i)
                 cls, half = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 keys, codes, counts = keyed_words(part.column(2))
@@ -130,8 +130,8 @@ def features(docs: DataFrame, model: Model, most: int | None = None) -> DataFram
 
         def run(batches):
             words, ratios = sent.value
-            for b in batches:
-                for i, j in chunks(b.column(place)):
+            for b in tidied(batches):
+                for i, j in chunks(b.column(place), MODEL_CHUNK_CHARS):
                     part = b.slice(i, j - i)
                     keys, codes, counts = keyed_words(part.column(place))
                     where = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
@@ -145,14 +145,14 @@ def features(docs: DataFrame, model: Model, most: int | None = None) -> DataFram
         return docs.mapInArrow(run, schema)
 
     def spread(batches):
-        for b in batches:
-            for i, j in chunks(b.column(1)):
+        for b in tidied(batches):
+            for i, j in chunks(b.column(1), MODEL_CHUNK_CHARS):
                 keys, codes, counts = keyed_words(b.column(1).slice(i, j - i))
                 owner = np.repeat(b.column(0).slice(i, j - i).to_numpy(), counts)
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)), pa.array(keys[codes])], ["_row", "at", "word"])
 
     def gathered(batches):
-        for b in batches:
+        for b in tidied(batches):
             found = [passage(np.array([x["at"] for x in r]), np.array([x["ratio"] for x in r])) for r in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["_row", "ratio"])
 

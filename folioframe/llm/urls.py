@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import materialize, release
+from .common import materialize, release, tidied
 
 #: (verdict, rule): host and path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -43,7 +43,7 @@ def train(texts: DataFrame, order: int = ORDER) -> kn.Model:
     spark, size = texts.sparkSession, order + 1
 
     def run(batches):
-        for b in batches:
+        for b in tidied(batches):
             grams: dict[str, int] = {}
             for t in b.column(0).to_pylist():
                 s = kn.BOS * order + kn.clean(t) + kn.EOS
@@ -73,7 +73,7 @@ def ratios(rows: DataFrame, accepted: kn.Model, rejected: kn.Model, most: int |
 
         def run(batches):
             scorers = [kn.Scorer(x.value) for x in sent]
-            for b in batches:
+            for b in tidied(batches):
                 texts = b.column(place).dictionary_encode()
                 words = texts.dictionary.to_pylist()
                 a, r = (s.words(words) for s in scorers)
