@@ -111,7 +111,8 @@ def scan(docs: DataFrame) -> DataFrame:
     # plain searches spare nearly all texts the patterns; lower() knows more letters than the patterns do, which does no harm here
     held = reduce(or_, (F.contains(F.col("low"), F.lit(a)) for a in ANCHORS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("low", F.lower("text")).where(held).drop("low")
-    rows = rows.select("doc_id", F.array_distinct(F.array(identifiers(F.col("text"), END), identifiers(F.col("text"), END_OR_LINE))).alias("sequences"))
+    # exploded from an array of one, since filters would otherwise move below and read the texts again
+    rows = rows.select("doc_id", F.explode(F.array(F.array_distinct(F.array(identifiers(F.col("text"), END), identifiers(F.col("text"), END_OR_LINE))))).alias("sequences"))
     rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(">" + ">".join(ids) + ">").alias("rule")) for name, ids in RULES])
     rows = rows.where(F.exists("sequences", lambda s: s != ">")).withColumn("fit", F.filter(rules, lambda r: F.exists("sequences", lambda s: F.contains(s, r["rule"]))))
     longest = F.filter("fit", lambda r: ~F.exists("fit", lambda o: (o["rule"] != r["rule"]) & F.contains(o["rule"], r["rule"])))
