@@ -94,3 +94,13 @@ def strip_headers_footers(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     again = rows.groupBy("doc_id", "band", "sig", "n").agg(F.countDistinct("page").alias("k")).where("k >= greatest(3, ceil(n / 2))").select("doc_id", "band", "sig")
     numbers = rows.where(F.col("sig").isin("#|", "-#-|", "page#|", "page#of#|", "#/#|", "[#]|", "|")).select("doc_id", "ord")
     return blocks.join(rows.join(again, ["doc_id", "band", "sig"], "left_semi").select("doc_id", "ord").union(numbers), ["doc_id", "ord"], "left_anti")
+
+
+def in_margin(x0: Column, x1: Column, width: Column) -> Column:
+    """Wholly in the outer 15 % of the page's width."""
+    return (width > 0) & ((x1 < 0.15 * width) | (x0 > 0.85 * width))
+
+
+def segments_of(segments: Column, first: Column, last: Column) -> Column:
+    """A line's segments, or the whole line where it has none."""
+    return F.when(F.size(F.coalesce(segments, F.array().cast("array<long>"))) > 0, segments).otherwise(F.array(first, last))

@@ -65,3 +65,21 @@ def lattices(across: DataFrame, down: DataFrame, keys: list[str], tol: float = 2
         return out.assign(lattice=[None if x == far else int(x) for x in found])[[f.name for f in schema.fields]]
 
     return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
+def path_rules(points: DataFrame, keys: list[str], width: float, height: float, off: float = 1.6, least: float = 6.0) -> DataFrame:
+    """keys, obj, seg, horizontal, x0, y0, x1, y1: straight edges of paths (obj, seg, x, y, kind: move, line or curve, closes)
+    along an axis, of `least` points or more, on the page; the edge that closes a path is one."""
+    w, c = Window.partitionBy(*keys, "obj").orderBy("seg"), F.col
+    # a path begins anew at each move
+    part = points.withColumn("_part", F.sum((c("kind") == "move").cast("int")).over(w))
+    inside = Window.partitionBy(*keys, "obj", "_part").orderBy("seg")
+    rows = part.select(*keys, "obj", "seg", "x", "y", "kind", "closes", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"), F.first("x").over(inside).alias("sx"), F.first("y").over(inside).alias("sy"))
+    edge = lambda keep, *at: F.when(keep, F.struct(*[c(a).alias(n) for a, n in zip(at, ("ax", "ay", "bx", "by"))]))
+    rows = rows.where("px is not null").select(*keys, "obj", "seg", F.explode(F.array_compact(F.array(edge(c("kind") == "line", "px", "py", "x", "y"), edge(c("closes"), "x", "y", "sx", "sy")))).alias("e")).select(*keys, "obj", "seg", "e.*")
+    dx, dy = F.abs(c("bx") - c("ax")), F.abs(c("by") - c("ay"))
+    h, v = (dy <= off) & (dx >= least), (dx <= off) & (dy >= least)
+    mid = lambda a: (c(f"a{a}") + c(f"b{a}")) / 2
+    ends = [F.when(h, F.least("ax", "bx")).otherwise(mid("x")), F.when(h, mid("y")).otherwise(F.least("ay", "by")), F.when(h, F.greatest("ax", "bx")).otherwise(mid("x")), F.when(h, mid("y")).otherwise(F.greatest("ay", "by"))]
+    rules = rows.where(h | v).select(*keys, "obj", "seg", h.alias("horizontal"), *[e.alias(n) for e, n in zip(ends, ("x0", "y0", "x1", "y1"))])
+    return rules.where((c("x1") >= -2) & (c("y1") >= -2) & (c("x0") <= width + 2) & (c("y0") <= height + 2))

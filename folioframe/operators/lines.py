@@ -117,3 +117,29 @@ def token_spaces(gap_rows: DataFrame, em: float) -> DataFrame:
     column = F.col("gap") > F.greatest(1.4 * F.col("size"), F.lit(10.0))
     asked = F.col("gap").isNotNull() & (spaced | (F.col("gap") > 0.28 * em))
     return gap_rows.withColumn("space", asked & (column | ~F.coalesce(bound, F.lit(False))))
+
+
+def repair_ocr_layer(glyphs: DataFrame) -> DataFrame:
+    """Glyphs with ocr, of pages with 20 inked ones or more, over half of them over 1.8 times as tall as their size: their
+    sizes become heights, and a blank between two glyphs of one baseline is set between them."""
+    w, order = Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id", "page").orderBy("line", "seq")
+    ink, tall = ~F.col("space"), (F.col("top") - F.col("bottom")) > 1.8 * F.col("size")
+    rows = glyphs.withColumn("ocr", (F.count_if(ink).over(w) >= 20) & (F.count_if(ink & tall).over(w) * 2 > F.count_if(ink).over(w)))
+    rows = rows.withColumn("size", F.when(F.col("ocr") & tall, F.col("top") - F.col("bottom")).otherwise(F.col("size")))
+    before, after = (lambda c: F.lag(c).over(order)), (lambda c: F.lead(c).over(order))
+    tol = 0.45 * F.greatest(before("size"), after("size"), F.lit(1.0))
+    moved = F.col("ocr") & F.col("space") & ~before("space") & ~after("space") & (F.abs(before("y") - after("y")) <= tol) & (after("left") >= before("right") - tol)
+    rows = rows.select("*", F.coalesce(moved, F.lit(False)).alias("_moved"), before("right").alias("_right"), after("left").alias("_left"), before("y").alias("_y"))
+    put = lambda c, x: F.when(F.col("_moved"), x).otherwise(F.col(c))
+    return rows.withColumns({"right": put("right", F.greatest("_left", "_right")), "left": put("left", F.col("_right")), "y": put("y", F.col("_y"))}).drop("_moved", "_right", "_left", "_y")
+
+
+def trailing_number(gap_rows: DataFrame) -> DataFrame:
+    """Per line: digits of the number at its end that a blank glyph or a word gap sets off from ink before it; else 0."""
+    w = Window.partitionBy(*LINE).orderBy("left", "seq")
+    rows = gap_rows.select(*LINE, F.struct(F.row_number().over(w).alias("r"), F.col("ch").rlike("[0-9]").alias("digit"), (F.coalesce("spaced", F.lit(False)) | (F.col("gap") >= 0.28 * F.col("size"))).alias("apart")).alias("g"))
+    one = rows.groupBy(*LINE).agg(F.array_sort(F.collect_list("g")).alias("gs"))
+    stop = F.coalesce(F.array_max(F.transform(F.filter("gs", lambda x: ~x["digit"]), lambda x: x["r"])), F.lit(0))
+    one = one.withColumn("stop", stop)
+    set_off = (F.col("stop") > 0) & (F.size("gs") > F.col("stop")) & F.coalesce(F.get("gs", F.col("stop"))["apart"], F.lit(False))
+    return one.select(*LINE, F.when(set_off, F.size("gs") - F.col("stop")).otherwise(0).cast("long").alias("digits"))

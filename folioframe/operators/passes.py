@@ -9,10 +9,10 @@ from ..functions.text import heading_key, is_caption, is_citation_lead
 
 
 def heading_tiers(blocks: DataFrame, body: DataFrame) -> DataFrame:
-    """doc_id, tier, level: half-point sizes from 1.12 times the body's on, of texts of up to 220 characters, that hold
+    """doc_id, tier, level: half-point buckets of sizes from 1.12 times the body's on, of texts of up to 220 characters, that hold
     at most 30 % of the document's characters; the largest is level 1, none is over 6."""
     rows = blocks.join(body, "doc_id").withColumn("tier", F.round(F.col("size") * 2) / 2)
-    big = (F.col("tier") >= 1.12 * F.col("body_size")) & (F.length("text") <= 220)
+    big = (F.col("size") >= 1.12 * F.col("body_size")) & F.length("text").between(1, 220)
     total = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("total"))
     tiers = rows.where(big).groupBy("doc_id", "tier").agg(F.sum(F.length("text")).alias("chars")).join(total, "doc_id").where("chars <= 0.3 * total")
     level = F.least(F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("tier"))), F.lit(6))
@@ -35,12 +35,12 @@ def relocate_footnotes(blocks: DataFrame) -> DataFrame:
 
 def merge_pages(blocks: DataFrame) -> DataFrame:
     """Paragraphs that run over a page's end become one: the earlier does not end a sentence, and the later begins in
-    lower case or the earlier ends in a hyphen; sizes, where there are any, differ by 8 % at most. doc_id, ord (the
+    lower case or the earlier ends in a hyphen, or the earlier in :: and the later begins a name; sizes, where there are any, differ by 8 % at most. doc_id, ord (the
     first's), page (the last's), parts, text."""
     w = Window.partitionBy("doc_id").orderBy("ord")
     before, page = F.lag("text").over(w), F.lag("page").over(w)
-    hyphen = before.rlike("-$")
-    on = (F.col("page") == page + 1) & ~before.rlike("[.!?:;\u2019\u201d\"')\\]]$") & (hyphen | F.col("text").rlike("^[a-z]"))
+    plain = ~before.rlike("[.!?:;\u2019\u201d\"')\\]]$") & (before.rlike("[-\u00ad]$") | F.col("text").rlike("^[a-z]"))
+    on = (F.col("page") == page + 1) & F.when(before.endswith("::"), F.col("text").rlike("^[A-Za-z0-9_]")).otherwise(plain)
     if "size" in blocks.columns:
         size, last = F.col("size"), F.lag("size").over(w)
         on &= F.abs(size - last) <= 0.08 * F.greatest(size, last)
@@ -71,7 +71,7 @@ def dedupe_images(images: DataFrame) -> DataFrame:
 
 def merge_references(blocks: DataFrame) -> DataFrame:
     """A reference's entry that begins with [n] takes the blocks after it while its last one ends no sentence, the next
-    is no entry, lies on the entry's page or the page after, and is within 15 % of its size.
+    is no entry, lies on the entry's page or the page after, and differs in size by 15 % of the larger at most.
     doc_id, ord and page (the entry's), parts, text."""
     w = Window.partitionBy("doc_id").orderBy("ord")
     lead = F.coalesce(is_citation_lead(F.col("text")), F.lit(False))
@@ -79,7 +79,7 @@ def merge_references(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("entry", F.sum(F.col("lead").cast("int")).over(w))
     head = Window.partitionBy("doc_id", "entry").orderBy("ord")
     first = F.first(F.struct("page", "size")).over(head)
-    on = ~F.col("before").rlike("[.!?]$") & F.col("page").between(F.col("head.page"), F.col("head.page") + 1) & (F.abs(F.col("size") - F.col("head.size")) <= 0.15 * F.col("head.size"))
+    on = F.col("before").rlike("[^.!? ] *$") & F.col("page").between(F.col("head.page"), F.col("head.page") + 1) & (F.abs(F.col("size") - F.col("head.size")) <= 0.15 * F.greatest("size", "head.size"))
     rows = rows.withColumn("head", first).withColumn("off", (~F.col("lead") & ~F.coalesce(on, F.lit(False))).cast("int"))
     apart = (F.col("entry") == 0) | (F.sum("off").over(head) > 0)
     rows = rows.withColumn("chain", F.when(apart, F.col("ord")).otherwise(F.first("ord").over(head)))

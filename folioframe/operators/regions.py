@@ -53,3 +53,9 @@ def isolated(lines: DataFrame, distance: float = 24.0) -> DataFrame:
     o = lines.select(*[F.col(c).alias(f"o_{c}") for c in (*PAGE, "line", "x0", "x1", "baseline")])
     same = (F.col("doc_id") == F.col("o_doc_id")) & (F.col("page") == F.col("o_page")) & (F.col("line") != F.col("o_line"))
     return lines.join(o, same & (F.col("o_x0") <= F.col("x1")) & (F.col("x0") <= F.col("o_x1")) & (F.abs(F.col("baseline") - F.col("o_baseline")) <= distance), "left_anti")
+
+
+def text_lines(glyphs: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """keys, text_lines: baselines of a cell's glyphs that lie over 0.6 of the size above the one below."""
+    step = F.col("y") - F.lag("y").over(Window.partitionBy(*keys).orderBy("y"))
+    return glyphs.where("not space").select(*keys, step.alias("step")).groupBy(*keys).agg(F.count_if(F.col("step").isNull() | (F.col("step") > 0.6 * max(size, 1.0))).alias("text_lines"))

@@ -8,29 +8,37 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def vocabulary(lines: DataFrame) -> DataFrame:
-    """doc_id, word: lower-case ASCII words that are neither first nor last on their line."""
+def interior_words(lines: DataFrame) -> DataFrame:
+    """doc_id, word: lower-case ASCII words that are neither first nor last on their line, each as often as it is there."""
     words = F.regexp_extract_all(X.ascii_lower(F.col("t")), F.lit("([a-z]+)"), F.lit(1))
     inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2))
-    return lines.select("doc_id", F.explode(inner).alias("word")).distinct()
+    return lines.select("doc_id", F.explode(inner).alias("word"))
+
+
+def vocabulary(lines: DataFrame) -> DataFrame:
+    return interior_words(lines).distinct()
 
 
 #: Prefixes that take no hyphen before their stem.
 BOUND = tuple("multi inter intra trans super pseudo quasi semi anti counter hyper hypo poly mono proto ultra micro macro".split())
 
 
-def hyphen_joins(lines: DataFrame, vocab: DataFrame, bound: tuple[str, ...] = BOUND) -> DataFrame:
-    """doc_id, line, joined, kept: line ends in a hyphen before a lower-case word. The hyphen is kept where the joined
-    word is not attested and both parts of four letters or more are, unless the left one is a bound prefix."""
+def hyphen_joins(lines: DataFrame, words: DataFrame, bound: tuple[str, ...] = BOUND) -> DataFrame:
+    """doc_id, line, joined, kept: line ends in a hyphen before a lower-case word. The hyphen is kept where the left part is
+    attested in `words` (doc_id, word) and no bound prefix, the joined word is not, and both parts have four letters or
+    more; the right one may be shorter if it goes on with a hyphen."""
     w = Window.partitionBy("doc_id").orderBy("line")
     pairs = lines.select("doc_id", "line", "t", F.lead("t").over(w).alias("below"))
     pairs = pairs.where(F.col("t").rlike("[a-zA-Z]-$") & F.col("below").rlike("^[a-z]"))
-    left, right = F.regexp_extract(X.ascii_lower(F.col("t")), "([a-z]+)-$", 1), F.regexp_extract(F.col("below"), "^([a-z]+)", 1)
-    pairs = pairs.select("doc_id", "line", left.alias("left"), right.alias("right"), F.concat(left, right).alias("joined"))
-    for c in ("left", "right", "joined"):
-        pairs = pairs.join(vocab.select("doc_id", F.col("word").alias(c), F.lit(True).alias(f"has_{c}")), ["doc_id", c], "left")
+    left, right = F.regexp_extract(X.ascii_lower(F.col("t")), "([a-z]+)-$", 1), F.regexp_extract(X.ascii_lower(F.col("below")), "^([a-z]+)", 1)
+    pairs = pairs.select("doc_id", "line", left.alias("left"), right.alias("right"), F.col("below").rlike("^[A-Za-z]+[-\u2010][A-Za-z]").alias("goes_on"), F.concat(left, right).alias("joined"))
+    # only words that are asked for are looked up in the vocabulary
+    asked = pairs.select("doc_id", F.explode(F.array("left", "joined")).alias("word")).distinct()
+    found = words.join(asked, ["doc_id", "word"], "left_semi").distinct()
+    for c in ("left", "joined"):
+        pairs = pairs.join(found.select("doc_id", F.col("word").alias(c), F.lit(True).alias(f"has_{c}")), ["doc_id", c], "left")
     known = lambda c: F.coalesce(F.col(f"has_{c}"), F.lit(False))
-    kept = ~known("joined") & known("left") & known("right") & (F.length("left") >= 4) & (F.length("right") >= 4) & ~F.col("left").isin(*bound)
+    kept = ~known("joined") & known("left") & (F.length("left") >= 4) & ((F.length("right") >= 4) | F.col("goes_on")) & ~F.col("left").isin(*bound)
     return pairs.select("doc_id", "line", "joined", kept.alias("kept"))
 
 

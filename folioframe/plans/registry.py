@@ -26,7 +26,6 @@ U, L = X.UPPER, X.LOWER
 LINES = "l AS (SELECT doc_id, line, line // 45 AS page, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))"
 MARKED = f"{LINES}, m AS (SELECT doc_id, line, page, {CASE.format(s='varchar')} AS t FROM l)"
 SIZE = "CASE WHEN line = 0 THEN 16.0 WHEN (doc_id + line) % 7 = 0 THEN 9.5 ELSE 10.0 END::DOUBLE"
-# a short run of each line is set, so that the SQL stays small
 GLYPHS = f"""{LINES}, g AS (SELECT doc_id, page, line, seq, t[seq + 1] AS ch, 72.0::DOUBLE + 5 * seq AS x, 750.0::DOUBLE - 15 * (line % 45) AS y, 72.0::DOUBLE + 5 * seq AS "left", 76.5::DOUBLE + 5 * seq AS "right",
     748.0::DOUBLE - 15 * (line % 45) AS bottom, 758.0::DOUBLE - 15 * (line % 45) AS top, {SIZE} AS size, (doc_id + line) % 5 = 0 AS bold, t[seq + 1] = ' ' AS space FROM (SELECT *, unnest(range(length(t))) AS seq FROM l))"""
 SIG = f"regexp_replace(translate(replace(t, ' ', ''), '{U}', '{L}'), '#?[0-9]+', '#', 'g')"
@@ -74,7 +73,7 @@ def chrome_strip(spark, d):
     return chrome.strip_repeated(marked(spark, d), [], 2).select("doc_id", "line", "page", "t")
 
 
-@query(f"WITH {MARKED} SELECT doc_id, line, t FROM m WHERE NOT ({SIG} IN ('#', '#/#', '[#]', 'page#', 'page#of#', '-#-') AND doc_id IN (SELECT doc_id FROM m WHERE page >= 1))")
+@query(f"WITH {MARKED} SELECT doc_id, line, t FROM m WHERE NOT ({SIG} IN ('#', '-#-', 'page#', 'page#of#', '#/#', '[#]', '') AND doc_id IN (SELECT doc_id FROM m WHERE page >= 1))")
 def page_number_strip(spark, d):
     return chrome.strip_page_numbers(marked(spark, d)).select("doc_id", "line", "t")
 
@@ -90,7 +89,7 @@ def list_items(spark, d):
 
 @query(
     f"""WITH {MARKED}, k AS (SELECT *, regexp_extract(t, '^ *([0-9]+(?:[.][0-9]+)*)', 1) AS num, length(regexp_extract(t, '^( *[0-9]+(?:[.][0-9]+)*)', 1)) AS n FROM m)
-    SELECT doc_id, line, CASE WHEN num <> '' AND substring(t, n + 1, 1) IN (' ', '.', '') THEN len(string_split(num, '.')) ELSE 0 END::BIGINT AS depth, regexp_extract(t, '^ *((?:[A-Z][.])?[0-9]+(?:[.][0-9]+)*)[.]? +[^ ]', 1) AS path FROM k"""
+    SELECT doc_id, line, CASE WHEN num <> '' AND substring(t, n + 1, 1) IN (' ', '.', '') THEN len(string_split(num, '.')) ELSE 0 END::BIGINT AS depth, regexp_extract(t, '^ *((?:[A-Z][.])?[0-9]+(?:[.][0-9]+)*) +[^ ]', 1) AS path FROM k"""
 )
 def section_numbers(spark, d):
     t = F.col("t")
@@ -98,9 +97,10 @@ def section_numbers(spark, d):
 
 
 @query(
-    f"""WITH {MARKED}, k AS (SELECT *, regexp_extract(t, '^ *([A-Za-z0-9 ()/_.-]{{1,40}}):(?: |$)', 1) AS label FROM m)
-    SELECT doc_id, line, trim(regexp_replace(translate(t, '{U}', '{L}'), '[^a-z0-9]+', ' ', 'g')) AS key, CASE WHEN regexp_matches(label, '[A-Za-z]') THEN trim(label) ELSE '' END AS label,
-    regexp_matches(t, '^ *[[][0-9]+[]]') AS citation, regexp_matches(t, '^ *(Figure|Fig[.]|Table) *[0-9]') AS caption FROM k"""
+    f"""WITH {MARKED}, k AS (SELECT *, ltrim(string_split(t, ':')[1]) AS head, len(string_split(t, ':')) > 1 AS colon, substring(t, length(string_split(t, ':')[1]) + 2, 1) AS nxt FROM m)
+    SELECT doc_id, line, trim(regexp_replace(translate(t, '{U}', '{L}'), '[^a-z0-9]+', ' ', 'g')) AS key,
+    CASE WHEN colon AND nxt IN ('', ' ') AND NOT regexp_matches(head, '[^A-Za-z0-9 _/()&,{X.GREEK}-]') AND regexp_matches(head, '[A-Za-z{X.GREEK}]') AND length(regexp_replace(head, '[{X.GREEK}]', '', 'g')) <= 40 THEN rtrim(regexp_replace(head, '[{X.GREEK}]', '', 'g')) ELSE '' END AS label,
+    regexp_matches(t, '^ *[[][0-9]+[]]') AS citation, regexp_matches(t, '^ *(Figure|Table) [0-9]') AS caption FROM k"""
 )
 def line_predicates(spark, d):
     t = F.col("t")
@@ -144,7 +144,7 @@ def front_matter(spark, d):
     return markdown.front_matter(x.select("doc_id", title.alias("title"), F.lit("").alias("author"), "source", (F.floor(F.col("n_chars") / 2000) + 1).alias("pages")))
 
 
-KIND = "CASE WHEN depth > 0 THEN 'heading' WHEN marker <> '' THEN 'list' WHEN regexp_matches(t, '^ *(Figure|Fig[.]|Table) *[0-9]') THEN 'caption' ELSE 'paragraph' END"
+KIND = "CASE WHEN depth > 0 THEN 'heading' WHEN marker <> '' THEN 'list' WHEN regexp_matches(t, '^ *(Figure|Table) [0-9]') THEN 'caption' ELSE 'paragraph' END"
 
 
 @query(
@@ -168,25 +168,27 @@ def doc_vocabulary(spark, d):
     return markdown.vocabulary(plain(spark, d))
 
 
-HYPHENED = "CASE WHEN (doc_id + line) % 3 = 0 THEN concat(regexp_extract(t, '^(.*[a-z])[^a-zA-Z]*$', 1), '-') WHEN (doc_id + line) % 3 = 1 THEN regexp_extract(t, '([a-z].*)$', 1) ELSE t END"
+HYPHENED = "CASE WHEN (doc_id + line) % 3 = 0 THEN concat(CASE WHEN line % 5 = 0 THEN 'multi' WHEN line % 5 = 1 THEN 'It is' ELSE regexp_extract(t, '^(.*[a-z])[^a-zA-Z]*$', 1) END, '-') WHEN (doc_id + line) % 3 = 1 THEN concat(CASE WHEN line % 4 = 1 THEN 'to-' ELSE '' END, regexp_extract(t, '([a-z].*)$', 1)) ELSE t END"
 
 
 @query(
     f"""WITH {LINES}, h AS (SELECT doc_id, line, {HYPHENED} AS t FROM l), {VOCAB.format(src='l')}, p AS (SELECT doc_id, line, t, lead(t) OVER (PARTITION BY doc_id ORDER BY line) AS below FROM h),
-    q AS (SELECT doc_id, line, regexp_extract(translate(t, '{U}', '{L}'), '([a-z]+)-$', 1) AS a, regexp_extract(below, '^([a-z]+)', 1) AS b FROM p WHERE regexp_matches(t, '[a-zA-Z]-$') AND regexp_matches(below, '^[a-z]'))
-    SELECT doc_id, line, a || b AS joined, NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = a || b) AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = a) AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = b) AND length(a) >= 4 AND length(b) >= 4 AS kept FROM q"""
+    q AS (SELECT doc_id, line, below, regexp_extract(translate(t, '{U}', '{L}'), '([a-z]+)-$', 1) AS a, regexp_extract(translate(below, '{U}', '{L}'), '^([a-z]+)', 1) AS b FROM p WHERE regexp_matches(t, '[a-zA-Z]-$') AND regexp_matches(below, '^[a-z]'))
+    SELECT doc_id, line, a || b AS joined, length(a) >= 4 AND (length(b) >= 4 OR regexp_matches(below, '^[A-Za-z]+[-‐][A-Za-z]')) AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = a) AND NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = q.doc_id AND word = a || b)
+    AND a NOT IN ('multi', 'inter', 'intra', 'trans', 'super', 'pseudo', 'quasi', 'semi', 'anti', 'counter', 'hyper', 'hypo', 'poly', 'mono', 'proto', 'ultra', 'micro', 'macro') AS kept FROM q"""
 )
 def hyphen_joins(spark, d):
     x = plain(spark, d)
-    return markdown.hyphen_joins(x.withColumn("t", F.expr(HYPHENED)), markdown.vocabulary(x), bound=())  # as its SQL has it
+    return markdown.hyphen_joins(x.withColumn("t", F.expr(HYPHENED)), markdown.interior_words(x))
 
 
-URL = "CASE WHEN line % 2 = 0 THEN concat('see http://example.org/a', substring('/.x-', 1 + cast(line % 4 as {i}), 1)) ELSE t END"
+URL = "CASE line % 9 WHEN 0 THEN 'see http://example.org/a' WHEN 1 THEN concat('bc/', t) WHEN 2 THEN 'or (https://example.org/b.' WHEN 4 THEN concat('www.example.org/x', substring('/_a,', 1 + cast(line % 4 as {i}), 1)) WHEN 5 THEN concat(CASE WHEN doc_id % 2 = 0 THEN 'Next_' ELSE '?q=' END, t) WHEN 6 THEN 'x(ftp://a.b/c-' WHEN 7 THEN CASE WHEN doc_id % 3 = 0 THEN 'http://new.org' ELSE t END ELSE t END"
 
 
 @query(
-    f"""WITH {LINES}, h AS (SELECT doc_id, line, {URL.format(i='bigint')} AS t FROM l), p AS (SELECT doc_id, line, regexp_extract(t, '([^ ]*)$', 1) AS last, lead(t) OVER (PARTITION BY doc_id ORDER BY line) AS below FROM h)
-    SELECT doc_id, line FROM p WHERE regexp_matches(last, '^(www[.]|[A-Za-z]{{1,8}}://)') AND regexp_matches(last, '[/._=&?-]$') AND NOT regexp_matches(below, '^(www[.]|[A-Za-z]{{1,8}}://)') AND NOT regexp_matches(below, '^[A-Z][a-z]* ') AND below <> ''"""
+    f"""WITH {LINES}, h AS (SELECT doc_id, line, {URL.format(i='bigint')} AS t FROM l), p AS (SELECT doc_id, line, list_extract(string_split(rtrim(t), ' '), -1) AS w, lead(t) OVER (PARTITION BY doc_id ORDER BY line) AS nx FROM h)
+    SELECT doc_id, line FROM p WHERE (contains(w, '://') OR w[1:4] = 'www.') AND NOT regexp_matches(nx, '^(www[.]|[A-Za-z]{{1,8}}://)') AND w[-1:] NOT IN ('.', '!', '?', ',', ':', ';', ')')
+    AND nx[1:1] SIMILAR TO '[A-Za-z0-9/.~#?=&%+_-]' AND (nx[1:1] NOT SIMILAR TO '[A-Z]' OR w[-1:] IN ('/', '-', '_', '.', '=', '?', '&', '#', '%', '+', '~'))"""
 )
 def url_wraps(spark, d):
     from pyspark.sql import Window
@@ -195,14 +197,19 @@ def url_wraps(spark, d):
     return x.where(X.url_wraps(F.col("t"), F.col("below"))).select("doc_id", "line")
 
 
+RUNON = "CASE (doc_id + line) % 5 WHEN 0 THEN concat(lower(substring(t, 1, 1)), substring(t, 2)) WHEN 1 THEN concat('Name', t) WHEN 2 THEN regexp_replace(t, '[.]$', '') WHEN 3 THEN regexp_replace(t, '.$', '::') ELSE t END"
+
+
 @query(
-    f"""WITH {LINES}, b AS (SELECT doc_id, line AS ord, line AS page, CASE WHEN (doc_id + line) % 3 = 0 THEN lower(t[1:1]) || t[2:] WHEN (doc_id + line) % 3 = 2 THEN regexp_replace(t, '[.]$', '') ELSE t END AS text FROM l),
-    p AS (SELECT *, lag(text) OVER w AS pt, lag(page) OVER w AS pp FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord)), c AS (SELECT *, sum(CASE WHEN coalesce(page = pp + 1 AND NOT regexp_matches(pt, '[.!?:;’”"'')\\]]$') AND (regexp_matches(pt, '-$') OR regexp_matches(text, '^[a-z]')), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS chain FROM p)
+    f"""WITH {LINES}, b AS (SELECT doc_id, line AS ord, line // 2 AS page, {RUNON} AS text, CASE WHEN line % 7 = 3 THEN 20.0 WHEN line % 7 = 5 THEN 10.5 ELSE 10.0 END::DOUBLE AS size FROM l),
+    p AS (SELECT *, lag(text) OVER w AS pt, lag(page) OVER w AS pp, lag(size) OVER w AS ps FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+    j AS (SELECT *, coalesce(page = pp + 1 AND abs(size - ps) <= 0.08 * greatest(size, ps) AND CASE WHEN pt[-2:] = '::' THEN regexp_matches(text, '^[A-Za-z0-9_]') ELSE pt[-1:] NOT IN ('.', '!', '?', ':', ';', '’', '”', '"', chr(39), ')', ']') AND (pt[-1:] IN ('-', chr(173)) OR regexp_matches(text, '^[a-z]')) END, false) AS runs FROM p),
+    c AS (SELECT *, sum(CASE WHEN runs THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS chain FROM j)
     SELECT doc_id, min(ord) AS ord, max(page) AS page, count(*) AS parts, string_agg(text, ' ' ORDER BY ord) AS text FROM c GROUP BY doc_id, chain"""
 )
 def merge_pages(spark, d):
-    text = F.expr("CASE WHEN (doc_id + line) % 3 = 0 THEN concat(lower(substring(t, 1, 1)), substring(t, 2)) WHEN (doc_id + line) % 3 = 2 THEN regexp_replace(t, '[.]$', '') ELSE t END")
-    return passes.merge_pages(plain(spark, d).select("doc_id", F.col("line").alias("ord"), F.col("line").alias("page"), text.alias("text")))
+    size = F.when(F.col("line") % 7 == 3, 20.0).when(F.col("line") % 7 == 5, 10.5).otherwise(10.0)
+    return passes.merge_pages(plain(spark, d).select("doc_id", F.col("line").alias("ord"), F.floor(F.col("line") / 2).alias("page"), F.expr(RUNON).alias("text"), size.alias("size")))
 
 
 @query(
@@ -299,23 +306,23 @@ def bands(spark, d):
     return chrome.bands(glyphs(spark, d))
 
 
-TIERS = f"b AS (SELECT doc_id, page, line AS ord, t AS text, {SIZE} + CASE WHEN line % 11 = 3 THEN 4 ELSE 0 END AS size FROM l)"
+TIERS = f"b AS (SELECT doc_id, page, line AS ord, t AS text, {SIZE} + CASE WHEN line % 11 = 3 THEN 4 WHEN line % 11 = 5 THEN 1.24 WHEN line % 11 = 7 THEN 1.5 ELSE 0 END AS size FROM l)"
 
 
 @query(
     f"""WITH {LINES}, {TIERS}, r AS (SELECT *, round(size * 2) / 2 AS tier, 10.0 AS body FROM b), tot AS (SELECT doc_id, sum(length(text)) AS total FROM r GROUP BY 1),
-    k AS (SELECT doc_id, tier, sum(length(text)) AS chars FROM r WHERE tier >= 1.12 * body AND length(text) <= 220 GROUP BY ALL)
+    k AS (SELECT doc_id, tier, sum(length(text)) AS chars FROM r WHERE size >= 1.12 * body AND length(text) BETWEEN 1 AND 220 GROUP BY ALL)
     SELECT doc_id, tier, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY tier DESC), 6)::BIGINT AS level FROM k JOIN tot USING (doc_id) WHERE chars <= 0.3 * total"""
 )
 def heading_tiers(spark, d):
     x = plain(spark, d)
-    size = T.line_size() + F.when(F.col("line") % 11 == 3, 4.0).otherwise(0.0)
+    size = T.line_size() + F.when(F.col("line") % 11 == 3, 4.0).when(F.col("line") % 11 == 5, 1.24).when(F.col("line") % 11 == 7, 1.5).otherwise(0.0)
     b = x.select("doc_id", "page", F.col("line").alias("ord"), F.col("t").alias("text"), size.alias("size"))
     return passes.heading_tiers(b, x.select("doc_id", F.lit(10.0).alias("body_size")).distinct())
 
 
 @query(
-    f"""WITH {MARKED} SELECT doc_id, line, regexp_matches(t, '[.,;:!?]$') OR regexp_matches(t, '^ *[[][0-9]+[]]') OR regexp_matches(t, '^ *(Figure|Fig[.]|Table) *[0-9]') OR count(*) OVER (PARTITION BY doc_id, trim(regexp_replace(translate(t, '{U}', '{L}'), '[^a-z0-9]+', ' ', 'g'))) >= 3 AS veto FROM m"""
+    f"""WITH {MARKED} SELECT doc_id, line, regexp_matches(t, '[.,;:!?]$') OR regexp_matches(t, '^ *[[][0-9]+[]]') OR regexp_matches(t, '^ *(Figure|Table) [0-9]') OR count(*) OVER (PARTITION BY doc_id, trim(regexp_replace(translate(t, '{U}', '{L}'), '[^a-z0-9]+', ' ', 'g'))) >= 3 AS veto FROM m"""
 )
 def heading_vetoes(spark, d):
     return passes.vetoed(marked(spark, d).withColumn("text", F.col("t"))).select("doc_id", "line", "veto")
@@ -336,11 +343,11 @@ def image_placement(spark, d):
 
 
 @query(
-    f"""WITH {LINES}, im AS (SELECT doc_id, page, line AS obj, md5(t[1:3]) AS pixels FROM l WHERE line % 3 = 0), f AS (SELECT *, first_value(page) OVER w AS fp, first_value(obj) OVER w AS fo FROM im WINDOW w AS (PARTITION BY doc_id, pixels ORDER BY page, obj))
+    f"""WITH {LINES}, im AS (SELECT doc_id, page, line AS obj, md5(t) AS pixels FROM l), f AS (SELECT *, first_value(page) OVER w AS fp, first_value(obj) OVER w AS fo FROM im WINDOW w AS (PARTITION BY doc_id, pixels ORDER BY page, obj))
     SELECT doc_id, page, obj, dense_rank() OVER (PARTITION BY doc_id ORDER BY fp, fo)::BIGINT AS number, 'image_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY fp, fo) || '.png' AS path FROM f"""
 )
 def image_dedupe(spark, d):
-    im = plain(spark, d).where("line % 3 = 0").select("doc_id", "page", F.col("line").alias("obj"), F.md5(F.substring("t", 1, 3)).alias("pixels"))
+    im = plain(spark, d).select("doc_id", "page", F.col("line").alias("obj"), F.md5("t").alias("pixels"))
     return passes.dedupe_images(im).select("doc_id", "page", "obj", "number", "path")
 
 
@@ -365,19 +372,20 @@ CELLS = "SELECT r.range AS \"row\", c.range AS col, 72.0 + 100 * c.range AS x0,
     SELECT doc_id, page, "row", col, count(*) AS glyphs FROM j GROUP BY ALL"""
 )
 def glyph_cells(spark, d):
-    c = spark.range(9).select((F.floor(F.col("id") / 3)).alias("row"), (F.col("id") % 3).alias("col"))
-    c = c.select("row", "col", (72.0 + F.col("col") * 100).alias("c_x0"), (172.0 + F.col("col") * 100).alias("c_x1"), (600.0 - F.col("row") * 50).alias("c_y0"), (650.0 - F.col("row") * 50).alias("c_y1"), F.lit(1).alias("grid"))
-    g = glyphs(spark, d).withColumn("grid", F.lit(1))
-    inside = ((F.col("left") + F.col("right")) / 2 >= F.col("c_x0")) & ((F.col("left") + F.col("right")) / 2 < F.col("c_x1")) & ((F.col("bottom") + F.col("top")) / 2 >= F.col("c_y0")) & ((F.col("bottom") + F.col("top")) / 2 < F.col("c_y1"))
-    return g.join(F.broadcast(c), "grid").where(inside).groupBy("doc_id", "page", "row", "col").agg(F.count("*").alias("glyphs"))
+    g = glyphs(spark, d)
+    c = g.select("doc_id", "page").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("id")).select("doc_id", "page", F.floor(F.col("id") / 3).alias("row"), (F.col("id") % 3).cast("long").alias("col"))
+    c = c.select("*", (72.0 + F.col("col") * 100).alias("c_x0"), (172.0 + F.col("col") * 100).alias("c_x1"), (600.0 - F.col("row") * 50).alias("c_y0"), (650.0 - F.col("row") * 50).alias("c_y1"))
+    return grid.glyph_cells(g, c, ["doc_id", "page"]).groupBy("doc_id", "page", "row", "col").agg(F.count("*").alias("glyphs"))
 
 
-SPEC = "CASE doc_id % 4 WHEN 0 THEN '1-3,7' WHEN 1 THEN '2' WHEN 2 THEN '5-4,9' ELSE 'x,4-6' END"
+SPEC = "CASE doc_id % 8 WHEN 0 THEN '1-3,7' WHEN 1 THEN '2' WHEN 2 THEN '5-4,9' WHEN 3 THEN 'x,4-6' WHEN 4 THEN ',3,,5-6,' WHEN 5 THEN '0,2' WHEN 6 THEN '2-100009' ELSE '7a' END"
 
 
 @query(
-    f"""WITH s AS (SELECT DISTINCT {SPEC} AS spec FROM documents), p AS (SELECT spec, trim(unnest(string_split(spec, ','))) AS part FROM s), q AS (SELECT spec, regexp_extract(part, '^([0-9]{{1,8}})', 1) AS a0, regexp_extract(part, '([0-9]{{1,8}})$', 1) AS b0 FROM p WHERE regexp_matches(part, '^[0-9]{{1,8}}(-[0-9]{{1,8}})?$'))
-    SELECT DISTINCT spec, unnest(range(a - 1, b)) AS page FROM (SELECT spec, try_cast(a0 AS BIGINT) AS a, try_cast(b0 AS BIGINT) AS b FROM q) WHERE a >= 1 AND b >= a"""
+    f"""WITH s AS (SELECT DISTINCT {SPEC} AS spec FROM documents), p AS (SELECT spec, unnest(list_filter(string_split(spec, ','), lambda x: x <> '')) AS part FROM s),
+    q AS (SELECT spec, try_cast(string_split(part, '-')[1] AS BIGINT) AS a, try_cast(string_split(part, '-')[-1] AS BIGINT) AS b, regexp_full_match(part, '[0-9]{{1,8}}(-[0-9]{{1,8}})?') AS form FROM p),
+    g AS (SELECT spec FROM q GROUP BY spec HAVING bool_and(form AND coalesce(a >= 1 AND b >= a AND b - a < 100000 AND b <= 10000000, false)))
+    SELECT DISTINCT spec, unnest(range(a - 1, b)) AS page FROM q SEMI JOIN g USING (spec)"""
 )
 def page_spec(spark, d):
     return T.page_spec(docs(spark, d).select(F.expr(SPEC).alias("spec")).distinct())
@@ -409,7 +417,7 @@ def clustered_lines(spark, d):
     return found.where("line_no >= 0").groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("glyphs"), F.min("y").alias("baseline"))
 
 
-FIGURES = "fig AS (SELECT DISTINCT doc_id, page, 100.0::DOUBLE AS f_x0, 300.0::DOUBLE AS f_y0, 300.0::DOUBLE AS f_x1, 500.0::DOUBLE AS f_y1, doc_id % 2 = 0 AS diagram FROM l)"
+FIGURES = "fig AS (SELECT DISTINCT doc_id, page, 100.0::DOUBLE AS f_x0, 300.0::DOUBLE AS f_y0, 400.0::DOUBLE AS f_x1, 420.0::DOUBLE AS f_y1, doc_id % 2 = 0 AS diagram FROM l)"
 LABELLED = "lg AS (SELECT * REPLACE (CASE WHEN seq % 7 = 0 THEN 3.0 ELSE size END AS size) FROM g)"
 MID = '("left" + "right") / 2 BETWEEN f_x0 + {i} AND f_x1 - {i} AND (bottom + top) / 2 BETWEEN f_y0 + {i} AND f_y1 - {i}'
 
@@ -419,11 +427,11 @@ def _labelled(spark, d):
 
 
 def _figures(spark, d):
-    boxes = [F.lit(v).alias(n) for n, v in (("f_x0", 100.0), ("f_y0", 300.0), ("f_x1", 300.0), ("f_y1", 500.0))]
+    boxes = [F.lit(v).alias(n) for n, v in (("f_x0", 100.0), ("f_y0", 300.0), ("f_x1", 400.0), ("f_y1", 420.0))]
     return plain(spark, d).select("doc_id", "page").distinct().select("*", *boxes, (F.col("doc_id") % 2 == 0).alias("diagram"))
 
 
-@query(f"""WITH {GLYPHS}, {FIGURES}, {LABELLED}, n AS (SELECT doc_id, page, count(*) AS n FROM lg JOIN fig USING (doc_id, page) WHERE NOT space AND size >= 4 AND top - bottom <= 2 * size AND {MID.format(i=30)} GROUP BY ALL)
+@query(f"""WITH {GLYPHS}, {FIGURES}, {LABELLED}, n AS (SELECT doc_id, page, count(*) AS n FROM lg JOIN fig USING (doc_id, page) WHERE NOT space AND size >= 4 AND top - bottom <= 2 * size AND ("left" + "right") / 2 > 140.0 AND ("left" + "right") / 2 < 360.0 AND (bottom + top) / 2 > 318.0 AND (bottom + top) / 2 < 402.0 GROUP BY ALL)
     SELECT doc_id, page, diagram, coalesce(n, 0) AS prose, coalesce(n, 0) > 25 AS holds_prose FROM fig LEFT JOIN n USING (doc_id, page)""")
 def figure_prose(spark, d):
     return figures.prose_regions(_figures(spark, d), _labelled(spark, d)).select("doc_id", "page", "diagram", "prose", "holds_prose")
@@ -437,7 +445,7 @@ def figure_labels(spark, d):
 @query(
     f"""WITH {MARKED}, b AS (SELECT doc_id, line AS ord, page, t, {SIZE} AS size, regexp_matches(t, '^ *[[][0-9]+[]]') AS lead, lag(t) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM m),
     e AS (SELECT *, sum(lead::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS entry FROM b), h AS (SELECT *, first_value(page) OVER w AS hp, first_value(size) OVER w AS hs, first_value(ord) OVER w AS ho FROM e WINDOW w AS (PARTITION BY doc_id, entry ORDER BY ord)),
-    o AS (SELECT *, CASE WHEN lead OR coalesce(NOT regexp_matches(before, '[.!?]$') AND page BETWEEN hp AND hp + 1 AND abs(size - hs) <= 0.15 * hs, false) THEN 0 ELSE 1 END AS off FROM h),
+    o AS (SELECT *, CASE WHEN lead OR coalesce(rtrim(before) <> '' AND rtrim(before)[-1:] NOT IN ('.', '!', '?') AND page BETWEEN hp AND hp + 1 AND abs(size - hs) <= 0.15 * greatest(size, hs), false) THEN 0 ELSE 1 END AS off FROM h),
     c AS (SELECT *, CASE WHEN entry = 0 OR sum(off) OVER (PARTITION BY doc_id, entry ORDER BY ord) > 0 THEN ord ELSE ho END AS chain FROM o)
     SELECT doc_id, chain AS ord, min(page) AS page, count(*) AS parts, string_agg(t, ' ' ORDER BY ord) AS text FROM c GROUP BY doc_id, chain"""
 )
@@ -494,9 +502,9 @@ def table_places(spark, d):
     return regions.splice(tables, x.select("doc_id", "page", F.col("line").alias("ord"), (F.lit(758.0) - (F.col("line") % 45) * 15.0).alias("y_top")))
 
 
-@query(f"""WITH {BOXES}, k AS (SELECT * FROM bx WHERE line % 3 <> 1) SELECT doc_id, page, line FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.page = k.page AND o.line <> k.line AND o.x0 <= k.x1 AND k.x0 <= o.x1 AND abs(o.baseline - k.baseline) <= 24)""")
+@query(f"""WITH {BOXES}, k AS (SELECT * REPLACE (baseline + CASE WHEN line % 3 = 1 THEN 3000.0 * line ELSE 0 END AS baseline) FROM bx) SELECT doc_id, page, line FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.page = k.page AND o.line <> k.line AND o.x0 <= k.x1 AND k.x0 <= o.x1 AND abs(o.baseline - k.baseline) <= 24)""")
 def isolated_lines(spark, d):
-    return regions.isolated(_boxes(spark, d).where("line % 3 <> 1")).select("doc_id", "page", "line")
+    return regions.isolated(_boxes(spark, d).withColumn("baseline", F.col("baseline") + F.when(F.col("line") % 3 == 1, 3000.0 * F.col("line")).otherwise(0.0))).select("doc_id", "page", "line")
 
 
 @query(
@@ -506,3 +514,6 @@ def isolated_lines(spark, d):
 )
 def token_spaces(spark, d):
     return lines.token_spaces(lines.gaps(_gapped(spark, d)), 10.0).select("doc_id", "page", "line", "seq", "space")
+
+
+from . import rules  # noqa: E402, F401  its queries register themselves

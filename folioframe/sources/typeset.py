@@ -27,12 +27,15 @@ def typeset(lines: DataFrame) -> DataFrame:
 
 
 def page_spec(specs: DataFrame, column: str = "spec") -> DataFrame:
-    """spec, page (0-based) of selections such as 1-3,7. A spec with any part out of form selects nothing."""
-    part = F.trim(F.col("part"))
-    first, last = F.expr("try_cast(regexp_extract(trim(part), '^([0-9]{1,8})', 1) as bigint)"), F.expr("try_cast(regexp_extract(trim(part), '([0-9]{1,8})$', 1) as bigint)")
-    parts = specs.select(F.col(column).alias("spec"), F.explode(F.split(column, ",")).alias("part")).where(part.rlike("^[0-9]{1,8}(-[0-9]{1,8})?$"))
-    parts = parts.select("spec", first.alias("a"), last.alias("b")).where("a >= 1 and b >= a and b - a < 100000 and b <= 10000000")
-    return parts.select("spec", F.explode(F.expr("sequence(a - 1, b - 1)")).alias("page")).distinct()
+    """spec, page (0-based) of selections such as 1-3,7. Empty parts are passed over; a spec with any other part out of
+    form or range selects nothing."""
+    parts = F.filter(F.split(column, ","), lambda p: p != "")
+    first, last = (lambda p, at: F.try_to_number(F.regexp_extract(p, "^([0-9]{1,8})(?:-([0-9]{1,8}))?$", at), F.lit("99999999")).cast("bigint") for _ in range(2))
+    ends = F.transform(parts, lambda p: F.struct(first(p, 1).alias("a"), F.when(p.contains("-"), last(p, 2)).otherwise(first(p, 1)).alias("b")))
+    good = lambda x: F.coalesce((x["a"] >= 1) & (x["b"] >= x["a"]) & (x["b"] - x["a"] < 100_000) & (x["b"] <= 10_000_000), F.lit(False))
+    rows = specs.select(F.col(column).alias("spec"), ends.alias("ends")).where((F.size("ends") > 0) & F.forall("ends", good))
+    rows = rows.select("spec", F.explode("ends").alias("e"))
+    return rows.select("spec", F.explode(F.sequence(F.col("e.a") - 1, F.col("e.b") - 1)).alias("page")).distinct()
 
 
 def select_pages(table: DataFrame, pages: DataFrame) -> DataFrame:
