@@ -103,11 +103,12 @@ def formula_rules(spark, d):
 
 
 @query(f"""WITH {GLYPHS}, s AS (SELECT *, CASE WHEN seq % 11 = 4 THEN 7.0 ELSE size END AS z, y + CASE WHEN seq % 11 = 4 THEN 3.6 * (seq % 2) - 1.5 ELSE 0 END AS yy FROM g WHERE NOT space)
-    SELECT doc_id, page, line, seq, CASE WHEN z >= 0.82 * size THEN 0 WHEN yy - y > 0.10 * size THEN 1 WHEN yy - y < -0.06 * size THEN 2 ELSE 0 END AS role FROM s""")
+    SELECT doc_id, page, line, CASE WHEN z >= 0.82 * size THEN 0 WHEN yy - y > 0.10 * size THEN 1 WHEN yy - y < -0.06 * size THEN 2 ELSE 0 END AS role, count(*) AS glyphs, sum(seq)::BIGINT AS seqs FROM s GROUP BY ALL""")
 def script_roles(spark, d):
     off = F.when(F.col("seq") % 11 == 4, 3.6 * (F.col("seq") % 2) - 1.5).otherwise(0.0)
     s = glyphs(spark, d).where("not space").select("doc_id", "page", "line", "seq", "size", F.when(F.col("seq") % 11 == 4, 7.0).otherwise(F.col("size")).alias("z"), F.col("y"), (F.col("y") + off).alias("yy"))
-    return s.select("doc_id", "page", "line", "seq", X.script_role(F.col("z"), F.col("yy"), F.col("y"), F.col("size")).alias("role"))
+    s = s.withColumn("role", X.script_role(F.col("z"), F.col("yy"), F.col("y"), F.col("size")))
+    return s.groupBy("doc_id", "page", "line", "role").agg(F.count("*").alias("glyphs"), F.sum("seq").alias("seqs"))
 
 
 @query(f"""WITH {GLYPHS}, {FIGURES}, {LABELLED}, n AS (SELECT f_x0, doc_id, page, min(CASE WHEN (bottom + top) / 2 > 390.0 THEN bottom - 2 END) AS t, max(CASE WHEN (bottom + top) / 2 <= 390.0 AND (bottom + top) / 2 < 330.0 THEN top + 2 END) AS b FROM lg JOIN fig USING (doc_id, page)
@@ -189,10 +190,11 @@ OCR = "o AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE size END AS z, CAS
 
 @query(f"""WITH {GLYPHS}, {OCR}, n AS (SELECT *, CASE WHEN ocr AND top - bottom > 1.8 * z THEN top - bottom ELSE z END AS sz FROM q), k AS (SELECT *, lag(space) OVER w AS ps, lead(space) OVER w AS ns, lag("right") OVER w AS pr, lead(l0) OVER w AS nl, lag(y) OVER w AS py, lead(y) OVER w AS ny, lag(sz) OVER w AS pz, lead(sz) OVER w AS nz FROM n WINDOW w AS (PARTITION BY doc_id, page ORDER BY line, seq)),
     m AS (SELECT *, coalesce(ocr AND space AND NOT ps AND NOT ns AND abs(py - ny) <= 0.45 * greatest(pz, nz, 1.0) AND nl >= pr - 0.45 * greatest(pz, nz, 1.0), false) AS moved FROM k)
-    SELECT doc_id, page, line, seq, ocr, sz::DOUBLE AS size, CASE WHEN moved THEN pr ELSE l0 END AS "left", CASE WHEN moved THEN greatest(nl, pr) ELSE "right" END AS "right", CASE WHEN moved THEN py ELSE y END AS y FROM m""")
+    SELECT doc_id, page, line, ocr, sz::DOUBLE AS size, count(*) AS glyphs, sum(CASE WHEN moved THEN pr ELSE l0 END * (seq + 1)) AS lefts, sum(CASE WHEN moved THEN greatest(nl, pr) ELSE "right" END * (seq + 1)) AS rights, sum(CASE WHEN moved THEN py ELSE y END) AS ys FROM m GROUP BY ALL""")
 def ocr_spaces(spark, d):
     g = glyphs(spark, d).withColumn("size", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(F.col("size"))).withColumn("left", F.when(F.col("space"), F.col("left") - 40).otherwise(F.col("left")))
-    return lines.repair_ocr_layer(g).select("doc_id", "page", "line", "seq", "ocr", "size", "left", "right", "y")
+    w = F.col("seq") + 1
+    return lines.repair_ocr_layer(g).groupBy("doc_id", "page", "line", "ocr", "size").agg(F.count("*").alias("glyphs"), F.sum(F.col("left") * w).alias("lefts"), F.sum(F.col("right") * w).alias("rights"), F.sum("y").alias("ys"))
 
 
 # pages of six lines: a running head, a text of its chapter, a stamp in the margin and a page number among body lines
@@ -272,3 +274,40 @@ def withheld_glyphs(spark, d):
     cell = g.select("doc_id", "page").distinct().select("*", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(100.0).alias("c_x0"), F.lit(300.0).alias("c_x1"), F.lit(500.0).alias("c_y0"), F.lit(650.0).alias("c_y1"))
     keys = ["doc_id", "page", "line", "seq"]
     return grid.withhold(g, grid.glyph_cells(g, cell, ["doc_id", "page"]), keys).groupBy("doc_id", "page", "line").agg(F.count("*").alias("glyphs"))
+
+
+# each text's words in rows of fourteen, set to one width, with a title above, a head and a number on each page of twelve rows;
+# paragraphs have five rows and a wider gap between them
+SET = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z]+', ' '{g}), ' +', ' '{g}))"
+ROWS, ROW_WORDS, PARAGRAPH = 12, 14, 5
+
+
+def set_pages(spark, d):
+    """Glyphs of plainly set documents, and their pages."""
+    from .registry import docs
+
+    x = docs(spark, d).select("doc_id", F.split(F.expr(SET.format(g="")), " ").alias("w")).where("size(w) >= 28")
+    n = F.expr(f"size(w) div {ROW_WORDS}")
+    body = x.select("doc_id", n.alias("n"), F.posexplode(F.expr(f"transform(sequence(0, size(w) div {ROW_WORDS} - 1), i -> array_join(slice(w, i * {ROW_WORDS} + 1, {ROW_WORDS}), ' '))")).alias("i", "t"))
+    body = body.select("doc_id", F.expr(f"i div {ROWS}").alias("page"), F.expr(f"i % {ROWS}").alias("k"), "t").select("doc_id", "page", "k", "t", F.lit(10.0).alias("size"), (620.0 - 12.0 * F.col("k") - 24.0 * F.expr(f"k div {PARAGRAPH}")).alias("y"), F.lit(440.0).alias("width"))
+    title = x.select("doc_id", F.lit(0).cast("long").alias("page"), F.lit(-1).alias("k"), F.concat(F.lit("Title "), F.element_at("w", 1)).alias("t"), F.lit(16.0).alias("size"), F.lit(670.0).alias("y"), F.lit(150.0).alias("width"))
+    body = body.withColumn("page", F.col("page").cast("long"))
+    pages = body.select("doc_id", "page").distinct()
+    head = pages.select("doc_id", "page", F.lit(-2).alias("k"), F.concat(F.lit("Head of "), F.col("doc_id").cast("string")).alias("t"), F.lit(9.0).alias("size"), F.lit(760.0).alias("y"), F.lit(80.0).alias("width"))
+    foot = pages.select("doc_id", "page", F.lit(99).alias("k"), F.concat(F.lit("Page "), (F.col("page") + 1).cast("string")).alias("t"), F.lit(9.0).alias("size"), F.lit(30.0).alias("y"), F.lit(40.0).alias("width"))
+    every = body.unionByName(title).unionByName(head).unionByName(foot).withColumn("step", F.col("width") / F.length("t"))
+    g = every.select("doc_id", "page", "k", "size", "y", "step", F.posexplode(F.split("t", "")).alias("j", "ch")).where("ch <> ''")
+    left = 72.0 + F.col("j") * F.col("step")
+    g = g.select("doc_id", "page", ((F.col("k") + 2) * 1000 + F.col("j")).cast("long").alias("seq"), "ch", "y", left.alias("left"), (left + 0.9 * F.col("step")).alias("right"), (F.col("y") - 2).alias("bottom"), (F.col("y") + 0.8 * F.col("size")).alias("top"), "size", F.lit(False).alias("bold"), F.lit(False).alias("mono"), (F.col("ch") == " ").alias("space"))
+    return g, pages.select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, string_split({SET.format(g=", 'g'")}, ' ') AS w FROM documents), x AS (SELECT doc_id, w, len(w) // {ROW_WORDS} AS n FROM s WHERE len(w) >= 28),
+    r AS (SELECT doc_id, i // {ROWS} AS page, (i % {ROWS}) // {PARAGRAPH} AS para, string_agg(array_to_string(w[i * {ROW_WORDS} + 1:(i + 1) * {ROW_WORDS}], ' '), ' ' ORDER BY i) AS t FROM (SELECT *, unnest(range(n)) AS i FROM x) GROUP BY ALL),
+    b AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page, para) AS before FROM r), pages AS (SELECT doc_id, max(page) + 1 AS n FROM r GROUP BY 1),
+    k AS (SELECT doc_id, page, para, t FROM b UNION ALL SELECT doc_id, 0, -1, '# Title ' || w[1] FROM x UNION ALL SELECT doc_id, page, -2, 'Head of ' || doc_id FROM (SELECT DISTINCT r.doc_id, page FROM r JOIN pages USING (doc_id) WHERE n < 3) UNION ALL SELECT doc_id, page, 99, 'Page ' || (page + 1) FROM (SELECT DISTINCT r.doc_id, page FROM r JOIN pages USING (doc_id) WHERE n < 2))
+    SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page, para) || chr(10) AS markdown, count(*) AS blocks FROM k GROUP BY doc_id""")
+def glyphs_to_markdown(spark, d):
+    from .convert import convert
+
+    return convert(*set_pages(spark, d))
