@@ -49,13 +49,16 @@ def line_estimate(glyphs: DataFrame) -> DataFrame:
 
 
 def line_stats(glyphs: DataFrame) -> DataFrame:
-    """Per line: glyphs, size (median, at least 1), largest size, box, baseline of the glyphs near the largest."""
+    """Per line: glyphs, size (median, at least 1), largest size, box, baseline of the glyphs near the largest. One pass:
+    a line's sizes and baselines come together in the one aggregate, and a line is bounded by its page."""
     real = glyphs.where("not space")
     size = F.greatest(F.median("size"), F.lit(1.0))
-    one = real.groupBy(*LINE).agg(F.count("*").alias("glyphs"), size.alias("size"), F.max("size").alias("largest"), F.min("left").alias("x0"), F.max("right").alias("x1"))
-    one = one.withColumn("size_max", F.when(F.col("largest") > 1.8 * F.col("size"), F.col("size")).otherwise(F.col("largest"))).drop("largest")
-    big = real.join(one.select(*LINE, "size_max"), list(LINE)).where(F.col("size") >= 0.83 * F.col("size_max"))
-    return one.join(big.groupBy(*LINE).agg(F.median("y").alias("baseline")), list(LINE))
+    one = real.groupBy(*LINE).agg(F.count("*").alias("glyphs"), size.alias("size"), F.max("size").alias("largest"), F.min("left").alias("x0"), F.max("right").alias("x1"), F.collect_list(F.struct("size", "y")).alias("_g"))
+    one = one.withColumn("size_max", F.when(F.col("largest") > 1.8 * F.col("size"), F.col("size")).otherwise(F.col("largest")))
+    ys = F.array_sort(F.transform(F.filter("_g", lambda g: g["size"] >= 0.83 * F.col("size_max")), lambda g: g["y"]))
+    one = one.withColumn("_ys", ys)
+    middle = (F.get("_ys", F.floor((F.size("_ys") - 1) / 2).cast("int")) + F.get("_ys", F.floor(F.size("_ys") / 2).cast("int"))) / 2
+    return one.select(*LINE, "glyphs", "size", "x0", "x1", "size_max", middle.alias("baseline"))
 
 
 def gaps(glyphs: DataFrame) -> DataFrame:

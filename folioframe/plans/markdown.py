@@ -46,14 +46,17 @@ def blocks(lines: DataFrame) -> DataFrame:
     """doc_id, ord, page, kind, depth, text: a block for each line that holds text, of the kind its text shows."""
     t = F.col("t")
     kind = F.when(X.heading_depth(t) > 0, "heading").when(X.list_marker(t) != "", "list").when(X.is_caption(t), "caption").otherwise("paragraph")
-    return lines.where("trim(t) <> ''").select("doc_id", F.col("line").alias("ord"), "page", kind.alias("kind"), X.heading_depth(t).alias("depth"), "t")
+    # each generated once: else every pattern below would hold the whole of what makes the text, more than a method can
+    rows = lines.select("doc_id", F.col("line").alias("ord"), "page", F.explode(F.array("t")).alias("t")).where("trim(t) <> ''")
+    made = F.struct(kind.alias("kind"), X.heading_depth(t).alias("depth"), X.list_marker(t).alias("marker"), "t")
+    return rows.select("doc_id", "ord", "page", F.explode(F.array(made)).alias("b")).select("doc_id", "ord", "page", "b.*")
 
 
 def block_markdown() -> Column:
     t = F.col("t")
     ordered = F.concat(F.regexp_extract(t, "^([0-9]{1,3})", 1), F.lit(". "))
     content = X.escape_line_start(X.escape_inline(F.trim(X.strip_marker(t))))
-    item = F.concat(F.when(X.list_marker(t) == "ordered", ordered).otherwise("- "), content)
+    item = F.concat(F.when(F.col("marker") == "ordered", ordered).otherwise("- "), content)
     return F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least(F.col("depth"), F.lit(6))), F.lit(" "), X.escape_inline(F.trim(t)))).when(F.col("kind") == "list", item).otherwise(X.escape_line_start(X.escape_inline(F.trim(t))))
 
 
