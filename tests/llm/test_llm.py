@@ -536,3 +536,51 @@ def test_step_groups_are_balanced_by_tier(spark):
     assert count[2048] and set(count) & {256, 512, 1024}
     for tier, found in count.items():  # a partition's last ids make one sequence of a shorter size at most, unbalanced
         assert tier not in packing.TIERS or max(found) - min(found) <= 0.3 * sum(found) / packing.STEP_GROUPS + 2, (tier, found)
+
+
+def test_pipeline_stages_by_their_definitions(spark, tmp_path):
+    """Each stage of a run over a small folder, with nulls, empty texts, repeats and copies, against its definition."""
+    import re
+
+    import corpus_pipeline
+    from folioframe.llm import common
+
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.where("doc_id = 1").first()
+    more = [(5000, None), (5001, ""), (None, one.text), (5002, one.text), (5002, one.text), (5003, one.text + " end")]
+    docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in more], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    steps, frames = [spark.read.parquet(f"{tmp_path}/documents.parquet")], []
+    before = len(common.SCRATCH)
+    for _, stage in corpus_pipeline.STAGES:
+        frames.append(common.materialize(stage(spark, steps[-1], str(tmp_path)), "test"))
+        steps.append(frames[-1])
+    rows = [[(r.doc_id, r.text) for r in s.collect()] for s in steps[:-1]]
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    keep = {(r.doc_id, r.keep) for r in quality.quality(steps[0], labels).collect()}
+    assert Counter(i for i, _ in rows[1]) == Counter(i for i, _ in rows[0] if (i, True) in keep)
+    curve = toxicity.ToxicityClassifier().fit(steps[1], labels)
+    assert Counter(rows[2]) == Counter((r.doc_id, r.text) for r in curve.score(steps[1]).collect() if r.score < toxicity.THRESHOLD)
+    fps = [fingerprint(t) for _, t in rows[2]]
+    group = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (i, t), f, g in zip(rows[2], fps, group):
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    assert sorted((i is None, i or 0) for i, _ in rows[3]) == sorted(least.values())
+    norm = lambda x: " ".join(re.findall(r"\w+", (x or "").lower()))
+    items = [norm(r.text) for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    held = [any(x and x in norm(t) for x in items) for _, t in rows[3]]
+    assert not {i for (i, _), h in zip(rows[3], held) if h} & {i for i, _ in rows[4]}
+    assert len(rows[4]) >= 0.98 * (len(rows[3]) - sum(held)) and all(s.columns == steps[0].columns for s in steps[1:-1])
+    ids = encoder("byte_bpe_50k.json")
+    pieces = Counter()
+    for r in frames[-1].collect():
+        pieces[r.doc_id] += r.length
+    assert pieces == Counter({i: len(ids(t)) + 1 for i, t in rows[4]})
+    common.delete_scratch(spark, [], before)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0 and len(common.SCRATCH) <= before + 1
