@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.llm import decontaminate, packing, quality, simhash, tokens, toxicity
-from folioframe.llm.common import materialize, table
+from folioframe.llm.common import SCRATCH, delete_scratch, materialize, release, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +30,19 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("simhash_dedup", dedup_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
 
-#: Language models, tokenizers and codes are no SQL; the stages are tested against brute force.
+#: Language models, tokenizers and codes are no SQL: tests/llm holds each stage of a run against its definition.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of the sequences that the kept documents make: each stage works on all that the one before it kept,
+    written and read again. What a stage wrote for itself goes once its result stands, and so does its input."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = len(SCRATCH)
+        out = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        delete_scratch(spark, [out], before)
+        if last is not None:
+            release(last)
+        docs = last = out
     return docs
