@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import block_signature, is_page_number, segment_signature
+from ..functions.text import PAGE_NUMBERS, block_signature, segment_signature
 
 #: Pages on which a text at one place counts as repeated.
 POSITION_PAGES = 4
@@ -19,26 +19,6 @@ def bands(glyphs: DataFrame, height: float = 792.0) -> DataFrame:
     return one.select(*keys, band.alias("band"), F.round(F.col("x0") / 4).cast("long").alias("qx"), F.round(F.col("y") / 4).cast("long").alias("qy"))
 
 
-def repeated(lines: DataFrame, place: list[str], least: int = POSITION_PAGES) -> DataFrame:
-    """doc_id, sig, place...: signatures on `least` pages of a document or more. Small beside the lines."""
-    signed = lines.select("doc_id", "page", *place, segment_signature(F.col("t")).alias("sig")).where("sig <> ''").distinct()
-    return signed.groupBy("doc_id", "sig", *place).agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
-
-
-def strip_repeated(lines: DataFrame, place: list[str], least: int = POSITION_PAGES) -> DataFrame:
-    """Lines whose signature is not repeated at their place."""
-    chrome = repeated(lines, place, least)
-    keys = ["doc_id", "sig", *place]
-    return lines.withColumn("sig", segment_signature(F.col("t"))).join(chrome.select(*keys), keys, "left_anti").drop("sig")
-
-
-def strip_page_numbers(lines: DataFrame) -> DataFrame:
-    """Page numbers go from documents of two pages or more."""
-    many = lines.groupBy("doc_id").agg(F.max("page").alias("last")).where("last >= 1").select("doc_id")
-    numbers = lines.where(is_page_number(F.col("t"))).join(many, "doc_id", "left_semi").select("doc_id", "line")
-    return lines.join(numbers, ["doc_id", "line"], "left_anti")
-
-
 def _band(low: Column, high: Column, height: Column) -> Column:
     return F.when(height <= 0, 0).when(low > 0.88 * height, 1).when(high < 0.12 * height, 2).otherwise(0)
 
@@ -92,7 +72,7 @@ def strip_headers_footers(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     rows = blocks.where("kind <> 'image'").join(pages.select("doc_id", "page", "height").distinct(), ["doc_id", "page"]).join(count, "doc_id")
     rows = rows.select("doc_id", "ord", "page", "n", _band(F.col("low"), F.col("high"), F.col("height")).alias("band"), block_signature(F.col("lines")).alias("sig")).where("band <> 0")
     again = rows.groupBy("doc_id", "band", "sig", "n").agg(F.countDistinct("page").alias("k")).where("k >= greatest(3, ceil(n / 2))").select("doc_id", "band", "sig")
-    numbers = rows.where(F.col("sig").isin("#|", "-#-|", "page#|", "page#of#|", "#/#|", "[#]|", "|")).select("doc_id", "ord")
+    numbers = rows.where(F.col("sig").isin(*PAGE_NUMBERS)).select("doc_id", "ord")
     return blocks.join(rows.join(again, ["doc_id", "band", "sig"], "left_semi").select("doc_id", "ord").union(numbers), ["doc_id", "ord"], "left_anti")
 
 

@@ -95,14 +95,6 @@ def style_runs(gap_rows: DataFrame) -> DataFrame:
     return gap_rows.withColumn("run", F.sum(new.cast("int")).over(w)).groupBy(*LINE, "run").agg(F.first("bold").alias("bold"), F.count("*").alias("glyphs"))
 
 
-def repair_ocr(glyphs: DataFrame) -> DataFrame:
-    """Pages of 20 glyphs or more, most of them over 1.8 times as tall as their size, are scans: sizes become heights."""
-    tall = (F.col("top") - F.col("bottom")) > 1.8 * F.col("size")
-    w = Window.partitionBy("doc_id", "page")
-    rows = glyphs.withColumn("ocr", (F.count("*").over(w) >= 20) & (F.count_if(tall).over(w) * 2 > F.count("*").over(w)))
-    return rows.withColumn("size", F.when(F.col("ocr"), F.col("top") - F.col("bottom")).otherwise(F.col("size")))
-
-
 def token_spaces(gap_rows: DataFrame, em: float) -> DataFrame:
     """Gap rows with space: whether a blank goes before the glyph. A blank glyph or a gap over 0.28 em asks for one. It
     falls away inside a column where it parts digits or a hyphened token without a blank glyph, stands before . , : ;

@@ -63,21 +63,6 @@ def line_signatures(spark, d):
     return marked(spark, d).select("doc_id", "line", X.segment_signature(t).alias("sig"), X.segment_signature(t, False).alias("stamp_sig"), X.block_signature(F.array(t)).alias("block_sig"))
 
 
-@query(f"WITH {MARKED}, s AS (SELECT *, {SIG} AS sig FROM m), r AS (SELECT doc_id, sig, count(DISTINCT page) AS pages FROM s WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 2) SELECT doc_id, sig, pages FROM r")
-def repeated_lines(spark, d):
-    return chrome.repeated(marked(spark, d), [], 2)
-
-
-@query(f"WITH {MARKED}, s AS (SELECT *, {SIG} AS sig FROM m), r AS (SELECT doc_id, sig FROM s WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 2) SELECT doc_id, line, page, t FROM s ANTI JOIN r USING (doc_id, sig)")
-def chrome_strip(spark, d):
-    return chrome.strip_repeated(marked(spark, d), [], 2).select("doc_id", "line", "page", "t")
-
-
-@query(f"WITH {MARKED} SELECT doc_id, line, t FROM m WHERE NOT ({SIG} IN ('#', '-#-', 'page#', 'page#of#', '#/#', '[#]', '') AND doc_id IN (SELECT doc_id FROM m WHERE page >= 1))")
-def page_number_strip(spark, d):
-    return chrome.strip_page_numbers(marked(spark, d)).select("doc_id", "line", "t")
-
-
 @query(
     f"""WITH {MARKED}, k AS (SELECT *, CASE WHEN regexp_matches(t, '^[{X.BULLETS}{X.DASHES[1:]}-] ') THEN 'bullet' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)] +') THEN 'ordered' WHEN regexp_matches(t, '^([A-Za-z]|[ivxlcdmIVXLCDM]{{1,6}})[)] ') THEN 'lettered' ELSE '' END AS marker FROM m)
     SELECT doc_id, line, marker, regexp_replace(t, '^(?:[{X.BULLETS}{X.DASHES[1:]}-] +|[0-9]{{1,3}}[.)] +)', '') AS content FROM k WHERE marker <> ''"""
@@ -396,15 +381,6 @@ def page_filter(spark, d):
     return T.select_pages(plain(spark, d), T.page_spec(spark.createDataFrame([("1,3",)], "spec string"))).select("doc_id", "line", "page", "t")
 
 
-@query(
-    f"""WITH {GLYPHS}, h AS (SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE size END AS size) FROM g), o AS (SELECT *, count(*) OVER w >= 20 AND count(*) FILTER (top - bottom > 1.8 * size) OVER w * 2 > count(*) OVER w AS ocr FROM h WINDOW w AS (PARTITION BY doc_id, page))
-    SELECT doc_id, page, ocr, CASE WHEN ocr THEN top - bottom ELSE size END::DOUBLE AS size, count(*) AS glyphs FROM o GROUP BY ALL"""
-)
-def ocr_repair(spark, d):
-    g = glyphs(spark, d).withColumn("size", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(F.col("size")))
-    return lines.repair_ocr(g).groupBy("doc_id", "page", "ocr", "size").agg(F.count("*").alias("glyphs"))
-
-
 @query(f"""WITH {GLYPHS}, em AS (SELECT doc_id, page, median(size) AS em FROM g WHERE NOT space GROUP BY ALL), y AS (SELECT DISTINCT doc_id, page, y FROM g WHERE NOT space), s AS (SELECT doc_id, page, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS step FROM y)
     SELECT doc_id, page, count(*) FILTER (step IS NULL OR step > 0.5 * em) AS lines FROM s JOIN em USING (doc_id, page) GROUP BY ALL""")
 def line_estimate(spark, d):

@@ -121,3 +121,28 @@ def test_sizes_and_bound_prefixes(spark):
     lines = spark.createDataFrame([(1, 0, "multi-"), (1, 1, "plicative self-"), (1, 2, "plicative")], "doc_id long, line long, t string")
     vocab = spark.createDataFrame([(1, w) for w in ("multi", "self", "plicative")], "doc_id long, word string")
     assert {r.line: r.kept for r in markdown.hyphen_joins(lines, vocab).collect()} == {0: False, 1: True}
+
+
+def test_blocks_of_lists_notes_code_and_quotes(spark):
+    """A page set by hand: nested bullets, a numbered item, a hanging reference, code with a blank line, a footnote."""
+    from folioframe.plans import convert
+
+    rows = [
+        ("Plain words that make a line of text here", 72, 700, 10, False), ("and go on to the margin of the same one", 72, 688, 10, False),
+        ("- first item of the list stands here", 72, 664, 10, False), ("- nested item below the first one", 90, 652, 10, False), ("3) third and last of the items is this", 72, 640, 10, False),
+        ("[12] A. Author. A title of the work that", 72, 616, 10, False), ("goes on. And ends here in the year 1999", 96, 604, 10, False),
+        ("x = 1", 72, 580, 10, True), ("y = 22", 72, 556, 10, True), ("Bound to be multi-", 72, 520, 10, False), ("plicative in the end of all", 72, 508, 10, False),
+    ]
+    glyphs, seq = [], 0
+    for text, x, y, size, mono in rows:
+        for i, ch in enumerate(text):
+            glyphs.append((1, 0, seq, ch, float(y), x + 6.0 * i, x + 6.0 * i + 5, y - 2.0, y + 8.0, float(size), False, mono, ch == " "))
+            seq += 1
+    g = spark.createDataFrame(glyphs, "doc_id long, page long, seq long, ch string, y double, left double, right double, bottom double, top double, size double, bold boolean, mono boolean, space boolean")
+    pages = spark.createDataFrame([(1, 0, 612.0, 792.0)], "doc_id long, page long, width double, height double")
+    got = convert.convert(g, pages).first().markdown
+    assert "Plain words that make a line of text here and go on to the margin of the same one" in got
+    assert "- first item of the list stands here\n    - nested item below the first one\n3. third and last" in got
+    assert "\\[12] A. Author. A title of the work that goes on. And ends here in the year 1999" in got
+    assert "multiplicative in the end" in got and "```\nx = 1\n" in got
+    assert convert.convert(g.limit(0), pages).count() == 0
