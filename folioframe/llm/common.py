@@ -19,14 +19,15 @@ CHUNK_CHARS = 4_000_000
 MODEL_CHUNK_CHARS = 1_000_000
 
 
-#: Rows and bytes in a batch between Spark and Python, which bound the memory of both.
-BATCH_ROWS, BATCH_BYTES = 2_500, 8_000_000
+#: Rows and bytes in a batch between Spark and Python, which bound the memory of both; the larger ones are for operators
+#: that hold little else, and save them cutting words apart twice.
+BATCH, LARGE_BATCH = (2_500, 8_000_000), (10_000, 64_000_000)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, batch: tuple[int, int] = BATCH) -> DataFrame:
     """A table; the session's batches between Spark and Python are made small enough for texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch[0])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch[1])
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -156,12 +157,15 @@ def shared(key, make: Callable):
 
 def tidied(batches: Iterable, key=None) -> Iterator:
     """A task's batches. Before the first, what other operators' tasks have left in the worker goes, and after the last
-    one free memory goes back to the system, since workers and their memory outlive tasks."""
+    one free memory goes back to the system, since workers and their memory outlive tasks; not so for an operator that
+    shares something under `key`, whose next task takes that memory again."""
     import ctypes
 
     for other in [k for k in SHARED if k != key]:
         del SHARED[other]
     yield from batches
+    if key is not None:
+        return
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html, licenses, packing, pfor, quality, simhash, tokens, topk, toxicity, urls
-from .common import table
+from .common import LARGE_BATCH, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfor.token_documents(spark, table(spark, sf_dir, "documents"), tokens.tokenizer_file("word_bpe_49k.json"), 2)
+    return pfor.token_documents(spark, table(spark, sf_dir, "documents", LARGE_BATCH), tokens.tokenizer_file("word_bpe_49k.json"), 2)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.tokenizer_file("byte_bpe_50k.json"), 1)
+    return packing.pack_documents(table(spark, sf_dir, "documents", LARGE_BATCH), tokens.tokenizer_file("byte_bpe_50k.json"), 1)
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
