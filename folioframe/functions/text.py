@@ -213,6 +213,18 @@ def same_columns(a: Column, b: Column, size: Column) -> Column:
     return (F.size(a) > 0) & (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= far), lambda x: x)
 
 
+# Letters whose capital is one character though the full mapping gives several, with that; and letters whose capitals are
+# newer than Unicode 15, which keep themselves.
+CAPITALS = {"\u00df": "\u1e9e", "\u1fb3": "\u1fbc", "\u1fc3": "\u1fcc", "\u1ff3": "\u1ffc"} | {chr(n): chr(n + 8) for a in (0x1F80, 0x1F90, 0x1FA0) for n in range(a, a + 8)}
+NEW_CAPITALS = "[\u019b\u0264\u1c8a\ua7cd\ua7db\U00010d70-\U00010d85]"
+
+
+def capital(ch: Column) -> Column:
+    """One character as its capital, which is one character too: where it has none, itself."""
+    several = (F.length(F.upper(ch)) > 1) | ch.rlike(NEW_CAPITALS)
+    return F.when(several, F.translate(ch, "".join(CAPITALS), "".join(CAPITALS.values()))).otherwise(F.upper(ch))
+
+
 def math_extension(ch: Column, font: Column) -> Column:
     """Large operators of TeX's extension font, which come as the letters of their slots."""
     return F.when(font.rlike("(?i)cmex"), F.translate(ch, "PXQY", "\u2211\u2211\u220f\u220f")).otherwise(ch)

@@ -146,3 +146,19 @@ def test_blocks_of_lists_notes_code_and_quotes(spark):
     assert "\\[12] A. Author. A title of the work that goes on. And ends here in the year 1999" in got
     assert "multiplicative in the end" in got and "```\nx = 1\n" in got
     assert convert.convert(g.limit(0), pages).count() == 0
+
+
+def differences(spark, tmp_path, name, texts):
+    """Rows in which a query over documents of these texts (doc_id, text) and its SQL differ."""
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, c = registry.QUERIES[name](spark, str(tmp_path)), duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    r = c.execute(registry.ORACLES[name])
+    cols, want = [x[0] for x in r.description], r.fetchall()
+    return sorted(set(map(repr, want)) ^ {repr(tuple(x)) for x in got.select(*cols).collect()}), len(want)
+
+
+def test_capitals_are_one_character(spark, tmp_path):
+    """Lines that begin with any character of the first planes: sharp s, ligatures, Greek with iota, new letters."""
+    every = [chr(n) for n in range(32, 0x11000) if not 0xD800 <= n < 0xE000]
+    assert differences(spark, tmp_path, "font_styles", [(4, "\n".join(c + "x" for c in every)), (5, "e\u0301\n\n\u00dfx")]) == ([], len(every) + 3)
