@@ -49,9 +49,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. release() removes it, else delete_scratch()."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return materialize_all([df], tag)
+
+
+def materialize_all(frames: Iterable[DataFrame], tag: str) -> DataFrame:
+    """The same for the rows of one or more frames of one schema, written one after the other."""
+    path = None
+    for df in frames:
+        path = path or scratch_path(df.sparkSession, tag)
+        df.write.mode("append").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     SCRATCH.append(path)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
 from .common import MODEL_CHUNK_CHARS, carried, chunks, extended, materialize, release, segment_sums, tidied
-from .labelled import labelled
+from .labelled import labelled, quantiles
 
 #: Order of the character model; symbols of the language's mean that a short text's perplexity is drawn to.
 ORDER, DRAWN = 5, 40.0
@@ -47,7 +47,8 @@ class QualityClassifier:
     """
 
     def fit(self, docs: DataFrame, labels: DataFrame) -> QualityClassifier:
-        trusted = labelled(docs, labels, "quality", "label = 1").select("doc_id", "lang", "text", (F.xxhash64("doc_id") % 2 == 0).alias("half"))
+        rows = labelled(docs, labels, "quality", "label = 1")
+        trusted = rows.select("doc_id", "lang", "text", (F.xxhash64("doc_id") % 2 == 0).alias("half"))
         grams = materialize(kn.count_grams(trusted.select(F.col("half").cast("int").alias("part"), "text"), ORDER), "kn-grams")
         halves = []
         for half in (0, 1):
@@ -55,17 +56,16 @@ class QualityClassifier:
             halves.append(materialize(score(trusted.where(F.col("half").cast("int") == half).select("lang", "text"), other).where("symbols > 0").select("lang", "nll", "symbols"), "quality-trusted"))
             other.release()
         self.model = kn.fit(grams, ORDER)
-        release(grams)
+        release(grams, rows)
         seen = halves[0].union(halves[1])
-        means = {r.lang: r.nll / r.symbols for r in seen.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("symbols").alias("symbols")).collect()}
+        sums = seen.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("symbols").alias("symbols"), F.count("*").alias("n")).collect()
+        means = {r.lang: r.nll / r.symbols for r in sums}
         total = seen.agg(F.sum("nll"), F.sum("symbols")).first()
         self.mean = total[0] / total[1] if total[1] else 0.0
         at = seen.select("lang", drawn(F.col("nll"), F.col("symbols"), self._lookup(means, self.mean)).alias("x"))
-        quantile = F.expr(f"percentile_disc({UPPER}) within group (order by x)").alias("q")  # of MOST_LABELS values at most
-        rows = at.groupBy("lang").agg(quantile, F.count("*").alias("n")).collect()
-        every = at.agg(quantile).first().q
-        self.limit = float(every) if every is not None else float("inf")
-        self.limits = {r.lang: float(r.q) for r in rows if r.n >= LEAST_TRUSTED and r.lang is not None}
+        self.limit = quantiles(at.withColumn("lang", F.lit("")), "lang", "x", UPPER).get("", float("inf"))
+        often = [r.lang for r in sums if r.n >= LEAST_TRUSTED and r.lang is not None]
+        self.limits = quantiles(at.where(F.col("lang").isin(often)), "lang", "x", UPPER) if often else {}
         self.means = {k: v for k, v in means.items() if k in self.limits}
         release(*halves)
         return self

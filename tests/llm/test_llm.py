@@ -584,3 +584,28 @@ def test_pipeline_stages_by_their_definitions(spark, tmp_path):
     assert pieces == Counter({i: len(ids(t)) + 1 for i, t in rows[4]})
     common.delete_scratch(spark, [], before)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0 and len(common.SCRATCH) <= before + 1
+
+
+def test_all_labels_are_taken(spark, monkeypatch):
+    """More labels than are broadcast at a time: each document with a label, once."""
+    from folioframe.llm import common, labelled
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.union(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema))
+    want = sorted((r.doc_id, r.text, r.toxic) for r in docs.join(labels.dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect())
+    monkeypatch.setattr(labelled, "MOST_LABELS", max(2, len(want) // 3))
+    rows = labelled.labelled(docs, labels, "toxic")
+    assert sorted((r.doc_id, r.text, r.label) for r in rows.collect()) == want
+    common.release(rows)
+    assert not any("labelled-" in path or "labels-" in path for path in common.SCRATCH)
+
+
+def test_quantiles_from_counts(spark):
+    from folioframe.llm.labelled import quantiles
+
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=9000), "b": np.round(rng.exponential(size=5000), 1), "c": np.array([2.5]), "d": np.array([1e-300, 1.0, 1e300] * 7), "e": np.nextafter(1, [0, 1, 2])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k string, x double")
+    for q in (0.001, 0.5, 0.999, 1.0):
+        assert quantiles(rows, "k", "x", q) == {k: float(np.sort(v)[int(np.ceil(len(v) * q)) - 1]) for k, v in values.items()}
+    assert quantiles(rows.limit(0), "k", "x", 0.5) == {}
