@@ -185,16 +185,17 @@ class ToxicityClassifier:
     is 0."""
 
     def fit(self, docs: DataFrame, labels: DataFrame, fold=None) -> ToxicityClassifier:
-        rows = labelled(docs, labels, "toxic", fold).select("text", F.col("label").alias("cls"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
+        found = labelled(docs, labels, "toxic", fold)
+        rows = found.select("text", F.col("label").alias("cls"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
         counts = materialize(counted(rows.where("cls in (0, 1)")), "toxicity-counts")
         self.model, self.curve = Model(counts, ("n0", "n1")), None
         first = Model(counts, ("h0", "h1"))
         if self.model.evidence is not None and first.evidence is not None:
-            seen = features(rows.where("half = 1 and cls in (0, 1)").select("cls", "text"), first).select("cls", "ratio").toPandas()  # at most MOST_LABELS rows of two numbers
+            seen = features(rows.where("half = 1 and cls in (0, 1)").select("cls", "text"), first).select("cls", "ratio").toPandas()  # two numbers for each of them
             if 0 < seen.cls.sum() < len(seen):
                 self.curve = calibrate(seen.ratio.to_numpy(), seen.cls.to_numpy().astype(float))
             release(first.kept)
-        release(counts)
+        release(counts, found)
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
