@@ -25,7 +25,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokens.tokenizer_file("byte_bpe_50k.json"), 1)
+    # smaller than packing's own: the executor's heap has grown in the stages before
+    return packing.pack_documents(docs, tokens.tokenizer_file("byte_bpe_50k.json"), 1, chunk=1_000_000, words=200_000)
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("simhash_dedup", dedup_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]

@@ -166,13 +166,19 @@ def tidied(batches: Iterable, key=None) -> Iterator:
     """A task's batches. Before the first, what other operators' tasks have left in the worker goes, and after the last
     one free memory goes back to the system, since workers and their memory outlive tasks; not so for an operator that
     shares something under `key`, whose next task takes that memory again."""
-    import ctypes
-
-    for other in [k for k in SHARED if k != key]:
+    others = [k for k in SHARED if k != key]
+    for other in others:
         del SHARED[other]
+    if others:
+        _give_back()
     yield from batches
-    if key is not None:
-        return
+    if key is None:
+        _give_back()
+
+
+def _give_back() -> None:
+    import ctypes
+
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

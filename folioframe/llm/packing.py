@@ -129,8 +129,9 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Pieces of all documents (SCHEMA). Each partition packs its own documents; nothing is shuffled.
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, chunk: int = PACK_CHUNK_CHARS, words: int = WORDS_KEPT) -> DataFrame:
+    """Pieces of all documents (SCHEMA). Each partition packs its own documents; nothing is shuffled. `chunk` characters
+    are encoded at a time, and a worker keeps the ids of so many `words`: they set its memory and time, not the result.
 
     Null and empty texts are a document of the end id alone. Null ids and repeated rows are packed like others.
     `length` ids of a document from `start` stand at `offset` of a sequence of `sequence_tokens` ids, which needs
@@ -140,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def pack(batches):
         from pyspark import TaskContext
 
-        tok, part = shared_tokenizer(tokenizer, WORDS_KEPT), TaskContext.get().partitionId()
+        tok, part = shared_tokenizer(tokenizer, words), TaskContext.get().partitionId()
         packer = Packer(group=part)
         # of documents with ids not yet packed: doc_id, their last ids, where these begin, all ids, ids still to go
         held: dict[int, tuple] = {}
@@ -160,7 +161,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         for batch in tidied(batches, ("tokenizer", tokenizer)):
             texts, doc_ids = batch.column(1), batch.column(0).to_pylist()
-            for a, b in chunks(texts, PACK_CHUNK_CHARS):
+            for a, b in chunks(texts, chunk):
                 ids, counts = tok.documents(texts[a:b], end_id)
                 raw, at, found, before = memoryview(ids.astype("<u4").tobytes()), 0, [], number
                 for doc_id, n in zip(doc_ids[a:b], counts.tolist()):

@@ -609,3 +609,10 @@ def test_quantiles_from_counts(spark):
     for q in (0.001, 0.5, 0.999, 1.0):
         assert quantiles(rows, "k", "x", q) == {k: float(np.sort(v)[int(np.ceil(len(v) * q)) - 1]) for k, v in values.items()}
     assert quantiles(rows.limit(0), "k", "x", 0.5) == {}
+
+
+def test_packing_in_small_chunks(spark, odd):
+    """Chunks and kept words set memory, not the result."""
+    file = tokens.tokenizer_file("byte_bpe_50k.json")
+    a, b = (sorted(repr(r) for r in packing.pack_documents(odd.coalesce(1), file, 1, **x).collect()) for x in ({}, {"chunk": 50, "words": 20}))
+    assert a == b
