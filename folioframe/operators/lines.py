@@ -117,7 +117,8 @@ def token_spaces(gap_rows: DataFrame, em: float) -> DataFrame:
 def repair_ocr_layer(glyphs: DataFrame) -> DataFrame:
     """Glyphs with ocr, of pages with 20 inked ones or more, over half of them over 1.8 times as tall as their size: their
     sizes become heights, and a blank between two glyphs of one baseline is set between them."""
-    w, order = Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id", "page").orderBy("line", "seq")
+    order = Window.partitionBy("doc_id", "page").orderBy("line", "seq")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the whole page, in the one order: sorted once
     ink, tall = ~F.col("space"), (F.col("top") - F.col("bottom")) > 1.8 * F.col("size")
     rows = glyphs.withColumn("ocr", (F.count_if(ink).over(w) >= 20) & (F.count_if(ink & tall).over(w) * 2 > F.count_if(ink).over(w)))
     rows = rows.withColumn("size", F.when(F.col("ocr") & tall, F.col("top") - F.col("bottom")).otherwise(F.col("size")))

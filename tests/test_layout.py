@@ -168,3 +168,10 @@ def test_short_body_lines_are_no_stamps(spark, tmp_path):
     """A line of three letters at one place of every page, in the column and not in the margin; chapters beyond the 191st."""
     texts = [(d, "\n".join("Un." if i % 2 else f"line {i}" for i in range(60))) for d in (1, 2, 6)] + [(4, "\n".join(["x"] * 6006))]
     assert differences(spark, tmp_path, "running_chrome", texts)[0] == []
+
+
+def test_ocr_spaces_deals_lines_not_glyphs(spark):
+    """Pages are dealt before their lines become glyphs, and sorted once."""
+    plan = registry.QUERIES["ocr_spaces"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert plan.count("- Sort [") == 1
