@@ -91,7 +91,9 @@ class Row:
     @classmethod
     def read(cls, r) -> Row:
         row = cls(int(r.line_no), r.text, r.x0, r.x1, r.baseline, r.size, bool(r.mono))
-        head, ref = list(r.head), r.size_max or r.size
+        ref = r.size_max or r.size
+        # of one size and baseline, no glyph is raised
+        head = [] if getattr(r, "even", False) and r.first[2] >= 0.82 * ref else list(r.head)
         raised = [g["size"] < 0.82 * ref and g["y"] - r.baseline > 0.10 * ref for g in head]
         n = 0
         while n < min(len(head), 3) and raised[n] and head[n]["ch"].isdigit() and head[n]["ch"].isascii():
@@ -107,12 +109,19 @@ class Row:
             m = form.match(r.text)
             if m:
                 row.marker, row.ordered = name(m)
+                head = head or list(r.head)
                 row.cut, at = m.end(), len(m[0].replace(" ", ""))
                 row.content = head[at]["left"] if at < len(head) else r.x0
                 break
         return row
 
 
+def middle(values: list[float]) -> float:
+    """The median."""
+    s, n = sorted(values), len(values)
+    return float(s[n // 2] if n % 2 else (s[n // 2 - 1] + s[n // 2]) / 2)
+
+
 class Flow:
     """The blocks of a region's lines, from the top: each line goes on the open block or begins another."""
 
@@ -120,9 +129,9 @@ class Flow:
         sizes = [r.size for r in rows]
         steps = [a.baseline - b.baseline for a, b in zip(rows, rows[1:])]
         steps = [s for s in steps if s > 0.1]
-        self.em = max(float(np.median(sizes)), 1.0) if sizes else 11.0
+        self.em = max(middle(sizes), 1.0) if sizes else 11.0
         usual = [s for s in steps if s < 3 * self.em] or steps
-        self.step = float(np.median(usual)) if usual else 1.2 * self.em
+        self.step = middle(usual) if usual else 1.2 * self.em
         self.width = max(r.x1 for r in rows) - min(r.x0 for r in rows) if rows else 0.0
         self.blocks: list[dict] = []
         self.last: Row | None = None

@@ -175,3 +175,70 @@ def test_ocr_spaces_deals_lines_not_glyphs(spark):
     plan = registry.QUERIES["ocr_spaces"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
     assert plan.count("- Sort [") == 1
+
+
+def run_of(page, seq, text, x, y, step=6.0, size=10.0, bold=False, mono=False, ink=0.85):
+    return page, seq, text, float(x), step, ink * step, float(y), y - 2.0, y + 0.8 * size, float(size), bold, mono
+
+
+def set_documents(spark):
+    """Documents as runs: lists, notes, code, hyphens, columns, chrome; and lines at random, tidy or of uneven runs."""
+    import random
+
+    from folioframe.operators import documents as D
+
+    pick, made = random.Random(7), []
+    lines = ["- first item of the list stands here", "goes on with an ident-", "ifier and more of it. 1 2 , 3 : = 4 :: x", "2.1 Setup", "see http://a.b/c/", "d/e and so on self - test", "[12] A. Author. A title of", "  set in by blanks", "Key: value", "multi-", "plicative", "end­", "ing here."]
+    made.append((1, [run_of(0, 100 * i, t, 72 + 18 * (i == 1), 700 - 12 * i, mono=i > 10) for i, t in enumerate(lines)], 1))
+    made.append((2, [run_of(0, 0, "1", 72, 704, 3.0, 6.0), run_of(0, 10, "Note of the page in small", 78, 700), run_of(0, 90, "   ", 72, 660), run_of(0, 95, "", 72, 650), run_of(0, 200, "A title larger than all", 72, 600, 9.0, 16.0), run_of(0, 300, "x中y mono", 72, 550, mono=True)], 1))
+    chrome_ = [run_of(p, s, t, x, y) for p in range(6) for s, t, x, y in ((0, "Chapter A" if p < 4 else f"Own {p}x", 72, 760), (50, f"Page {p + 1}", 280, 30), (90, "STAMP", 560, 400 + 0.5 * (p == 5)))]
+    columns = [run_of(p, 1000 * (c + 1) + 100 * k, f"{'abc'[p % 3]} column {c} row {k} of text", 72 + 260 * c, 700 - 12 * k - 24 * (k // 4)) for p in range(6) for c in (0, 1) for k in range(8)]
+    made.append((3, chrome_ + columns, 6))
+    words = ["the", "The", "word", "a", "12", "3.4", "x-", "-y", ":", "::", ":=", ",", "(b)", "www.a.b/", "end.", "I", "", "", "αβ", "data-set-", "{n-", "*", "iv)", "\U0001d400z"]
+    for d in range(4, 40):
+        runs, tidy, pages = [], d % 3 > 0, pick.randint(1, 5)
+        for p in range(pages):
+            y = 765.0
+            for k in range(pick.randint(1, 16)):
+                size = pick.choice([10.0, 10.0, 10.0, 9.0, 16.0, 11.4])
+                y -= size * pick.choice([1.2, 1.2, 1.2, 1.8, 3.5, 0.9 if tidy else 0.2]) + pick.random() / 8
+                text = pick.choice(["Running head", f"- {p + 1} -"]) if k == 0 and d % 2 else ("so " if tidy else "") + " ".join(pick.choices(words, k=pick.randint(1, 14)))
+                runs.append(run_of(p, 1000 * k, text, 72 + pick.random() / 4 + pick.choice([0, 0, 0, 20, 20 if tidy else 480]), y, pick.choice([5.0, 5.5, 4.0 if tidy else 12.0, 2.5]), size, pick.random() < 0.2, False, pick.choice([0.85, 0.5, 1.1])))
+        pick.shuffle(runs)
+        made.append((d, runs, pages))
+    made += [(50, [], 0), (51, [], 1)]
+    rows = [(d, runs, [(p, 612.0, 792.0) for p in range(n)]) for d, runs, n in made]
+    return spark.createDataFrame(rows, f"doc_id long, runs {D.array_type(D.RUN)}, pages {D.array_type(D.PAGE)}").repartition(2)
+
+
+def test_documents_as_runs_equal_their_glyphs(spark):
+    """Each document's Markdown is that of its glyphs dealt by page, whether it takes the steady way or not."""
+    import numpy as np
+
+    from folioframe.operators import documents as D
+    from folioframe.plans import convert
+
+    docs = set_documents(spark).cache()
+    want = {r.doc_id: (r.markdown, r.blocks) for r in convert.convert(*D.glyph_rows(docs)).collect()}
+    assert {r.doc_id: (r.markdown, r.blocks) for r in convert.convert_documents(docs).collect()} == want and len(want) == 39
+    steady = 0
+    for r in docs.collect():
+        runs = sorted((x for x in r.runs if x.text), key=lambda x: x.page)
+        arrays = {k: [x[k] for x in runs] if k == "text" else np.array([x[k] for x in runs]) for k in D.RUN}
+        if runs:
+            (lines,), (body,) = D.steady_lines(arrays, np.zeros(len(runs), int))
+            slow, size = D.find_lines(arrays)
+            if lines is not None:
+                steady += 1
+                shown = lambda x: (x.page, x.region, x.line_no, x.text, x.x0, x.x1, x.baseline, x.top, x.bottom, x.size, x.size_max, x.glyphs, x.bold, x.mono, x.head)
+                assert body == size and list(map(shown, lines)) == list(map(shown, slow))
+    assert 10 < steady < 35
+
+
+def test_glyphs_to_markdown_deals_no_glyphs(spark):
+    """From documents to blocks nothing is dealt, and no glyph is a row."""
+    from folioframe.operators import documents as D
+    from folioframe.plans import rules
+
+    plan = D.blocks(rules.set_pages(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Generate") == 1 and plan.index("MapInArrow") < plan.index("Generate explode(array(")
