@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import blocks as B
 from . import chrome
-from .cluster import DEPTH, GUTTER, GUTTER_EM, ROW_GAP, cluster, split
+from .cluster import DEPTH, GUTTER, GUTTER_EM, ROW_GAP, cjk, cluster, fixed_pitch, split
 from .lines import DEFAULT_SIZE
 
 RUN = {"page": "bigint", "seq": "bigint", "text": "string", "left": "double", "step": "double", "ink": "double", "y": "double", "bottom": "double", "top": "double", "size": "double", "bold": "boolean", "mono": "boolean"}
@@ -126,6 +126,7 @@ def find_lines(runs: dict) -> tuple[list[Line], float]:
     g = {c: runs[c][of] for c in ("y", "bottom", "top", "size")} | {"space": codes == 32}
     g["left"] = runs["left"][of] + j * runs["step"][of]
     g["right"] = g["left"] + runs["ink"][of]
+    g["mono"] = fixed_pitch(runs["mono"][of], codes)
     ink = ~g["space"]
     sizes, often = np.unique(g["size"][ink], return_counts=True)
     sizes, back = np.unique([half_up(4 * x) / 4 for x in sizes.tolist()], return_inverse=True)
@@ -188,7 +189,7 @@ def find_lines(runs: dict) -> tuple[list[Line], float]:
             low = flat & (size[a:b] >= 0.83 * big)
             low = low if low.any() else flat
             base = float(np.median(y[a:b][low])) if low.any() else 0.0
-        fixed = bool(mono[i] * 2 > b - a) and not (foreign[a:b].any() and any(is_cjk(x) for x in ch[a:b].tolist()))
+        fixed = bool(mono[i] * 2 > b - a) and not (foreign[a:b].any() and cjk(ch[a:b]).any())
         x0, x1, high, deep = (v[i] for v in box)
         h = min(b, a + B.HEAD)
         lines.append(Line(*places[int(line[a])], text[a + int(shift[a]) : b + int(shift[b - 1])], x0, x1, base, high, deep, e, big, b - a, int(bold[i]), fixed, (plain[a:h], left[a:h], size[a:h], y[a:h])))
@@ -359,10 +360,6 @@ def bound(a: np.ndarray, second: np.ndarray, c: np.ndarray, nx: np.ndarray, blan
     return digit(a) & digit(c) & ~blank | np.isin(c, [44, 46, 58, 59]) & word(a) & ~((c == 58) & (nx == 61)) | (c == 58) & (a == 58) | (a == 58) & (second == 58) | (c == 45) & word(a) & word(nx) & ~blank
 
 
-def is_cjk(code: int) -> bool:
-    return 0x2E80 <= code <= 0x9FFF or 0xF900 <= code <= 0xFAFF or 0xFF00 <= code <= 0xFFEF or 0xAC00 <= code <= 0xD7AF or 0x20000 <= code <= 0x2FA1F
-
-
 def word_gaps(gap: np.ndarray, line: np.ndarray, starts: np.ndarray, counts: np.ndarray, em: np.ndarray) -> np.ndarray:
     """By line: the middle of the largest jump between its sorted gaps, the first of equals, within 0.18 and 0.9 em."""
     sorted_ = gap[np.lexsort((gap, line))]

@@ -242,3 +242,24 @@ def test_glyphs_to_markdown_deals_no_glyphs(spark):
 
     plan = D.blocks(rules.set_pages(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Generate") == 1 and plan.index("MapInArrow") < plan.index("Generate explode(array(")
+
+
+def test_rows_of_single_letters_are_no_columns(spark, tmp_path):
+    """Set to the width, their blanks are wider than a gutter; pages of them, a row alone, and rows among prose."""
+    letters = " ".join("a" * 14)
+    texts = [(396, " ".join([letters] * 17)), (3, " ".join([letters] * 13)), (4, " ".join(["In of the inanin Thonst aonthrein thedtiou anon"] + ["A"] * 200)), (5, " ".join(["F r"] * 120)), (6, " ".join(["word and more"] * 60))]
+    assert differences(spark, tmp_path, "glyphs_to_markdown", texts) == ([], 5)
+
+
+def test_grids_stay_whole(spark):
+    """Three columns of rows are a grid, under a larger line too; two columns and code are none."""
+    schema = "doc_id long, page long, y double, left double, right double, size double, space boolean, mono boolean, ch string, bottom double, top double"
+
+    def regions(columns, mono=False, head=False):
+        rows = [(700.0 - 12 * i, x + 6.0 * k, 10.0, mono) for x in columns for i in range(4) for k in range(6)]
+        rows += [(715.0, x + 8.0 * k, 14.0, False) for x in columns for k in range(4)] if head else []
+        g = spark.createDataFrame([(1, 0, y, x, x + 5, size, False, fixed, "a", y - 2, y + 8) for y, x, size, fixed in rows], schema)
+        return cluster.page_lines(g).select("region").distinct().count()
+
+    assert regions((72.0, 200.0, 330.0)) == 1 and regions((72.0, 200.0, 330.0), head=True) == 1
+    assert regions((72.0, 200.0)) == 2 and regions((72.0, 200.0, 330.0), mono=True) == 3
