@@ -87,6 +87,28 @@ def test_topk(spark):
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+def test_topk_takes_rows_by_tiles(monkeypatch):
+    """Groups, copies and repeated ids, wide and short vectors: all as by brute force; what is kept is merged once for all queries, not for each."""
+    rng, merge, merges = np.random.default_rng(5), topk.Best.merge, []
+    monkeypatch.setattr(topk.Best, "merge", lambda self, *x: merges.append(1) or merge(self, *x))
+    middles = rng.integers(-40, 40, (30, 8))
+    x = (middles[rng.integers(0, 30, 3000)] + rng.integers(-3, 4, (3000, 8))).astype(float)
+    x[7], x[2900], ids = 1e13, -3e9, np.arange(3000)
+    ids[500:560], x[500:530], ids[2000:2100] = 500, x[500], 1999
+    mine = np.flatnonzero(ids % 5 == 0)
+    pivots = topk.choose_pivots(x[np.abs(x).max(1) < 1e6][:400])
+    best, far = topk.Best(len(mine), 20), topk.distances(x, pivots)
+    for i in range(0, 3000, 1000):
+        part = slice(i, i + 1000)
+        topk.search(best, ids[mine], x[mine], far[mine], ids[part], x[part], far[part])
+    assert len(merges) <= 6
+    for n, q in enumerate(mine):
+        scores = [topk._exact(v, x[q]) for v in x] if q in (500, 2900) or n % 40 == 0 else None
+        if scores:
+            want = sorted({(-s, i) for s, i in zip(scores, ids.tolist()) if i != ids[q]})[:20]
+            assert list(zip((-best.scores[n]).tolist(), best.ids[n].tolist())) == want
+
+
 def fingerprint(text):
     import xxhash
 
