@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -190,41 +190,67 @@ class WordCache:
     """Row numbers of distinct strings, whose values are worked out once while the cache holds them.
 
     `compute` turns new strings into values and appends them to the caller's arrays in the given order.
-    The cache empties itself once it holds `most` strings, so a worker's memory stays bounded.
+    The cache empties itself once it holds `most` strings, so a worker's memory stays bounded; with `keep`, which makes the
+    caller's arrays those of the given rows, strings asked for most often stay, up to half as many.
     """
 
-    def __init__(self, compute: Callable[[list[str]], None], clear: Callable[[], None], most: int = 600_000):
+    def __init__(self, compute: Callable[[list[str]], None], clear: Callable[[], None], most: int = 600_000, keep: Callable[[np.ndarray], None] | None = None):
         self.index: dict[str, int] = {}
-        self.compute, self.clear, self.most = compute, clear, most
+        self.compute, self.clear, self.most, self.keep = compute, clear, most, keep
+        self.asked = Growing(np.uint16)
+
+    def _drop(self) -> None:
+        """Strings asked for again stay, the oftener asked for first, and count half of it from now on."""
+        asked = self.asked.a[: self.asked.n]
+        often = np.bincount(asked)
+        least = max(1, len(often) - int(np.searchsorted(np.cumsum(often[::-1]), self.most // 2, "right")))
+        kept = np.flatnonzero(asked >= least)
+        self.keep(kept)
+        self.index = dict(zip(compress(self.index, (asked >= least).tolist()), range(len(kept))))
+        asked = asked[kept] // 2
+        self.asked.reset()
+        self.asked.add(asked)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """For distinct words."""
-        out = np.array(list(map(self.index.get, words, repeat(-1))), np.int64) if words else np.zeros(0, np.int64)
+        found = lambda: np.array(list(map(self.index.get, words, repeat(-1))), np.int64) if words else np.zeros(0, np.int64)
+        out = found()
         at = np.flatnonzero(out < 0)
-        if len(at):
-            if len(self.index) + len(at) > self.most and self.index:
+        if len(at) and len(self.index) + len(at) > self.most and self.index:
+            if self.keep:
+                self._drop()
+                out = found()
+                at = np.flatnonzero(out < 0)
+            if not self.keep or len(self.index) + len(at) > self.most:
                 self.index = {}
                 self.clear()
+                self.asked.reset()
                 at = np.arange(len(words))
+        if self.keep and len(at) < len(out):
+            again = out[out >= 0]
+            self.asked.a[again] = np.minimum(self.asked.a[again], 60_000) + 1
+        if len(at):
             new = [words[i] for i in at.tolist()]
             self.compute(new)
             first = len(self.index)
             self.index.update(zip(new, range(first, first + len(new))))
             out[at] = first + np.arange(len(at))
+            if self.keep:
+                self.asked.add(np.zeros(len(at), np.uint16))
         return out
 
 
-def split_words(texts: pa.Array, space_only: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array, cut: str = "") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, each word's place among them, and each text's number of words (null: none).
 
-    Words lie between white space (ASCII's six); with space_only between single spaces, empty words included.
+    Words lie between white space (ASCII's six); with `cut` between that, empty words included.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    parts = pc.split_pattern(texts, " ") if space_only else pc.ascii_split_whitespace(texts)
+    parts = pc.split_pattern(texts, cut) if cut else pc.ascii_split_whitespace(texts)
     counts = np.diff(parts.offsets.to_numpy())
     flat = parts.flatten().dictionary_encode()
     words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-    if not space_only and "" in words:
+    if not cut and "" in words:
         kept = codes != words.index("")
         counts = np.diff(np.concatenate([[0], np.cumsum(kept)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
         codes = codes[kept]

@@ -26,6 +26,11 @@ JOINED = 64
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD = rf"{WHITE}[ \n]|[ \n]{WHITE}|^[ \n]|[ \n]$|\x00"
 
+#: What begins words of a vocabulary that keeps white space; and words of Latin letters that never become two, with a stop,
+#: which make two pre-tokens of one that drops it.
+EDGES = (" ", "\n")
+STOPPED = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?]").fullmatch
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -38,8 +43,10 @@ def lengths_of(words: list[str]) -> np.ndarray:
 
 
 class ChunkTokenizer:
-    """Cached encoding of words. New words are encoded many at a time, with a separator between them that encodes to an
-    id of its own and stands apart from any word, so that their ids can be told apart again."""
+    """Cached encoding of words. New words are encoded many at a time. Where white space is kept, each begins with a space
+    or line feed, which begins a token that no other place has; where it is dropped, each run of letters or stops ends with
+    a token that ends a word. Words of other kinds have a separator between them that encodes to an id of its own and
+    stands apart from any word. So their ids can be told apart again."""
 
     def __init__(self, path: str, most: int = 500_000):
         import os
@@ -56,12 +63,24 @@ class ChunkTokenizer:
         a, b = ("it", "was.") if self.drops_space else (" it", " was.")
         assert self._ids_of(a + self.separator + b) == [*self._ids_of(a), self.separator_id, *self._ids_of(b)], "the separator does not stand apart"
         self.ids, self.first, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int64)
-        self.cache = WordCache(self._compute, self._clear, most)
+        vocabulary = self.t.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for x, i in vocabulary.items() if (x.endswith("</w>") if self.drops_space else x[:1] in ("\u0120", "\u010a"))]] = True  # byte-level space and line feed
+        self.cache = WordCache(self._compute, self._clear, most, self._keep)
 
     def _clear(self) -> None:
         for x in (self.ids, self.first, self.count):
             x.reset()
 
+    def _keep(self, rows: np.ndarray) -> None:
+        firsts, counts = self.first.a[rows], self.count.a[rows]
+        ends = np.cumsum(counts)
+        ids = self.ids.a[np.repeat(firsts - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self._clear()
+        self.first.add(ends - counts)
+        self.count.add(counts)
+        self.ids.add(ids)
+
     def _ids_of(self, text: str) -> list[int]:
         return self.t.encode(text, add_special_tokens=False).ids
 
@@ -77,28 +96,44 @@ class ChunkTokenizer:
         assert len(ends) == len(words)
         return flat[flat != self.separator_id], np.diff(ends, prepend=-1) - 1
 
+    def _encode_edged(self, words: list[str], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for words told apart by their edges, of which none can have fewer than these; None if any has more."""
+        joined = (" " if self.drops_space else "").join
+        flat = np.array([i for e in self.t.encode_batch_fast([joined(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False) for i in e.ids], np.int32)
+        at = np.flatnonzero(self.edge[flat])
+        if len(at) != edges.sum():
+            return None
+        at = at[np.cumsum(edges) - 1]
+        return flat, np.diff(at, prepend=-1) if self.drops_space else np.diff(at, append=len(flat))
+
+    def _encode_alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = self._encode(words)
+        return np.array([i for x in own for i in x], np.int32), np.fromiter(map(len, own), np.int64, len(own))
+
     def _compute(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            alone = [i for i, w in enumerate(part) if self.mark in w or not self.drops_space and (w[:1] != " " or len(w) < 2 or w[-1].isspace())]
-            if alone:
-                left = set(alone)
-                some = [w for i, w in enumerate(part) if i not in left]
-                ids, counts = self._encode_apart(some) if some else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-                own = self._encode([part[i] for i in alone])
-                lens = np.fromiter(map(len, own), np.int64, len(own))
-                total, firsts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-                mask = np.ones(len(part), bool)
-                mask[alone] = False
-                total[mask], total[alone] = counts, lens
-                firsts[mask], firsts[alone] = np.cumsum(counts) - counts, len(ids) + np.cumsum(lens) - lens
-                ids, counts = np.concatenate([ids, np.array([i for x in own for i in x], np.int32)]), total
+            if self.drops_space:
+                ends = [1 if w.isalpha() else 2 if STOPPED(w) else 0 for w in part]
+                apart = [not e and self.mark not in w for e, w in zip(ends, part)]
             else:
-                ids, counts = self._encode_apart(part)
-                firsts = np.cumsum(counts) - counts
+                ends = [1 if w[:1] in EDGES and (x := w[1:]) and len(x.strip()) == len(x) else 0 for w in part]
+                apart = [False] * len(part)
+            ends = np.array(ends, np.int64)
+            kinds = np.where(ends > 0, 0, np.where(apart, 1, 2))
+            total, firsts, found, n = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), [], 0
+            for kind, encode in enumerate((self._encode_edged, self._encode_apart, self._encode_alone)):
+                which = np.flatnonzero(kinds == kind)
+                if not len(which):
+                    continue
+                some = part if len(which) == len(part) else [part[i] for i in which.tolist()]
+                ids, counts = encode(some, *([ends[which]] if kind == 0 else [])) or (self._encode_apart if self.drops_space else self._encode_alone)(some)
+                total[which], firsts[which] = counts, n + np.cumsum(counts) - counts
+                found.append(ids)
+                n += len(ids)
             self.first.add(self.ids.n + firsts)
-            self.count.add(counts)
-            self.ids.add(ids)
+            self.count.add(total)
+            self.ids.add(np.concatenate(found) if len(found) != 1 else found[0])
 
     def _odd(self, text: str) -> np.ndarray:
         """Ids of a text that has a space beside other white space."""
@@ -134,38 +169,20 @@ class ChunkTokenizer:
         if apart:
             plain = pc.invert(pc.match_substring_regex(texts, ODD))
             texts = pc.if_else(plain, texts, "")
-        # a line feed between two words begins a pre-token of its own, so what follows it can be cut off with it
-        words, codes, per_text = split_words(pc.replace_substring(texts, "\n", " \x00"), space_only=True)
+        # a space or line feed between two words begins a pre-token, so a text is cut before each, and it goes with its word
+        words, codes, per_text = split_words(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n"), cut="\x00")
         starts = np.cumsum(per_text) - per_text
-        heads = codes[starts]  # a text's first word has no space before it
-        used = np.ones(len(codes), bool)
-        used[starts] = False
-        n, head_words = len(words), np.unique(heads)
-        inner = np.zeros(n, bool)
-        inner[codes[used]] = True
-        keys = ["\n" + words[i][1:] if words[i][:1] == "\x00" else " " + words[i] for i in np.flatnonzero(inner)] + [words[i] for i in head_words]
-        long = {keys[i] for i in np.flatnonzero(lengths_of(keys) > LONGEST_CACHED).tolist()}
-        rows = np.zeros(len(keys), np.int64)
-        short = np.array([k not in long for k in keys], bool) if long else np.ones(len(keys), bool)
-        # keys are distinct unless a word itself begins with a space, which a split by spaces rules out
-        rows[short] = self.cache.rows([k for k in keys if k not in long] if long else keys)
-        firsts, counts = self.first.a[rows], self.count.a[rows]
-        store = self.ids.a[: self.ids.n]
-        if long:
-            extra = self._encode([k for k in keys if k in long])
-            lens = np.fromiter(map(len, extra), np.int64, len(extra))
-            firsts[~short] = len(store) + np.cumsum(lens) - lens
-            counts[~short] = lens
-            store = np.concatenate([store, np.array([i for x in extra for i in x], np.int32)])
-        place = np.zeros(n, np.int64)
-        place[inner] = np.arange(int(inner.sum()))
-        key_of = place[codes]
-        at_head = np.zeros(n, np.int64)
-        at_head[head_words] = int(inner.sum()) + np.arange(len(head_words))
-        key_of[starts] = at_head[heads]
-        each = counts[key_of]
+        short = lengths_of(words) <= LONGEST_CACHED
+        rows = np.zeros(len(words), np.int64)
+        rows[short] = self.cache.rows(words if short.all() else [w for w in words if len(w) <= LONGEST_CACHED])
+        firsts, counts, store = self.first.a[rows], self.count.a[rows], self.ids.a[: self.ids.n]
+        if not short.all():
+            extra, lens = self._encode_alone([w for w in words if len(w) > LONGEST_CACHED])
+            firsts[~short], counts[~short] = len(store) + np.cumsum(lens) - lens, lens
+            store = np.concatenate([store, extra])
+        each = counts[codes]
         before = np.concatenate([[0], np.cumsum(each)])
-        out = store[np.repeat(firsts[key_of] - before[:-1], each) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
+        out = store[np.repeat(firsts[codes] - before[:-1], each) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
         totals = np.diff(before[np.concatenate([starts, [len(codes)]])])
         if apart:
             cuts = np.cumsum(totals) - totals

@@ -73,6 +73,34 @@ def test_packing(spark, odd):
         assert set(covered) == {ODD.count((i, t))}
 
 
+ODD_WORDS = ["don't", "it's,", "\u0130stanbul", "\u0130,", "e\u0301t\u00e9", "\u01f0.", "na\u00efve;", "\u212bngstr\u00f6m", "x\u0345", "\u4e2d\u6587", "a\u00a0b", "\u00a0b", "b\u00a0", "12,5", "word.", "Word", "WORD!?", "\U0001d400z", "\ufb01n", "\x01", "a\x01b", "<|endoftext|>", "\u1e9e", "\u0587", "\u02bcn", "\u0149", "'s", "\u0370\u2c2f", "\ua7cb.", "\t", "x\ty"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_told_apart_without_separators(name, monkeypatch):
+    """Ids are those of the whole text, whatever stands beside a word, with a cache that overflows; words of letters are
+    sent to the tokenizer with nothing but a blank between them."""
+    tok = tokens.ChunkTokenizer(tokens.tokenizer_file(name), 40)
+    rng, sent = np.random.default_rng(2), []
+    monkeypatch.setattr(tok, "_encode_apart", lambda words, f=tok._encode_apart: sent.extend(words) or f(words))
+    texts = [sep.join(rng.permutation(ODD_WORDS)[: rng.integers(1, 25)]) for sep in (" ", "\n", "  ", " \n") for _ in range(12)] + ["", None, " ", "\n"]
+    for a in range(0, len(texts), 4):
+        ids, counts = tok.encode(pa.array(texts[a : a + 4]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.t.encode(t or "", add_special_tokens=False).ids for t in texts[a : a + 4]]
+    assert name.startswith("byte") and not sent or "word." not in sent and "Word" not in sent and "12,5" in sent
+
+
+def test_words_met_often_stay_in_the_cache():
+    """A cache that overflows keeps what was asked for again, and gives the same ids for it."""
+    tok = tokens.ChunkTokenizer(tokens.tokenizer_file("byte_bpe_50k.json"), 300)
+    common, met, compute = [f"common{i}" for i in range(100)], [], tok.cache.compute
+    tok.cache.compute = lambda words: met.extend(words) or compute(words)
+    for n in range(20):
+        text = " ".join(["begin", *common, *(f"fresh{n}x{i}" for i in range(60))])
+        assert tok.encode(pa.array([text]))[0].tolist() == tok.t.encode(text, add_special_tokens=False).ids
+    assert all(met.count(" " + w) == 1 for w in common) and len(tok.cache.index) <= 300
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)]
