@@ -43,11 +43,6 @@ def cjk(codes: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce([(codes >= a) & (codes <= b) for a, b in spans])
 
 
-def fixed_pitch(mono: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """What a glyph adds to its line's count of fixed pitch, over half of which makes a line of code; CJK rules that out."""
-    return np.where(cjk(codes), -1e9, mono)
-
-
 class GridLine:
     """A line as grids see it: its inked glyphs from left to right."""
 
@@ -66,7 +61,7 @@ class GridLine:
         wide = np.flatnonzero(self.gap > max(1.4 * em, 10.0))
         self.parts, self.parted = len(wide) + 1, len(wide) > 0
         self.inner = self.left[wide[0] + 1] if self.parted else np.inf
-        self.mono = "mono" in g and bool(g["mono"][at].sum() * 2 > len(at))
+        self.mono = "mono" in g and bool(g["mono"][at].sum() * 2 > len(at)) and not cjk(g["code"][at]).any()
 
     def at(self, x: float, least: float) -> int:
         """0: x is beside the ink, 1: in a gap of `least` or more, 2: in a token."""
@@ -227,7 +222,7 @@ def page_lines(glyphs: DataFrame, columns: bool = True) -> DataFrame:
     def run(page: pd.DataFrame) -> pd.DataFrame:
         g = {c: page[c].to_numpy(float) for c in needed} | {"size": page["size"].fillna(DEFAULT_SIZE).to_numpy(float), "space": page["space"].fillna(False).to_numpy(bool)}
         if {"mono", "ch"} <= set(page.columns):
-            g["mono"] = fixed_pitch(page["mono"].fillna(False).to_numpy(bool), page["ch"].map(lambda c: ord(c[0]) if c else 0).to_numpy(int))
+            g |= {"mono": page["mono"].fillna(False).to_numpy(bool), "code": page["ch"].map(lambda c: ord(c[0]) if c else 0).to_numpy(int)}
         region, line = np.zeros(len(page), int), np.zeros(len(page), int)
         every = np.arange(len(page))
         for r, at in enumerate(split(g, every) if columns else [every]):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import blocks as B
 from . import chrome
-from .cluster import DEPTH, GUTTER, GUTTER_EM, ROW_GAP, cjk, cluster, fixed_pitch, split
+from .cluster import DEPTH, GUTTER, GUTTER_EM, ROW_GAP, cjk, cluster, split
 from .lines import DEFAULT_SIZE
 
 RUN = {"page": "bigint", "seq": "bigint", "text": "string", "left": "double", "step": "double", "ink": "double", "y": "double", "bottom": "double", "top": "double", "size": "double", "bold": "boolean", "mono": "boolean"}
@@ -126,7 +126,7 @@ def find_lines(runs: dict) -> tuple[list[Line], float]:
     g = {c: runs[c][of] for c in ("y", "bottom", "top", "size")} | {"space": codes == 32}
     g["left"] = runs["left"][of] + j * runs["step"][of]
     g["right"] = g["left"] + runs["ink"][of]
-    g["mono"] = fixed_pitch(runs["mono"][of], codes)
+    g |= {"mono": runs["mono"][of], "code": codes}
     ink = ~g["space"]
     sizes, often = np.unique(g["size"][ink], return_counts=True)
     sizes, back = np.unique([half_up(4 * x) / 4 for x in sizes.tolist()], return_inverse=True)
