@@ -240,17 +240,17 @@ class WordCache:
         return out
 
 
-def split_words(texts: pa.Array, cut: str = "") -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, each word's place among them, and each text's number of words (null: none).
 
-    Words lie between white space (ASCII's six); with `cut` between that, empty words included.
+    Words lie between white space (ASCII's six).
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    parts = pc.split_pattern(texts, cut) if cut else pc.ascii_split_whitespace(texts)
+    parts = pc.ascii_split_whitespace(texts)
     counts = np.diff(parts.offsets.to_numpy())
     flat = parts.flatten().dictionary_encode()
     words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-    if not cut and "" in words:
+    if "" in words:
         kept = codes != words.index("")
         counts = np.diff(np.concatenate([[0], np.cumsum(kept)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
         codes = codes[kept]

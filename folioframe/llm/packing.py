@@ -21,7 +21,7 @@ PER_PARTITION = 1 << 40
 #: partition, so that each has about the same share of every tier however few a partition makes.
 STEP_GROUPS = 8
 #: Characters encoded at a time, and words whose ids a worker keeps.
-PACK_CHUNK_CHARS, WORDS_KEPT = 4_000_000, 400_000
+PACK_CHUNK_CHARS, WORDS_KEPT = 8_000_000, 800_000
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")] + [("tier", pa.int32()), ("step_group", pa.int32())])
 
 

@@ -20,6 +20,8 @@ from .common import Growing, WordCache, shared, split_words
 LONGEST_CACHED = 64
 #: Words joined into one text for the tokenizer.
 JOINED = 64
+#: Words whose ids are put in their places at a time, which bounds the memory that takes.
+PLACED = 500_000
 
 
 #: White space, and a space or line feed that has other white space or an end of the text beside it.
@@ -30,6 +32,9 @@ ODD = rf"{WHITE}[ \n]|[ \n]{WHITE}|^[ \n]|[ \n]$|\x00"
 #: which make two pre-tokens of one that drops it.
 EDGES = (" ", "\n")
 STOPPED = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?]").fullmatch
+#: What may stand beside a word's last letter as a word of its own; letters of one byte, and first bytes of letters of two (to U+023F, all but the signs of times and division).
+STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS, LEADS = (np.isin(np.arange(256), x) for x in (np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8), np.arange(0xC3, 0xC9)))
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,8 +71,16 @@ class ChunkTokenizer:
         vocabulary = self.t.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for x, i in vocabulary.items() if (x.endswith("</w>") if self.drops_space else x[:1] in ("\u0120", "\u010a"))]] = True  # byte-level space and line feed
+        self.stops = np.zeros(256, bool)
+        if not self.drops_space:
+            self.stops[[ord(x) for x in STOPS if all(self._begins(a, x + b) for a in (" it", "\u00e9") for b in ("", "s", "9", "."))]] = True
         self.cache = WordCache(self._compute, self._clear, most, self._keep)
 
+    def _begins(self, word: str, rest: str) -> bool:
+        """Whether `rest` begins a pre-token after a word's last letter, and is then cut as if it stood alone."""
+        cut = lambda x: [p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(x)]
+        return cut(word + rest) == cut(word) + cut(rest)
+
     def _clear(self) -> None:
         for x in (self.ids, self.first, self.count):
             x.reset()
@@ -117,7 +130,7 @@ class ChunkTokenizer:
                 ends = [1 if w.isalpha() else 2 if STOPPED(w) else 0 for w in part]
                 apart = [not e and self.mark not in w for e, w in zip(ends, part)]
             else:
-                ends = [1 if w[:1] in EDGES and (x := w[1:]) and len(x.strip()) == len(x) else 0 for w in part]
+                ends = [len(w) > 1 and w[0] in EDGES and not (w[1].isspace() or w[-1].isspace()) for w in part]
                 apart = [False] * len(part)
             ends = np.array(ends, np.int64)
             kinds = np.where(ends > 0, 0, np.where(apart, 1, 2))
@@ -159,6 +172,31 @@ class ChunkTokenizer:
         out = store[np.repeat(firsts[codes] - before[:-1], each) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
         return out, np.diff(before[np.concatenate([[0], np.cumsum(per_text)])])
 
+    def _split(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words, each word's place among them, and each text's number of words, for texts that are not ODD.
+
+        A space or line feed between two words begins a pre-token, so a text is cut before each, and it goes with its word.
+        So does what follows a word's last letter, so a text is cut before a stop there, and words are the same with it and
+        without.
+        """
+        texts = texts.cast(pa.large_string())
+        if not len(texts):
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        cut = (data == 32) | (data == 10)
+        at = np.flatnonzero(self.stops[data])
+        at = at[at > 1]
+        last, lead = data[at - 1], data[at - 2]
+        cut[at[LETTERS[last] | (last >= 0x80) & LEADS[lead] & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))]] = True
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        begins = np.flatnonzero(cut)
+        per_text = np.diff(np.searchsorted(begins, offsets))
+        flat = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)).dictionary_encode()
+        return flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy(zero_copy_only=False), per_text
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text (null: none)."""
         if self.drops_space:
@@ -169,8 +207,7 @@ class ChunkTokenizer:
         if apart:
             plain = pc.invert(pc.match_substring_regex(texts, ODD))
             texts = pc.if_else(plain, texts, "")
-        # a space or line feed between two words begins a pre-token, so a text is cut before each, and it goes with its word
-        words, codes, per_text = split_words(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n"), cut="\x00")
+        words, codes, per_text = self._split(texts)
         starts = np.cumsum(per_text) - per_text
         short = lengths_of(words) <= LONGEST_CACHED
         rows = np.zeros(len(words), np.int64)
@@ -182,7 +219,10 @@ class ChunkTokenizer:
             store = np.concatenate([store, extra])
         each = counts[codes]
         before = np.concatenate([[0], np.cumsum(each)])
-        out = store[np.repeat(firsts[codes] - before[:-1], each) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
+        out = np.empty(before[-1], np.int32)
+        for a in range(0, len(codes), PLACED):
+            b = min(a + PLACED, len(codes))
+            out[before[a] : before[b]] = store[np.repeat(firsts[codes[a:b]] - before[a:b], each[a:b]) + np.arange(before[a], before[b])]
         totals = np.diff(before[np.concatenate([starts, [len(codes)]])])
         if apart:
             cuts = np.cumsum(totals) - totals

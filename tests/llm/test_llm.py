@@ -101,6 +101,23 @@ def test_words_met_often_stay_in_the_cache():
     assert all(met.count(" " + w) == 1 for w in common) and len(tok.cache.index) <= 300
 
 
+def test_a_word_is_encoded_once_whatever_stop_follows_it():
+    """A word's stops are words of their own, and ids are those of the whole text, whatever letter stands before a stop."""
+    tok, met = tokens.ChunkTokenizer(tokens.tokenizer_file("byte_bpe_50k.json")), []
+    compute = tok.cache.compute
+    tok.cache.compute = lambda words: met.extend(words) or compute(words)
+    stops = ["", ".", ",", "!?", "###", "'s", "'stop", "-b", ".\u00e9", "(1)", "\"", "<|endoftext|>", ".\u00d7."]
+    stems = ["word", "\u00e9t\u00e9", "stra\u00dfe", "\u0142\u00f3d\u017a", "x\u0345", "3\u00d7", "\u00f7", "\u01c5", "\u023f", "\u0250", "\u4e2d\u6587", "\ud7a3", "a1", "n\u2070", "\U0001d400", "\u00aa", "'", ""]
+    texts = [" ".join(["begin", *(f"{w}{x}" for x in stops for w in stems[a:b] if w + x), "end"]) for a in range(len(stems)) for b in (a + 1, len(stems))]
+    texts += ["", None, ".", "a.", "\u00e9.", "a", "a.\t", *(w + x for w in stems for x in stops)]
+    for some in (texts, texts[::-1], ["", ""], []):
+        ids, counts = tok.encode(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.t.encode(t or "", add_special_tokens=False).ids for t in some] or not some and not len(ids)
+    for stem in (" word", " \u00e9t\u00e9", " stra\u00dfe", " \u0142\u00f3d\u017a"):
+        assert [w for w in met if w.startswith(stem)] == [stem]
+    assert len(met) == len(set(met)) and "###" in met
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)]
